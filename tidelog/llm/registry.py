@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from .langid import op5_ppm_langid
 from .mixing import OP9_SQL, op9_wfq_mix
+from .packing import op6_binary_packing
 from .sketch import op7_bottom_k
+from .toxicity import op4_mil_toxicity
 
 QUERIES = {
+    "op4_mil_toxicity": op4_mil_toxicity,
+    "op5_ppm_langid": op5_ppm_langid,
+    "op6_binary_packing": op6_binary_packing,
     "op7_bottom_k": op7_bottom_k,
     "op9_wfq_mix": op9_wfq_mix,
 }
