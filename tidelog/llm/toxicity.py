@@ -7,7 +7,7 @@ labels are known in training; the noisy-or's gradient finds the sentences that
 account for them, so the same weights then locate the offending sentences.
 
 The model is fitted on a bounded sample of labelled documents (``PER_LABEL`` of
-each label, in order of a hash of doc_id, texts over ``LONGEST_SAMPLE``
+label 0 and of label 1, in order of a hash of doc_id, texts over ``LONGEST_SAMPLE``
 characters left out); every whole text is scored, in one narrow stage.
 
 Edge cases: null or wordless texts have score 0.0 and no offending sentence;
@@ -29,11 +29,12 @@ from pyspark.sql import functions as F
 
 from .common import remainder, table
 
-PER_LABEL = 4000
+PER_LABEL = (8000, 3000)
 LONGEST_SAMPLE = 200_000
 BITS = 18
 EPOCHS = 8
-LEAST_DOCS = 4
+#: Features let in by chance, on average, at most.
+FALSE_FEATURES = 3
 THRESHOLD = 0.3
 CACHED_WORDS = 400_000
 SENTENCE_END = re.compile(r"[.!?\n]+")
@@ -56,12 +57,17 @@ def features(word: str) -> list[int]:
     return [zlib.crc32(f"{kind}{part}".encode("utf-8", "replace")) & mask for kind, part in (("w", word), ("4", word[:4]), ("5", word[:5]))]
 
 
-def fit(texts: list[str], toxic: list[int], rate: float = 0.3, decay: float = 1e-5) -> tuple[np.ndarray, float]:
-    """Weights and bias by AdaGrad on the noisy-or likelihood of document labels."""
+def fit(texts: list[str], toxic: list[int], rate: float = 0.5, lasso: float = 1e-4) -> tuple[np.ndarray, float]:
+    """Weights and bias by AdaGrad on the noisy-or likelihood of document labels.
+
+    Only features that occur in toxic documents more often than chance allows have
+    a weight (Chernoff's bound on the binomial tail, divided among all features),
+    and weights are not negative: a sentence offends by what it says.
+    """
     memo: dict[str, list[int]] = {}
-    docs = []
-    seen = np.zeros(1 << BITS, np.int32)
-    for text in texts:
+    docs, y = [], []
+    seen, bad = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    for text, label in dict(zip(texts, toxic)).items():
         ids, ends = [], []
         for _, _, words in sentences(text or ""):
             for w in words:
@@ -69,49 +75,57 @@ def fit(texts: list[str], toxic: list[int], rate: float = 0.3, decay: float = 1e
                     f = memo[w] = features(w)
                 ids += f
             ends.append(len(ids))
-        a = np.array(ids, np.int32)
-        seen[np.unique(a)] += 1
-        docs.append((a, np.array([0, *ends[:-1]], np.int64)))
-    known = seen >= LEAST_DOCS
-    weights, bias = np.zeros(1 << BITS), -5.0
-    g2, b2 = np.full(1 << BITS, 1e-2), 1e-2
+        if ends:
+            docs.append((np.array(ids, np.int32), np.array(ends, np.int64)))
+            y.append(label)
+            seen[once := np.unique(docs[-1][0])] += 1
+            bad[once] += label
+    y = np.array(y)
+    base = min(max(y.mean(), 1e-3), 1 - 1e-3)
+    share = np.clip(bad / np.maximum(seen, 1), 1e-9, 1 - 1e-9)
+    surprise = seen * (share * np.log(share / base) + (1 - share) * np.log((1 - share) / (1 - base)))
+    chosen = (share > base) & (surprise > math.log(max(2, (seen > 1).sum()) / FALSE_FEATURES))
+    place = np.where(chosen, np.cumsum(chosen) - 1, -1)
+    n = int(chosen.sum())
+    bags = []
+    for ids, ends in docs:
+        at = place[ids]
+        sentence = np.searchsorted(ends, np.flatnonzero(at >= 0), "right")
+        bags.append((at[at >= 0], np.unique(sentence, return_inverse=True)[1], len(ends)))
+    w, bias = np.full(n, 1.0), -6.0
+    g2, b2 = np.full(n, 1e-8), 1e-6
     order = np.random.default_rng(7)
-    y = np.array(toxic)
     for _ in range(EPOCHS):
-        for chunk in np.array_split(order.permutation(len(docs)), max(1, len(docs) // 64)):
-            grad, gb = np.zeros(1 << BITS), 0.0
+        for chunk in np.array_split(order.permutation(len(bags)), max(1, len(bags) // 32)):
+            grad, gb = np.zeros(n), 0.0
             for i in chunk:
-                ids, starts = docs[i]
-                if not len(ids):
-                    continue
-                z = np.add.reduceat(weights[ids], starts) + bias
+                at, sentence, size = bags[i]
+                live = int(sentence.max()) + 1 if len(sentence) else 0
+                z = np.append(np.bincount(sentence, w[at], live), 0.0) + bias  # the last stands for all sentences without a feature
+                times = np.append(np.ones(live), size - live)
                 p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-                none = np.exp(np.log1p(-np.minimum(p, 1 - 1e-12)).sum())
+                none = math.exp((times * np.log1p(-np.minimum(p, 1 - 1e-12))).sum())
                 slope = p if not y[i] else -p * none / max(1 - none, 1e-9)
-                live = np.abs(slope) > 1e-6
-                if live.any():
-                    lengths = np.diff(np.append(starts, len(ids)))
-                    grad += np.bincount(ids, np.repeat(slope, lengths), 1 << BITS) if live.sum() > 50 else 0
-                    if live.sum() <= 50:
-                        for s in np.flatnonzero(live):
-                            np.add.at(grad, ids[starts[s] : starts[s] + lengths[s]], slope[s])
-                    gb += slope.sum()
-            grad = np.where(known, grad / len(chunk) + decay * weights, 0)
+                grad += np.bincount(at, slope[sentence], n)
+                gb += (slope * times).sum()
+            grad = grad / len(chunk) + lasso * (w > 0)
             g2 += grad * grad
-            weights -= rate * grad / np.sqrt(g2)
+            w = np.maximum(0, w - rate * grad / np.sqrt(g2))
             gb /= len(chunk)
             b2 += gb * gb
-            bias -= 0.1 * rate * gb / math.sqrt(b2)
+            bias -= 0.2 * rate * gb / math.sqrt(b2)
+    weights = np.zeros(1 << BITS)
+    weights[chosen] = w
     return weights, bias
 
 
-def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> tuple[np.ndarray, float] | None:
-    """Fit on at most per_label documents of each label; the fit runs in one task and returns the weights alone."""
+def train(docs: DataFrame, labels: DataFrame, per_label: tuple[int, int] = PER_LABEL) -> tuple[np.ndarray, float] | None:
+    """Fit on at most per_label[label] documents of each label; the fit runs in one task and returns the weights alone."""
     marked = labels.where(F.col("toxic").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     order = F.xxhash64("doc_id")
     chosen = None
     for value in (0, 1):
-        part = marked.where(F.col("toxic") == value).orderBy(order, "doc_id").limit(per_label)
+        part = marked.where(F.col("toxic") == value).orderBy(order, "doc_id").limit(per_label[value])
         chosen = part if chosen is None else chosen.union(part)
     sample = docs.where(F.length("text") <= LONGEST_SAMPLE).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
