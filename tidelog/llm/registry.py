@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from .langid import op5_ppm_langid
 from .mixing import OP9_SQL, op9_wfq_mix
+from .neighbours import OP1_SQL, op1_pivot_range_join
 from .packing import op6_binary_packing
 from .sketch import op7_bottom_k
 from .toxicity import op4_mil_toxicity
 
 QUERIES = {
+    "op1_pivot_range_join": op1_pivot_range_join,
     "op4_mil_toxicity": op4_mil_toxicity,
     "op5_ppm_langid": op5_ppm_langid,
     "op6_binary_packing": op6_binary_packing,
@@ -17,5 +19,6 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_pivot_range_join": OP1_SQL,
     "op9_wfq_mix": OP9_SQL,
 }
