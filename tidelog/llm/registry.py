@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .langid import op5_ppm_langid
+from .minhash import OP3_SQL, op3_bbit_minhash
 from .mixing import OP9_SQL, op9_wfq_mix
 from .neighbours import OP1_SQL, op1_pivot_range_join
 from .packing import op6_binary_packing
@@ -11,6 +12,7 @@ from .toxicity import op4_mil_toxicity
 
 QUERIES = {
     "op1_pivot_range_join": op1_pivot_range_join,
+    "op3_bbit_minhash": op3_bbit_minhash,
     "op4_mil_toxicity": op4_mil_toxicity,
     "op5_ppm_langid": op5_ppm_langid,
     "op6_binary_packing": op6_binary_packing,
@@ -20,5 +22,6 @@ QUERIES = {
 
 ORACLES = {
     "op1_pivot_range_join": OP1_SQL,
+    "op3_bbit_minhash": OP3_SQL,
     "op9_wfq_mix": OP9_SQL,
 }
