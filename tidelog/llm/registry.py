@@ -8,10 +8,12 @@ from .mixing import OP9_SQL, op9_wfq_mix
 from .neighbours import OP1_SQL, op1_pivot_range_join
 from .packing import op6_binary_packing
 from .sketch import op7_bottom_k
+from .suffixes import op2_log_suffix
 from .toxicity import op4_mil_toxicity
 
 QUERIES = {
     "op1_pivot_range_join": op1_pivot_range_join,
+    "op2_log_suffix": op2_log_suffix,
     "op3_bbit_minhash": op3_bbit_minhash,
     "op4_mil_toxicity": op4_mil_toxicity,
     "op5_ppm_langid": op5_ppm_langid,
