@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .langid import op5_ppm_langid
+from .licences import op8_licence_scan
 from .maxent import op10_maxent_lm
 from .minhash import OP3_SQL, op3_bbit_minhash
 from .mixing import OP9_SQL, op9_wfq_mix
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_ppm_langid": op5_ppm_langid,
     "op6_binary_packing": op6_binary_packing,
     "op7_bottom_k": op7_bottom_k,
+    "op8_licence_scan": op8_licence_scan,
     "op9_wfq_mix": op9_wfq_mix,
     "op10_maxent_lm": op10_maxent_lm,
 }
