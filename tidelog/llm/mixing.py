@@ -59,24 +59,25 @@ def mix(docs: DataFrame, keep: list[str], size: Column | None = None, weights=WE
     """
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     rows = docs.select(*keep, (word_count(F.col("text")) if size is None else size).alias("size"), F.xxhash64("text").alias("mix_text"), key.alias("mix_key"))
-    rows = rows.withColumn("mix_bucket", F.substring("mix_key", 1, 3))
-    in_bucket = rows.groupBy("source", "mix_bucket").agg(F.sum("size").alias("bucket_size"))
-    of = Window.partitionBy("source")
+    # the source as a key without nulls: joins on it are plain, so they share the windows' shuffle
+    rows = rows.withColumn("mix_bucket", F.substring("mix_key", 1, 3)).withColumn("mix_source", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")))
+    in_bucket = rows.groupBy("mix_source", "mix_bucket").agg(F.sum("size").alias("bucket_size"), F.first("source").alias("source"))
+    of = Window.partitionBy("mix_source")
     before = of.orderBy("mix_bucket").rowsBetween(Window.unboundedPreceding, 0)
     in_bucket = in_bucket.withColumn("bucket_start", F.sum("bucket_size").over(before) - F.col("bucket_size"))
-    sizes = in_bucket.groupBy("source").agg(F.sum("bucket_size").alias("source_size"))
-    there = targets(sizes, weights, budget, epochs).withColumnRenamed("source", "t_source")
-    in_bucket = in_bucket.join(there, F.col("source").eqNullSafe(F.col("t_source"))).select(F.col("source").alias("t_source"), F.col("mix_bucket").alias("t_bucket"), "bucket_start", "source_size", "target")
-    shuffled = Window.partitionBy("source", "mix_bucket").orderBy("mix_key", "doc_id", "mix_text")
+    sizes = in_bucket.groupBy("mix_source").agg(F.first("source").alias("source"), F.sum("bucket_size").alias("source_size"))
+    there = targets(sizes, weights, budget, epochs).withColumn("mix_source", F.coalesce(F.concat(F.lit("s"), "source"), F.lit(""))).drop("source")
+    in_bucket = in_bucket.drop("source").join(there, "mix_source").select("mix_source", "mix_bucket", "bucket_start", "source_size", "target")
+    shuffled = Window.partitionBy("mix_source", "mix_bucket").orderBy("mix_key", "doc_id", "mix_text")
     upto = shuffled.rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("mix_end", F.sum("size").over(upto)).withColumn("mix_no", F.row_number().over(shuffled))
-    rows = rows.join(in_bucket, F.col("source").eqNullSafe(F.col("t_source")) & (F.col("mix_bucket") == F.col("t_bucket")))
+    rows = rows.join(in_bucket, ["mix_source", "mix_bucket"])
     rows = rows.withColumn("epoch", F.explode(F.array(*[F.lit(e) for e in range(epochs)])))
     end = F.col("bucket_start") + F.col("mix_end") + F.col("epoch") * F.col("source_size")
     rows = rows.withColumn("mix_finish", end)
     served = F.least(F.col("size"), F.greatest(F.lit(0).cast("long"), F.floor("target") - (F.col("mix_finish") - F.col("size"))))
     finish = F.when(F.col("target") > 0, F.col("mix_finish") / F.col("target"))
-    row_key = F.struct("source", "mix_bucket", "mix_no")
+    row_key = F.struct("mix_source", "mix_bucket", "mix_no")
     return rows.select(*keep, "size", "source_size", "target", "epoch", served.alias("taken"), finish.alias("finish"), row_key.alias("row_key"))
 
 
