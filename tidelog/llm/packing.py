@@ -18,6 +18,8 @@ repeated rows are packed each on their own; extra columns are not read.
 
 from __future__ import annotations
 
+import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +35,9 @@ VOCABULARY = "word_bpe_49k.json"
 CACHED_WORDS = 300_000
 #: Bytes of token ids in an output batch.
 BATCH_BYTES = 8_000_000
+#: What only special tokens hold, and punctuation at the end of ASCII letters and digits (without the apostrophe of contractions).
+SPECIAL = b"<|"
+TRAILING = re.compile(rb"(?<=[a-z0-9])[^\x00-\x20'>a-z0-9\x7f-\xff]+(?=[\x20\x09-\x0D]|\Z)")
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long"
 
 
@@ -46,9 +51,13 @@ class Encoder:
     """Texts to token ids, word by word."""
 
     def __init__(self, vocabulary: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
+        known = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(known.values()) + 1, bool)
+        self.ends_word[[i for t, i in known.items() if t.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
@@ -58,32 +67,65 @@ class Encoder:
         self.used = 0
 
     def learn(self, words: list[bytes]) -> None:
-        got = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        ids = [e.ids for e in got]
-        counts = np.fromiter(map(len, ids), np.int64, len(ids))
-        n, total = len(self.index), int(counts.sum())
+        texts = [w.decode() for w in words]
+        # a word of letters is one piece to the tokenizer, whose last token alone ends a word: many go as one text
+        letters = [i for i, t in enumerate(texts) if t.isalpha()]
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join([texts[i] for i in letters])], add_special_tokens=False)[0].ids, np.uint32)
+        last = np.flatnonzero(self.ends_word[ids]) + 1
+        if len(last) != len(letters):
+            letters, ids, last = [], ids[:0], last[:0]
+        other = sorted(set(range(len(texts))).difference(letters))
+        more = [e.ids for e in self.tokenizer.encode_batch_fast([texts[i] for i in other], add_special_tokens=False)]
+        counts = np.append(np.diff(last, prepend=0), np.fromiter(map(len, more), np.int64, len(more))).astype(np.int64)
+        ids = np.append(ids, np.fromiter((i for x in more for i in x), np.uint32)).astype(np.uint32)
+        n, total = len(self.index), len(ids)
         while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while n + len(ids) + 1 > len(self.start):
+        while n + len(words) + 1 > len(self.start):
             self.start = np.concatenate([self.start, np.zeros_like(self.start)])
-        self.flat[self.used : self.used + total] = np.fromiter((i for x in ids for i in x), np.uint32, total)
-        self.start[n + 1 : n + 1 + len(ids)] = self.used + np.cumsum(counts)
+        self.flat[self.used : self.used + total] = ids
+        self.start[n + 1 : n + 1 + len(words)] = self.used + np.cumsum(counts)
         self.used += total
-        self.index.update(zip(words, range(n, n + len(ids))))
-
-    def encode(self, text: str | None) -> np.ndarray:
-        words = (text or "").encode().split()
-        if not words:
-            return np.zeros(0, np.uint32)
+        self.index.update(zip([words[i] for i in (*letters, *other)], range(n, n + len(words))))
+
+    @staticmethod
+    def words(text: str | None) -> list[bytes]:
+        """Parts of a text that the tokenizer treats alone, ASCII letters as it lowers them, and punctuation at their end by itself."""
+        data = (text or "").encode()
+        if SPECIAL in data:
+            return data.split()
+        return TRAILING.sub(rb" \g<0>", data.lower()).split()
+
+    def encode(self, texts: list) -> list[np.ndarray]:
+        """Token ids of each text."""
         if len(self.index) > CACHED_WORDS:
             self.clear()
-        if new := set(words).difference(self.index):
+        parts = [self.words(t) for t in texts]
+        flat = [w for p in parts for w in p]
+        if not flat:
+            return [np.zeros(0, np.uint32) for _ in texts]
+        if new := set(flat).difference(self.index):
             self.learn(list(new))
-        at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        at = np.fromiter(map(self.index.__getitem__, flat), np.int64, len(flat))
         first = self.start[at]
         counts = self.start[at + 1] - first
         ends = np.cumsum(counts)
-        return self.flat[np.repeat(first - ends + counts, counts) + np.arange(ends[-1])]
+        ids = self.flat[np.repeat(first - ends + counts, counts) + np.arange(ends[-1])]
+        upto = np.append(0, ends)[np.cumsum([len(p) for p in parts])]
+        return np.split(ids, upto[:-1])
+
+
+def blocks(texts: list, size: int = 1 << 20) -> Iterator[list[int]]:
+    """Places of texts in runs of about size characters."""
+    some, held = [], 0
+    for i, t in enumerate(texts):
+        some.append(i)
+        held += len(t or "")
+        if held >= size:
+            yield some
+            some, held = [], 0
+    if some:
+        yield some
 
 
 def cuts(n: int, longest: int = LONGEST) -> list[int]:
@@ -100,17 +142,18 @@ def packer(vocabulary: str, end: int, longest: int):
         out: list[list] = [[] for _ in schema]
         held = 0
         for batch in batches:
-            for doc_id, text in zip(batch.column(0), batch.column(1)):
-                ids = np.append(encoder.encode(text.as_py()), np.uint32(end)).astype("<u4").tobytes()
-                total, at = len(ids) // 4, 0
-                for length in cuts(total, longest):
-                    for column, value in zip(out, (doc_id.as_py(), at, length, ids[4 * at : 4 * (at + length)], total)):
-                        column.append(value)
-                    at += length
-                held += len(ids)
-                if held >= BATCH_BYTES:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
-                    out, held = [[] for _ in schema], 0
+            for rows in blocks(batch.column(1).to_pylist()):
+                for i, ids in zip(rows, encoder.encode([batch.column(1)[i].as_py() for i in rows])):
+                    data = np.append(ids, np.uint32(end)).astype("<u4").tobytes()
+                    doc_id, total, at = batch.column(0)[i].as_py(), len(data) // 4, 0
+                    for length in cuts(total, longest):
+                        for column, value in zip(out, (doc_id, at, length, data[4 * at : 4 * (at + length)], total)):
+                            column.append(value)
+                        at += length
+                    held += len(data)
+                    if held >= BATCH_BYTES:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
+                        out, held = [[] for _ in schema], 0
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
 
     return pack
