@@ -83,7 +83,7 @@ def test_sketch(spark):
 
     texts = [words(200, 1), words(200, 1) + " more words at the end", words(150, 2), *ODD, words(3000, 3), words(2000, 3) + " " + words(1000, 4)]
     got = {r.doc_id: r for r in sketch.fingerprints(docs_of(spark, texts)).collect()}
-    df = sketch.fingerprints(docs_of(spark, texts)).select("doc_id", "sketch", "fingerprint")
+    df = sketch.fingerprints(docs_of(spark, texts)).select("doc_id", "sketch", "fingerprint").cache()
     assert df.where(sketch.undigits(F.col("fingerprint")) != F.col("sketch")).count() == 0
     pairs = df.alias("a").join(df.alias("b"), F.col("a.doc_id") < F.col("b.doc_id")).select("a.doc_id", F.col("b.doc_id").alias("other"), sketch.resemblance(F.col("a.sketch"), F.col("b.sketch")).alias("r"), sketch.containment(F.col("a.sketch"), F.col("b.sketch")).alias("c")).collect()
     for p in pairs:

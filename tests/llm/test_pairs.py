@@ -59,9 +59,11 @@ def near_texts():
     return [*out, None, "", " \n\t", "one", "One", "ONE  ", "two words", "a b", "É é", "x y z", "x\x0by\x0cz", out[0].upper(), "ab " * 5000]
 
 
-@pytest.mark.parametrize("shingle", [2, 5])
-def test_minhash(spark, shingle):
+@pytest.mark.parametrize("shingle, small", [(2, 32), (5, 32), (2, 2)])
+def test_minhash(spark, monkeypatch, shingle, small):
     texts = near_texts()
+    monkeypatch.setattr(minhash, "SMALL", small)
+    monkeypatch.setattr(minhash, "BLOCK", 5)
 
     def shingles(t):
         w = (t or "").encode().lower().split()

@@ -13,7 +13,9 @@ Equal sets are one class before anything else.  Classes that share a band meet i
 its bucket, which is not expanded into pairs: each meets the bucket's first.
 Rounds then confirm only pairs whose ends are not yet connected, as a link within
 a component changes nothing; last, members of a bucket that ended in different
-components meet each other, as far as their signatures allow.
+components meet each other, as far as their signatures allow: as pairs in buckets
+of at most ``SMALL``, in larger ones as blocks that return no more than a link for
+two components.
 
 A pair at similarity 0.8 shares no band with probability (1 - 0.8^4)^32 < 5e-8.
 
@@ -38,6 +40,8 @@ HASHES, BANDS, BITS = 128, 32, 2
 PERCENT = 80
 MARGIN = 6.0
 CACHED_WORDS = 300_000
+#: Members of a bucket whose pairs are listed, and of a block of a larger one.
+SMALL, BLOCK = 32, 2048
 #: Distinct shingles hashed at once; a longer document is taken in parts.
 PART = 1 << 16
 
@@ -162,6 +166,102 @@ def confirmer(shingle: int, percent: int):
     return run
 
 
+def similar(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Estimates of all pairs of two blocks of packed signatures."""
+    same = np.zeros((len(a), len(b)), np.int32)
+    low = np.uint64(sum(1 << (i * BITS) for i in range(64 // BITS)))
+    for i in range(a.shape[1]):
+        x = a[:, None, i] ^ b[None, :, i]
+        differs = x.copy()
+        for s in range(1, BITS):
+            differs |= x >> np.uint64(s)
+        same += 64 // BITS - np.bitwise_count(differs & low)
+    chance = 2.0**-BITS
+    return (same / HASHES - chance) / (1 - chance)
+
+
+def block_pairs(pdf: pd.DataFrame, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, pd.DataFrame, pd.DataFrame]]:
+    """Places of the pairs of a block that may link: in different components, similar by signature, and with no earlier band in common."""
+    a, b = pdf[pdf.left], pdf[~pdf.left]
+    if not len(a) or not len(b):
+        return
+    sig_a, sig_b = (np.stack(x.sig.to_list()).astype(np.int64).view(np.uint64) for x in (a, b))
+    band_a, band_b = (np.stack(x.bands.to_list()) for x in (a, b))
+    k = int(np.flatnonzero(band_a[0] == pdf.band.iloc[0])[0])
+    main = pdf.main.iloc[0]
+    for s in range(0, len(a), 128):
+        own = slice(s, s + 128)
+        ok = similar(sig_a[own], sig_b) >= lowest(percent)
+        ok &= a.component.to_numpy()[own, None] != b.component.to_numpy()[None, :]
+        # two strays meet once
+        ok &= (b.component.to_numpy() == main)[None, :] | (a.doc_id.to_numpy()[own, None] < b.doc_id.to_numpy()[None, :])
+        i, j = np.nonzero(ok)
+        if len(i):
+            first = (band_a[s + i, :k] != band_b[j, :k]).all(1)
+            i, j = i[first], j[first]
+        if len(i):
+            yield s + i, j, a, b
+
+
+def large_links(rest: DataFrame, signed: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Links across the components of large buckets, by blocks of them.
+
+    Members outside the component of the bucket's first meet all of the bucket.
+    A block compares signatures and says which of its members have a possible
+    partner; those come back with their texts, and the block confirms its pairs
+    on the full sets.  It returns a link for each pair of components that it
+    finds linked, never its pairs.
+    """
+    stray = F.col("component") != F.col("main")
+    sizes = rest.groupBy("band").agg(F.sum(stray.cast("int")).alias("strays"))
+    blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+    rows = rest.join(sizes, "band").join(signed.select("doc_id", "bands").dropDuplicates(["doc_id"]), "doc_id")
+    rows = rows.select("band", "doc_id", "sig", "bands", "component", "main", stray.alias("stray"), blocks("strays").alias("ni"), blocks("size").alias("nj"), F.xxhash64("doc_id").alias("h"))
+    upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    plain = ["band", "doc_id", "sig", "bands", "component", "main"]
+    left = rows.where("stray").select(*plain, F.lit(True).alias("left"), F.pmod("h", "ni").cast("int").alias("i"), F.explode(upto("nj")).alias("j"))
+    right = rows.select(*plain, F.lit(False).alias("left"), F.explode(upto("ni")).alias("i"), F.pmod("h", "nj").cast("int").alias("j"))
+    dealt = cut(left.union(right), "blocks")
+
+    def possible(pdf: pd.DataFrame) -> pd.DataFrame:
+        use_a, use_b = set(), set()
+        for i, j, a, b in block_pairs(pdf, percent):
+            use_a.update(a.doc_id.to_numpy()[i].tolist())
+            use_b.update(b.doc_id.to_numpy()[j].tolist())
+        keep = [d in (use_a if left else use_b) for d, left in zip(pdf.doc_id, pdf.left)]
+        return pdf.loc[keep]
+
+    def confirm(pdf: pd.DataFrame) -> pd.DataFrame:
+        words, sets, label, out = Words(), {}, {}, []
+
+        def root(c: int) -> int:
+            while label.get(c, c) != c:
+                c = label[c]
+            return c
+
+        def of(doc_id: int, text: str) -> np.ndarray:
+            if doc_id not in sets:
+                sets[doc_id] = words.shingles(text, shingle)
+            return sets[doc_id]
+
+        for i, j, a, b in block_pairs(pdf, percent):
+            (ids_a, texts_a, in_a), (ids_b, texts_b, in_b) = ((x.doc_id.to_list(), x.text.to_list(), x.component.to_list()) for x in (a, b))
+            for p, q in zip(i.tolist(), j.tolist()):
+                ra, rb = root(in_a[p]), root(in_b[q])
+                if ra == rb:
+                    continue
+                own, other = of(ids_a[p], texts_a[p]), of(ids_b[q], texts_b[q])
+                both = len(np.intersect1d(own, other, assume_unique=True))
+                if both and 100 * both >= percent * (len(own) + len(other) - both):
+                    out.append((ids_a[p], ids_b[q]))
+                    label[max(ra, rb)] = min(ra, rb)
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    key = ["band", "i", "j"]
+    few = cut(dealt.groupBy(*key).applyInPandas(possible, dealt.schema), "possible")
+    return cut(few.join(texts, "doc_id").groupBy(*key).applyInPandas(confirm, "a long, b long"), "confirmed")
+
+
 def near_classes(docs: DataFrame, shingle: int, percent: int = PERCENT) -> DataFrame:
     """(doc_id, text) to doc_id, n_shingles, component_id for every row."""
     signed = cut(sign(docs, shingle), "signed")
@@ -196,14 +296,16 @@ def near_classes(docs: DataFrame, shingle: int, percent: int = PERCENT) -> DataF
     more = confirmed(apart(pairs.select("a", "b").join(best.select("a", "b"), ["a", "b"], "left_anti"), stars))
     links = links.union(more)
     stars = components(links)
-    # members of one bucket in different components
+    # members of one bucket in different components: all pairs of a small bucket, blocks of a large one
     placed = full.join(stars, F.col("doc_id") == F.col("vertex"), "left").select("band", "doc_id", "sig", F.coalesce("component", "doc_id").alias("component"))
-    mixed = placed.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("band")
+    mixed = placed.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("x"), F.max("component").alias("y"), F.min_by("component", "doc_id").alias("main")).where("x <> y").select("band", "size", "main")
     rest = cut(placed.join(mixed, "band"), "mixed")
-    other = rest.select("band", *[F.col(c).alias(f"{c}_b") for c in ("doc_id", "sig", "component")])
-    cross = rest.join(other, "band").where((F.col("doc_id") < F.col("doc_id_b")) & (F.col("component") != F.col("component_b")) & fits("sig", "sig_b"))
+    small = rest.where(F.col("size") <= SMALL)
+    other = small.select("band", *[F.col(c).alias(f"{c}_b") for c in ("doc_id", "sig", "component")])
+    cross = small.join(other, "band").where((F.col("doc_id") < F.col("doc_id_b")) & (F.col("component") != F.col("component_b")) & fits("sig", "sig_b"))
     cross = cross.select(F.col("doc_id").alias("a"), F.col("doc_id_b").alias("b")).distinct().join(pairs.select("a", "b"), ["a", "b"], "left_anti")
-    stars = components(links.union(confirmed(cut(cross, "cross"))))
+    links = links.union(confirmed(cut(cross, "cross"))).union(large_links(rest.where(F.col("size") > SMALL), signed, texts, shingle, percent))
+    stars = components(links)
     out = member.join(stars, F.col("rep") == F.col("vertex"), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "rep")).otherwise(F.col("doc_id")).alias("component_id"))
 
