@@ -32,7 +32,7 @@ from .common import table
 LONGEST = 4096
 END = 2
 VOCABULARY = "word_bpe_49k.json"
-CACHED_WORDS = 300_000
+CACHED_WORDS = 400_000
 #: Bytes of token ids in an output batch.
 BATCH_BYTES = 8_000_000
 #: What only special tokens hold, and punctuation at the end of ASCII letters and digits (without the apostrophe of contractions).
@@ -115,6 +115,16 @@ class Encoder:
         return np.split(ids, upto[:-1])
 
 
+#: Encoders that this worker has from earlier tasks.
+_KEPT: dict[str, Encoder] = {}
+
+
+def encoder_of(vocabulary: str) -> Encoder:
+    if vocabulary not in _KEPT:
+        _KEPT[vocabulary] = Encoder(vocabulary)
+    return _KEPT[vocabulary]
+
+
 def blocks(texts: list, size: int = 1 << 20) -> Iterator[list[int]]:
     """Places of texts in runs of about size characters."""
     some, held = [], 0
@@ -137,7 +147,7 @@ def cuts(n: int, longest: int = LONGEST) -> list[int]:
 
 def packer(vocabulary: str, end: int, longest: int):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary)
+        encoder = encoder_of(vocabulary)
         schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64())])
         out: list[list] = [[] for _ in schema]
         held = 0
