@@ -263,7 +263,8 @@ def test_language_model(spark, frequent):
     held = [i for i in range(200) if i not in set(train)]
     assert sum(got[i].score for i in held) > sum(got[i].base_score for i in held)
     # the classes are a distribution, and so are the tokens of each
-    p = np.exp(maxent.log_softmax(model.weights, model.bias, np.zeros((1, maxent.SLOTS), np.int32) + np.arange(maxent.SLOTS) * maxent.ROWS))
+    rows = np.zeros((maxent.CLASSES, maxent.SLOTS), np.int32) + np.arange(maxent.SLOTS, dtype=np.int32) * maxent.ROWS
+    p = np.exp(maxent.log_softmax_of(model.weights, model.bias, rows, np.arange(maxent.CLASSES)))
     assert abs(p.sum() - 1) < 1e-5
     single = set(model.singles.tolist())
     inside = np.array(model.unseen)

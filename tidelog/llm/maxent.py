@@ -3,8 +3,8 @@
 P(token | history) = P(class | history) * P(token | class).  The ``SINGLES`` most
 frequent tokens (the end token among them) are classes of their own; every other
 token is in one of ``SPELLINGS`` classes by the hash of its last two bytes.  The
-class softmax has hashed features: the last token, the two before it skipping the
-ones between, and the last two together, each in ``ROWS`` rows of weights, and a
+class softmax has hashed features: the last token, the one before it skipping the
+last, and both together, each in ``ROWS`` rows of weights, and a
 bias.  Within a spelling class a token has its share of the class's training
 count; unseen tokens share the class's Good-Turing mass, its part of tokens that
 occurred once.  So the model is a proper distribution over known tokens and one
@@ -15,8 +15,8 @@ Token counts cover all training documents and stay distributed.  Only the
 scan as (hash, count in the document) and are joined with the counts.  Training
 passes once over all training documents, in ``ROUNDS`` disjoint parts: each task
 takes AdaGrad steps from the current weights over its share, and the tasks'
-weights are averaged by their tokens before the next part.  At most ``TRAINERS``
-tasks train at once, so what a round gathers is bounded by the cluster, while
+weights are averaged by their tokens before the next part.  A round has two tasks
+a core at most, so the weights that it gathers are bounded by the cluster, while
 counts grow with the corpus.
 
 Edge cases: null and empty texts are the end token alone; without training
@@ -29,6 +29,7 @@ import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -39,13 +40,12 @@ from pyspark.sql import functions as F
 
 from .common import cut, remainder, table
 
-SINGLES, SPELLINGS = 64, 32
+SINGLES, SPELLINGS = 32, 17
 CLASSES = SINGLES + SPELLINGS
 ROWS = 1 << 13
-SLOTS = 4
+SLOTS = 3
 FREQUENT = 200_000
 ROUNDS = 3
-TRAINERS = 4096
 STEP = 4096
 RATE = 0.2
 CACHED_WORDS = 300_000
@@ -59,7 +59,7 @@ def token_hash(word: bytes) -> int:
 
 
 def spelling(word: bytes) -> int:
-    return zlib.crc32(word[-2:]) % SPELLINGS
+    return int.from_bytes(word[-2:], "big") % SPELLINGS
 
 
 def tokens_of(text: str | None) -> list[bytes]:
@@ -116,18 +116,30 @@ class Vocabulary:
             self.clear()
         tokens = [tokens_of(t) for t in texts]
         sizes = np.array([len(t) for t in tokens], np.int64)
-        flat = [w for t in tokens for w in t]
+        flat = list(chain.from_iterable(tokens))
         if new := set(flat).difference(self.index):
             self.learn(list(new))
         return np.fromiter(map(self.index.__getitem__, flat), np.int64, len(flat)), sizes
 
 
+_KEPT: dict[tuple, Vocabulary] = {}
+
+
+def vocabulary(frequent: np.ndarray, counts: np.ndarray, singles: np.ndarray) -> Vocabulary:
+    """The Vocabulary over those counts that this worker has from an earlier task, or a new one."""
+    key = (zlib.crc32(frequent.tobytes()), zlib.crc32(counts.tobytes()), zlib.crc32(singles.tobytes()))
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = Vocabulary(frequent, counts, singles)
+    return _KEPT[key]
+
+
 def history(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Rows of weights of each token's features, from token hashes."""
     u = (h.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(16)
     within = np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     back = []
-    for d in (1, 2, 3):
+    for d in (1, 2):
         x = np.zeros(len(u), np.uint64)
         x[d:] = u[:-d] if d <= len(u) else 0
         x[within < d] = 0
@@ -136,15 +148,31 @@ def history(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.stack([(x % np.uint64(ROWS)).astype(np.int32) + i * ROWS for i, x in enumerate((*back, pair))], axis=1)
 
 
-def log_softmax(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    z = weights[rows[:, 0]] + bias
+def energies(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Sums of the features' weights for each class, the largest 0."""
+    z = np.take(weights, rows[:, 0], axis=0)
+    z += bias
     for i in range(1, rows.shape[1]):
-        z += weights[rows[:, i]]
+        z += np.take(weights, rows[:, i], axis=0)
     z -= z.max(1, keepdims=True)
-    z -= np.log(np.exp(z).sum(1, keepdims=True))
     return z
 
 
+def softmax(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    z = energies(weights, bias, rows)
+    np.exp(z, out=z)
+    z /= z.sum(1, keepdims=True)
+    return z
+
+
+def log_softmax_of(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray, cls: np.ndarray) -> np.ndarray:
+    """Log probability of one class for each row."""
+    z = energies(weights, bias, rows)
+    own = z[np.arange(len(cls)), cls]
+    np.exp(z, out=z)
+    return own - np.log(z.sum(1))
+
+
 def blocks(batches: Iterator[pa.RecordBatch], column: int, size: int = 1 << 20) -> Iterator[tuple[list, list[int], pa.RecordBatch]]:
     """Texts of a batch in runs of about size characters."""
     for batch in batches:
@@ -163,7 +191,8 @@ def blocks(batches: Iterator[pa.RecordBatch], column: int, size: int = 1 << 20)
 def trainer(held, rate: float = RATE):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, counts, singles, weights, bias, square = held.value
-        words = Vocabulary(frequent, counts, singles)
+        words = vocabulary(frequent, counts, singles)
+        place, classes = np.zeros(ROWS, np.int64), np.arange(CLASSES)
         w, b, g2 = weights.copy(), bias.copy(), square.copy()
         seen = 0
         for texts, _, _ in blocks(batches, 0):
@@ -171,17 +200,18 @@ def trainer(held, rate: float = RATE):
             rows, cls = history(words.hash[at], sizes), words.cls[at]
             for a in range(0, len(at), STEP):
                 r, y = rows[a : a + STEP], cls[a : a + STEP]
-                slope = np.exp(log_softmax(w, b, r))
+                slope = softmax(w, b, r)
                 slope[np.arange(len(y)), y] -= 1
                 b -= np.float32(rate * 0.1) * slope.mean(0)
                 for i in range(SLOTS):
-                    order = np.argsort(r[:, i], kind="stable")
-                    row = r[order, i]
-                    first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
-                    grad = np.add.reduceat(slope[order], first, axis=0)
-                    row = row[first]
-                    g2[row] += (grad * grad).mean(1)
-                    w[row] -= np.float32(rate) * grad / np.sqrt(g2[row])[:, None]
+                    used = np.flatnonzero(np.bincount(r[:, i] - i * ROWS, minlength=ROWS))
+                    place[used] = np.arange(len(used))
+                    cell = (place[r[:, i] - i * ROWS] * CLASSES)[:, None] + classes
+                    grad = np.bincount(cell.ravel(), slope.ravel(), len(used) * CLASSES).reshape(-1, CLASSES).astype(np.float32)
+                    row = used + i * ROWS
+                    g2[row] += np.einsum("ij,ij->i", grad, grad) / np.float32(CLASSES)
+                    grad *= (np.float32(rate) / np.sqrt(g2[row]))[:, None]
+                    w[row] -= grad
             seen += len(at)
         if seen:
             for i, part in enumerate(np.array_split(np.concatenate([w, b[None, :]]), 64)):
@@ -222,7 +252,7 @@ class Model:
         self.weights = np.zeros((SLOTS * ROWS, CLASSES), np.float32)
         self.bias = np.log(share).astype(np.float32)
         square = np.full(SLOTS * ROWS, 0.1, np.float32)
-        tasks = max(1, min(TRAINERS, training.rdd.getNumPartitions()))
+        tasks = max(1, 2 * spark.sparkContext.defaultParallelism)  # coalesce() never adds any
         for part in range(ROUNDS if self.total else 0):
             held = spark.sparkContext.broadcast((self.frequent, self.n, self.singles, self.weights, self.bias, square))
             own = training.where(F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS)) == part).select("text").coalesce(tasks)
@@ -242,7 +272,7 @@ class Model:
 def scorer(held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, total, kinds = held.value
-        words = Vocabulary(m["frequent"], m["n"], m["singles"])
+        words = vocabulary(m["frequent"], m["n"], m["singles"])
         floor = math.log10(total + 0.1 * (kinds + 1))
         for texts, rows, batch in blocks(batches, 1):
             at, sizes = words.places(texts)
@@ -250,8 +280,7 @@ def scorer(held):
             features = history(h, sizes)
             score = np.empty(len(at))
             for a in range(0, len(at), STEP):
-                some = log_softmax(m["weights"], m["bias"], features[a : a + STEP])
-                score[a : a + STEP] = some[np.arange(len(some)), cls[a : a + STEP]]
+                score[a : a + STEP] = log_softmax_of(m["weights"], m["bias"], features[a : a + STEP], cls[a : a + STEP])
             score /= math.log(10)
             known = n > 0
             score += np.where(known, Model.inside(held_model(m), np.maximum(n, 1), cls), 0.0)
