@@ -32,7 +32,8 @@ from .common import remainder, table
 PER_LABEL = (8000, 3000)
 LONGEST_SAMPLE = 200_000
 BITS = 18
-EPOCHS = 8
+#: Passes over the sample, and gradient steps, at least.
+EPOCHS, LEAST_STEPS = 8, 800
 #: Features let in by chance, on average, at most.
 FALSE_FEATURES = 3
 THRESHOLD = 0.3
@@ -95,8 +96,9 @@ def fit(texts: list[str], toxic: list[int], rate: float = 0.5, lasso: float = 1e
     w, bias = np.full(n, 1.0), -6.0
     g2, b2 = np.full(n, 1e-8), 1e-6
     order = np.random.default_rng(7)
-    for _ in range(EPOCHS):
-        for chunk in np.array_split(order.permutation(len(bags)), max(1, len(bags) // 32)):
+    batches = max(1, len(bags) // 32)
+    for _ in range(max(EPOCHS, -(-LEAST_STEPS // batches))):
+        for chunk in np.array_split(order.permutation(len(bags)), batches):
             grad, gb = np.zeros(n), 0.0
             for i in chunk:
                 at, sentence, size = bags[i]
@@ -171,7 +173,7 @@ def score(docs: DataFrame, model, keep: list[str]) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(held.value) if held.value else None
         for pdf in batches:
-            got = [scorer.score(t) if scorer and t else (0.0, 0, 0, 0.0) for t in pdf.pop("__text")]
+            got = [scorer.score(t) if scorer is not None and t else (0.0, 0, 0, 0.0) for t in pdf.pop("__text")]  # an empty Scorer is false
             for i, c in enumerate(("toxicity", "worst_start", "worst_end", "worst_toxicity")):
                 pdf[c] = [g[i] for g in got]
             yield pdf
