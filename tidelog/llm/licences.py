@@ -57,6 +57,8 @@ BACKGROUND_PARAGRAPHS = 3000
 COMMON = 0.01
 VARIANTS = 30
 SURE, ALIKE = 0.5, 0.6
+#: Words that only licence talk has.
+TALK = frozenset({"license", "licensed", "copyright", "spdx"})
 TOKEN = re.compile(r"[^\W_]+")
 
 
@@ -86,7 +88,8 @@ def variants(words: list[str], filler: list[str], rng: np.random.Generator, n: i
 class LicenceModel:
     def __init__(self, background: list[str]):
         rng = np.random.default_rng(3)
-        lines = [TOKEN.findall(p.lower()) for t in background for _, _, p in paragraphs(t)][:BACKGROUND_PARAGRAPHS]
+        lines = [TOKEN.findall(p.lower()) for t in background for _, _, p in paragraphs(t)]
+        lines = [x for x in lines if TALK.isdisjoint(x)][:BACKGROUND_PARAGRAPHS]  # the background names no licence itself
         seen = Counter(w for x in lines for w in set(x))
         filler = list(seen)[:500]
         notices = [(f, TOKEN.findall(t.lower())) for f, ts in TEMPLATES.items() for t in ts] + [(UNKNOWN, TOKEN.findall(t.lower())) for t in GENERIC]
@@ -98,7 +101,7 @@ class LicenceModel:
         for family, words in notices:
             for i, v in enumerate(variants(words, filler, rng)):
                 (held if i % 5 == 4 else train).append((self.names.index(family), grams(v, self.informative)))
-        train += [(len(self.names) - 1, g) for x in lines if not ((g := grams(x, self.informative)) and {"license", "licensed", "copyright"} & g)]
+        train += [(len(self.names) - 1, grams(x, self.informative)) for x in lines]
         # single words of notices in ordinary text are no licence
         train += [(len(self.names) - 1, {str(w)}) for w in sorted(self.informative - {"license", "licensed"}) if w.isalpha()]
         self.at = {g: i for i, g in enumerate(sorted({g for _, s in train for g in s}))}

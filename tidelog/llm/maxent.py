@@ -315,9 +315,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     got = cut(got.withColumn("row", F.monotonically_increasing_id()), "scored")
     rare = got.select("row", F.explode("rare").alias("r")).select("row", "r.*").join(model.counts.select("token", "n"), "token", "left")
     n = F.coalesce("n", F.lit(0)).cast("double")
-    b = F.col("cls") - SINGLES + 1
-    unseen, size = (F.element_at(F.array(*[F.lit(float(x)) for x in xs]), b) for xs in (model.unseen, np.maximum(model.size, 1)))
-    inside = F.log10(F.when(n > 0, (1 - unseen) * n / size).otherwise(unseen))
+    b = F.greatest(F.col("cls") - SINGLES, F.lit(0))
+    unseen, size = (F.get(F.array(*[F.lit(float(x)) for x in xs]), b) for xs in (model.unseen, np.maximum(model.size, 1)))
+    # an unseen token with a class of its own (the end token, without training) has all of it
+    inside = F.log10(F.when(F.col("cls") < SINGLES, 1.0).when(n > 0, (1 - unseen) * n / size).otherwise(unseen))
     base = F.log10((n + 0.1) / F.lit(model.total + 0.1 * (model.kinds + 1)))
     rare = rare.groupBy("row").agg(F.sum(F.when(n > 0, F.col("times")).otherwise(0)).alias("known"), F.sum(F.col("times") * base).alias("rare_base"), F.sum(F.col("times") * inside).alias("rare_score"))
     out = got.drop("rare").join(rare, "row", "left")
