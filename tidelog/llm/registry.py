@@ -10,7 +10,7 @@ from .mixing import OP9_SQL, op9_wfq_mix
 from .neighbours import OP1_SQL, op1_pivot_range_join
 from .packing import op6_binary_packing
 from .sketch import op7_bottom_k
-from .suffixes import op2_log_suffix
+from .suffixes import OP2_SQL, op2_log_suffix
 from .toxicity import op4_mil_toxicity
 
 QUERIES = {
@@ -28,6 +28,7 @@ QUERIES = {
 
 ORACLES = {
     "op1_pivot_range_join": OP1_SQL,
+    "op2_log_suffix": OP2_SQL,
     "op3_bbit_minhash": OP3_SQL,
     "op9_wfq_mix": OP9_SQL,
 }

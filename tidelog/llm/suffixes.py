@@ -342,3 +342,29 @@ def op2_log_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
             yield pd.DataFrame({"doc_id": pdf.doc_id, **{k: [r[i] for r in rows] for i, k in enumerate(("n_bytes", "n_removed", "n_spans", "kept_sha256"))}})
 
     return found.select("doc_id", "text", "spans").mapInPandas(digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+OP2_SQL = """
+WITH d AS (
+  SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents
+), w AS (
+  SELECT doc_id, p, md5(b[p:p + 399]) AS h FROM (SELECT doc_id, b, unnest(range(1, octet_length(b) - 398)) AS p FROM d)
+), r AS (
+  SELECT h FROM w GROUP BY h HAVING count(*) > 1
+), m AS (
+  SELECT doc_id, p, p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS step FROM w WHERE h IN (SELECT h FROM r)
+), i AS (
+  SELECT doc_id, p, sum(CASE WHEN step <= 400 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY p ROWS UNBOUNDED PRECEDING) AS run FROM m
+), s AS (
+  SELECT doc_id, min(p) AS a, max(p) + 399 AS z FROM i GROUP BY doc_id, run
+), k AS (
+  SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) + 1 AS before FROM s
+), kept AS (
+  SELECT d.doc_id, string_agg(hex(b[k.before:k.a - 1]), '' ORDER BY k.a) || hex(any_value(b)[max(k.z) + 1:octet_length(any_value(b))]) AS rest,
+    sum(k.z - k.a + 1) AS n_removed, count(*) AS n_spans
+  FROM d JOIN k ON k.doc_id = d.doc_id GROUP BY d.doc_id
+)
+SELECT d.doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(CASE WHEN rest IS NULL THEN b ELSE unhex(rest) END) AS kept_sha256
+FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id
+"""
