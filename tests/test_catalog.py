@@ -63,3 +63,9 @@ def test_point_lookup_reaches_the_scan(spark):
 def test_top_k_is_a_bounded_heap(spark):
     assert "TakeOrderedAndProject" in plan(catalog.QUERIES["vec_nearest_cosine"](spark, SF).drop("none"))
     assert "CartesianProduct" not in plan(catalog.QUERIES["vec_knn_join"](spark, SF))
+
+
+@pytest.mark.parametrize("name", ["vec_knn_join_all", "vec_knn_join_l2sq_all", "vec_ivf_nearest"])
+def test_searches_ask_with_every_fiftieth_row(spark, name):
+    asked = {r.qid for r in catalog.QUERIES[name](spark, SF).select("qid").distinct().collect()}
+    assert asked == set(range(0, 500, 50))

@@ -286,22 +286,30 @@ def vec_normalize(spark, sf_dir):
     return embeddings(spark, sf_dir).select("vec_id", F.posexplode(unit).alias("pos", "x")).select("vec_id", F.col("pos").cast("long").alias("pos"), F.round("x", 6).alias("x"))
 
 
-def _queries(spark, sf_dir) -> DataFrame:
-    return embeddings(spark, sf_dir).where("vec_id < 5").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("query"))
+#: The rows that searches query with: all with an id divisible by 50, and the five that some queries' SQL names.
+ASKED, FIVE = "vec_id % 50 = 0", "vec_id < 5"
 
 
-def _knn_sql(metric: str = COSINE) -> str:
-    return f"WITH {ops_v_sql('')}, d AS (SELECT e.vec_id AS qid, l.key, {d_sql('l.embedding', 'e.embedding', metric)} AS distance FROM live l, embeddings e WHERE e.vec_id < 5) SELECT qid, key, distance, row_number() OVER (PARTITION BY qid ORDER BY distance, key) AS rank FROM d QUALIFY rank <= 10"
+def _queries(spark, sf_dir, which: str = ASKED) -> DataFrame:
+    return embeddings(spark, sf_dir).where(which).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("query"))
 
 
-@query(_knn_sql())
-def vec_knn_join(spark, sf_dir):
-    return rounded(knn.knn_join(live_vectors(spark, sf_dir, ""), _queries(spark, sf_dir), 10)).withColumn("rank", F.col("rank").cast("long"))
+def _knn_sql(metric: str = COSINE, which: str = FIVE) -> str:
+    return f"WITH {ops_v_sql('')}, d AS (SELECT e.vec_id AS qid, l.key, {d_sql('l.embedding', 'e.embedding', metric)} AS distance FROM live l, embeddings e WHERE e.{which}) SELECT qid, key, distance, row_number() OVER (PARTITION BY qid ORDER BY distance, key) AS rank FROM d QUALIFY rank <= 10"
 
 
-@query(_knn_sql(EUCLIDEAN_SQUARED))
-def vec_knn_join_l2sq(spark, sf_dir):
-    return rounded(knn.knn_join_columns(live_vectors(spark, sf_dir, ""), _queries(spark, sf_dir), 10, EUCLIDEAN_SQUARED)).withColumn("rank", F.col("rank").cast("long"))
+def _knn(join, metric: str, which: str):
+    def run(spark, sf_dir):
+        return rounded(join(live_vectors(spark, sf_dir, ""), _queries(spark, sf_dir, which), 10, metric)).withColumn("rank", F.col("rank").cast("long"))
+
+    return run, _knn_sql(metric, which)
+
+
+for _name, _args in {
+    "vec_knn_join": (knn.knn_join, COSINE, FIVE), "vec_knn_join_l2sq": (knn.knn_join_columns, EUCLIDEAN_SQUARED, FIVE),
+    "vec_knn_join_all": (knn.knn_join, COSINE, ASKED), "vec_knn_join_l2sq_all": (knn.knn_join, EUCLIDEAN_SQUARED, ASKED),
+}.items():
+    QUERIES[_name], ORACLES[_name] = _knn(*_args)
 
 
 @query("SELECT * FROM (VALUES (1, NULL), (2, 'empty'), (3, 'non-finite'), (4, 'non-finite'), (5, 'dimension'), (6, 'zero norm'), (7, 'empty')) t(id, problem)")
@@ -364,18 +372,25 @@ def q_compression(spark, sf_dir):
     return embeddings(spark, sf_dir).agg(whole.alias("bytes"), small.alias("quantized_bytes"), (whole / small).alias("ratio"))
 
 
-@query(
-    f"WITH {BOUNDS}, c AS (SELECT vec_id, list(low + {CODE} / 255 * (high::DOUBLE - low::DOUBLE) ORDER BY dim) AS embedding FROM embeddings, b GROUP BY vec_id), "
-    f"e AS (SELECT q.vec_id AS qid, v.vec_id AS id, {d_sql('v.embedding', 'q.embedding', COSINE)} AS d FROM embeddings q, embeddings v WHERE q.vec_id < 5 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY d, v.vec_id) <= 10), "
-    f"a AS (SELECT q.vec_id AS qid, v.vec_id AS id, {d_sql('v.embedding', 'q.embedding', COSINE)} AS d FROM embeddings q, c v WHERE q.vec_id < 5 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY d, v.vec_id) <= 10) "
-    "SELECT round(avg(r), 6) AS recall FROM (SELECT e.qid, count(a.id) / 10.0 AS r FROM e LEFT JOIN a ON a.qid = e.qid AND a.id = e.id GROUP BY e.qid)"
-)
-def q_recall(spark, sf_dir):
-    v = embeddings(spark, sf_dir).select(F.col("vec_id").alias("key"), "embedding")
-    coded = v.select("key", _quantizer(spark, sf_dir).round_trip(F.col("embedding"), "double").alias("embedding"))
-    asked = _queries(spark, sf_dir)
-    got = knn.recall(knn.knn_join(coded, asked, 10), knn.knn_join(v, asked, 10), 10)
-    return got.select(F.round("recall", 6).alias("recall"))
+def _quantized_recall(which: str):
+    def run(spark, sf_dir):
+        v = embeddings(spark, sf_dir).select(F.col("vec_id").alias("key"), "embedding")
+        coded = v.select("key", _quantizer(spark, sf_dir).round_trip(F.col("embedding"), "double").alias("embedding"))
+        asked = _queries(spark, sf_dir, which)
+        got = knn.recall(knn.knn_join(coded, asked, 10), knn.knn_join(v, asked, 10), 10)
+        return got.select(F.round("recall", 6).alias("recall"))
+
+    sql = (
+        f"WITH {BOUNDS}, c AS (SELECT vec_id, list(low + {CODE} / 255 * (high::DOUBLE - low::DOUBLE) ORDER BY dim) AS embedding FROM embeddings, b GROUP BY vec_id), "
+        f"e AS (SELECT q.vec_id AS qid, v.vec_id AS id, {d_sql('v.embedding', 'q.embedding', COSINE)} AS d FROM embeddings q, embeddings v WHERE q.{which} QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY d, v.vec_id) <= 10), "
+        f"a AS (SELECT q.vec_id AS qid, v.vec_id AS id, {d_sql('v.embedding', 'q.embedding', COSINE)} AS d FROM embeddings q, c v WHERE q.{which} QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY d, v.vec_id) <= 10) "
+        "SELECT round(avg(r), 6) AS recall FROM (SELECT e.qid, count(a.id) / 10.0 AS r FROM e LEFT JOIN a ON a.qid = e.qid AND a.id = e.id GROUP BY e.qid)"
+    )
+    return run, sql
+
+
+for _name, _which in {"q_recall": FIVE, "q_recall_all": ASKED}.items():
+    QUERIES[_name], ORACLES[_name] = _quantized_recall(_which)
 
 
 # filter and codecs
