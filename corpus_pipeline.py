@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,22 +30,27 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without their repeated bytes; texts of which nothing is left go.
+    """Texts without their repeated passages of over 50 words (or of 400 bytes); texts of which nothing is left go.
 
     A character that a repeated range cuts through goes with it.
     """
-    found = suffixes.repeats(docs.select(COLUMNS))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            spans = pdf.pop("spans")
-            pdf["text"] = [t if s is None else suffixes.without(t.encode(), suffixes.merged(s)).decode("utf-8", "ignore") for t, s in zip(pdf.text, spans)]
-            yield pdf[COLUMNS]
-
-    touched = found.where(F.col("spans").isNotNull())
-    changed = touched.select(*COLUMNS, "spans").mapInPandas(run, docs.select(COLUMNS).schema).where(F.length(F.trim("text")) > 0)
+    found = suffixes.passages(docs.select(COLUMNS))
+    at = COLUMNS.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = []
+            for text, in_words, in_bytes in zip(*(batch.column(i) for i in (at, len(COLUMNS), len(COLUMNS) + 1))):
+                data = text.as_py().encode()
+                texts.append(suffixes.without(data, suffixes.spans_of(data, in_words.as_py(), in_bytes.as_py())).decode("utf-8", "ignore"))
+            kept = [*batch.columns[: len(COLUMNS)]]
+            kept[at] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays(kept, names=COLUMNS)
+
+    clean = F.col("in_words").isNull() & F.col("in_bytes").isNull()
+    changed = found.where(~clean).mapInArrow(run, docs.select(COLUMNS).schema).where(F.length(F.trim("text")) > 0)
     changed = changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(COLUMNS)
-    return found.where(F.col("spans").isNull()).select(COLUMNS).unionByName(changed)
+    return found.where(clean).select(COLUMNS).unionByName(changed)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -90,3 +90,17 @@ def test_pipeline_run_on_nothing(spark, tmp_path):
     spark.createDataFrame([], DOCS).write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     assert corpus_pipeline.run(spark, folder).count() == 0
+
+
+def test_pipeline_cuts_passages_of_over_50_words(spark):
+    rng = random.Random(21)
+    say = lambda n: " ".join("".join(rng.choices("abcdefghijklmno", k=rng.randint(3, 7))) for _ in range(n))
+    over, under, solid = say(51), say(50), "".join(rng.choices("abcdefghijklmno", k=450))
+    assert len(over) < 400
+    texts = [f"{say(30)} {x} {say(30)}" for x in (over, over.replace(" ", "  ", 3), under, under, solid, solid)] + ["a " * 60, "b", None]
+    rows = [(i if i != 1 else None, t, "en", "s", len(t or "")) for i, t in enumerate(texts)]
+    got = {r.doc_id: r.text for r in corpus_pipeline.cut_repeats(spark, spark.createDataFrame(rows, DOCS), "").collect()}
+    assert solid not in got[4] and solid not in got[5]
+    assert got[0].split() == texts[0].replace(over, "").split()
+    assert got[None].split() == texts[1].split()[:30] + texts[1].split()[-30:]
+    assert [got[i] for i in (2, 3, 7)] == texts[2:4] + ["b"] and got[8] is None and set(got) == {0, None, 2, 3, 4, 5, 7, 8}

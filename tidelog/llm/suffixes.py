@@ -31,6 +31,7 @@ other; the texts' lengths are not bounded.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 from collections.abc import Iterator
 
@@ -49,6 +50,9 @@ CHUNK = 1 << 19
 #: Kinds of context of an anchor that one task may hold, and of all its anchors together.
 HOT = 20_000
 CONTEXTS_A_TASK = 20_000
+#: Words of a passage, and hash characters a word, for passages(): a repeat of over 50 words.
+WORDS, CODE = 51, 8
+CACHED_WORDS = 300_000
 
 U = np.uint64
 _RNG = np.random.default_rng(400)
@@ -309,6 +313,73 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
     return keyed.join(by_doc(marked.select("doc_id", "text_hash", F.col("spans"))), same, "left").drop("d", "t")
 
 
+class Codes(dict):
+    """word -> CODE characters of its hash, filled as words come."""
+
+    def __missing__(self, word: bytes) -> str:
+        if len(self) > CACHED_WORDS:
+            self.clear()
+        v = self[word] = base64.b64encode(hashlib.blake2b(word, digest_size=CODE * 3 // 4).digest()).decode()
+        return v
+
+
+def word_bounds(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words of data."""
+    d = np.frombuffer(data, np.uint8)
+    inside = np.zeros(len(d) + 2, np.int8)
+    inside[1:-1] = ~((d == 32) | ((d >= 9) & (d <= 13)))
+    step = np.diff(inside)
+    return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+
+
+def wide(data: bytes, words: int, length: int) -> bool:
+    """Whether some window of length bytes may hold fewer whole words than that."""
+    start, end = word_bounds(data)
+    last = np.minimum(np.arange(len(start) + 1) + words + 1, len(start))
+    return bool((np.append(start, len(data))[last] - np.append(0, end)).max() >= length)
+
+
+def passages(docs: DataFrame, words: int = WORDS, length: int = LENGTH) -> DataFrame:
+    """docs with in_words and in_bytes, for spans_of: what repeats for so many words and for length bytes; null where nothing does.
+
+    A text is put as a string of CODE hash characters a word, so that strings of so
+    many words are strings of one length, and repeats() finds those.  A string of
+    length bytes with fewer words is only in texts that have such a window, so the
+    texts' own bytes are compared among these alone.
+    """
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = Codes()
+        for batch in batches:
+            texts = ["".join([codes[w] for w in t.as_py().encode().split()]) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["doc_id", "whole_hash", "text"])
+
+    def only_wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([wide(t.as_py().encode(), words, length) for t in batch.column(1)], pa.bool_()))
+
+    spans = "array<struct<a:int,b:int>>"
+    none = F.lit(None).cast(spans)
+    able = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    coded = able.select("doc_id", F.xxhash64("text").alias("whole_hash"), "text").mapInArrow(code, "doc_id long, whole_hash long, text string")
+    marked = repeats(coded, CODE * words).where(F.col("spans").isNotNull()).select("doc_id", "whole_hash", F.col("spans").cast(spans).alias("in_words"), none.alias("in_bytes"))
+    some = cut(able.where(F.octet_length("text") >= length).mapInArrow(only_wide, "doc_id long, text string"), "wide")
+    if not some.isEmpty():
+        found = repeats(some, length).where(F.col("spans").isNotNull())
+        marked = marked.union(found.select("doc_id", "text_hash", none, F.col("spans").cast(spans)))
+    marked = marked.groupBy(F.col("doc_id").alias("d"), F.col("whole_hash").alias("t")).agg(*[F.first(c, True).alias(c) for c in ("in_words", "in_bytes")])
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("d")) & (F.xxhash64("text") == F.col("t"))
+    return docs.join(marked, same, "left").drop("d", "t")
+
+
+def spans_of(data: bytes, in_words, in_bytes, words: int = WORDS) -> list[tuple[int, int]]:
+    """The byte ranges of data that passages() found; the space behind words goes with them."""
+    start = np.append(word_bounds(data)[0], len(data))
+    of = [(-(-a // CODE), b // CODE) for a, b in merged(in_words)]
+    found = [(int(start[a]), int(start[b])) for a, b in of if b - a >= words] + merged(in_bytes)
+    return merged([{"a": a, "b": b} for a, b in sorted(found)])
+
+
 def merged(spans) -> list[tuple[int, int]]:
     """Maximal runs of sorted byte ranges."""
     out: list[list[int]] = []
