@@ -275,6 +275,23 @@ def test_language_model(spark, frequent):
     assert all(abs(x - 1) < 1e-9 for x, s in zip(inside, model.size) if s)
 
 
+def test_language_model_sees_the_third_last_token(spark):
+    def texts(seed):
+        rng = random.Random(seed)
+        out = []
+        for _ in range(150):
+            w = [f"w{rng.randrange(40)}" for _ in range(3)]
+            while len(w) < 80:  # only the token three before tells the next
+                w.append(f"w{(int(w[-3][1:]) * 7 + 3) % 40}" if rng.random() < 0.9 else f"w{rng.randrange(40)}")
+            out.append(" ".join(w))
+        return out
+
+    rows = docs_of(spark, texts(1) * 4)
+    model = maxent.Model(maxent.count_tokens(rows), rows)
+    got = maxent.score(docs_of(spark, texts(2)), model).agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
+    assert len(model.bias) == 96 and got.s > 0.8 * got.b
+
+
 def test_language_model_empty(spark):
     rows = docs_of(spark, ["a b", None])
     none = rows.where("doc_id < 0")

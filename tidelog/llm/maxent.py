@@ -3,8 +3,8 @@
 P(token | history) = P(class | history) * P(token | class).  The ``SINGLES`` most
 frequent tokens (the end token among them) are classes of their own; every other
 token is in one of ``SPELLINGS`` classes by the hash of its last two bytes.  The
-class softmax has hashed features: the last token, the one before it skipping the
-last, and both together, each in ``ROWS`` rows of weights, and a
+class softmax has hashed features: the last token, the two before it skipping the
+ones between, and the last two together, each in ``ROWS`` rows of weights, and a
 bias.  Within a spelling class a token has its share of the class's training
 count; unseen tokens share the class's Good-Turing mass, its part of tokens that
 occurred once.  So the model is a proper distribution over known tokens and one
@@ -40,10 +40,10 @@ from pyspark.sql import functions as F
 
 from .common import cut, remainder, table
 
-SINGLES, SPELLINGS = 32, 17
+SINGLES, SPELLINGS = 64, 32
 CLASSES = SINGLES + SPELLINGS
 ROWS = 1 << 13
-SLOTS = 3
+SLOTS = 4
 FREQUENT = 200_000
 ROUNDS = 3
 STEP = 4096
@@ -59,7 +59,7 @@ def token_hash(word: bytes) -> int:
 
 
 def spelling(word: bytes) -> int:
-    return int.from_bytes(word[-2:], "big") % SPELLINGS
+    return zlib.crc32(word[-2:]) % SPELLINGS
 
 
 def tokens_of(text: str | None) -> list[bytes]:
@@ -139,7 +139,7 @@ def history(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     u = (h.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(16)
     within = np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     back = []
-    for d in (1, 2):
+    for d in (1, 2, 3):
         x = np.zeros(len(u), np.uint64)
         x[d:] = u[:-d] if d <= len(u) else 0
         x[within < d] = 0
