@@ -146,6 +146,23 @@ def test_toxicity(spark):
     assert toxicity.score(docs_of(spark, []), model, ["doc_id"]).count() == 0
 
 
+def test_toxicity_of_very_long_texts(spark):
+    texts, labels = toxic_corpus()
+    labels = [1 if i % 25 == 0 else y for i, y in enumerate(labels)]  # labels that no sentence accounts for
+    rows = docs_of(spark, texts)
+    marked = spark.createDataFrame([(i, 1, y) for i, y in enumerate(labels)], "doc_id long, quality int, toxic int")
+    clean = ". ".join(words(8, 100 + i % 500) for i in range(500)) + ". "
+    long = docs_of(spark, [clean * 100, clean * 50 + "some blargh here. " + clean * 50])
+    for per_label in ((8000, 3000), (100, 90)):
+        model = toxicity.train(rows, marked, per_label)
+        a, b = toxicity.score(long, model, ["doc_id"]).orderBy("doc_id").collect()
+        assert a.toxicity < 0.3 <= b.toxicity
+    # texts of over 200,000 characters are learned from
+    many = docs_of(spark, [" ".join(words(8, i)[::-1] for i in range(6)) for _ in range(60)] + [clean * 15 + words(6, i) + " blargh. " for i in range(20)])
+    assert many.where("length(text) > 200000").count() == 20
+    assert toxicity.train(many, spark.createDataFrame([(i, 1, int(i >= 60)) for i in range(80)], "doc_id long, quality int, toxic int")) is not None
+
+
 # language
 
 

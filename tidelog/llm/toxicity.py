@@ -2,13 +2,17 @@
 
 A document is a bag of sentences.  Each sentence has a probability, the logistic
 of the summed weights of its words and of their first four and five letters; the
-document's is the noisy-or of its sentences', 1 - prod(1 - p).  Only document
+document's is the noisy-or of its sentences', 1 - prod(1 - p).  A sentence adds
+what its words add to the bias, so one without weighted words adds nothing however
+many there are; a document-level noise term, fitted along and left out of scores,
+stands for toxic labels that no sentence accounts for.  Only document
 labels are known in training; the noisy-or's gradient finds the sentences that
 account for them, so the same weights then locate the offending sentences.
 
 The model is fitted on a bounded sample of labelled documents (``PER_LABEL`` of
-label 0 and of label 1, in order of a hash of doc_id, texts over ``LONGEST_SAMPLE``
-characters left out); every whole text is scored, in one narrow stage.
+label 0 and of label 1, in order of a hash of doc_id, whatever their length); each
+label counts by its share of all labels, not of the sample.  Every whole text is
+scored, in one narrow stage.
 
 Edge cases: null or wordless texts have score 0.0 and no offending sentence;
 without labelled documents of both kinds every score is 0.0.  Rows of labels
@@ -30,7 +34,6 @@ from pyspark.sql import functions as F
 from .common import remainder, table
 
 PER_LABEL = (8000, 3000)
-LONGEST_SAMPLE = 200_000
 BITS = 18
 #: Passes over the sample, and gradient steps, at least.
 EPOCHS, LEAST_STEPS = 8, 800
@@ -58,8 +61,10 @@ def features(word: str) -> list[int]:
     return [zlib.crc32(f"{kind}{part}".encode("utf-8", "replace")) & mask for kind, part in (("w", word), ("4", word[:4]), ("5", word[:5]))]
 
 
-def fit(texts: list[str], toxic: list[int], rate: float = 0.5, lasso: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Weights and bias by AdaGrad on the noisy-or likelihood of document labels.
+def fit(texts: list[str], toxic: list[int], shares: tuple[float, float] = (1.0, 1.0), rate: float = 0.5, lasso: float = 1e-4) -> tuple[np.ndarray, float]:
+    """Weights and bias by AdaGrad on the noisy-or likelihood of document labels, with a noise term.
+
+    shares: how many labelled documents each document of label 0 and of label 1 stands for.
 
     Only features that occur in toxic documents more often than chance allows have
     a weight (Chernoff's bound on the binomial tail, divided among all features),
@@ -92,30 +97,36 @@ def fit(texts: list[str], toxic: list[int], rate: float = 0.5, lasso: float = 1e
     for ids, ends in docs:
         at = place[ids]
         sentence = np.searchsorted(ends, np.flatnonzero(at >= 0), "right")
-        bags.append((at[at >= 0], np.unique(sentence, return_inverse=True)[1], len(ends)))
-    w, bias = np.full(n, 1.0), -6.0
-    g2, b2 = np.full(n, 1e-8), 1e-6
+        bags.append((at[at >= 0], np.unique(sentence, return_inverse=True)[1]))
+    counts = np.where(y == 1, shares[1], shares[0])
+    counts = counts / counts.mean()
+    w, bias, noise = np.full(n, 1.0), -6.0, -4.0
+    g2, b2, n2 = np.full(n, 1e-8), 1e-6, 1e-6
     order = np.random.default_rng(7)
     batches = max(1, len(bags) // 32)
     for _ in range(max(EPOCHS, -(-LEAST_STEPS // batches))):
         for chunk in np.array_split(order.permutation(len(bags)), batches):
-            grad, gb = np.zeros(n), 0.0
+            grad, gb, gn = np.zeros(n), 0.0, 0.0
+            base_p, false = 1 / (1 + math.exp(-bias)), 1 / (1 + math.exp(-noise))
             for i in chunk:
-                at, sentence, size = bags[i]
+                at, sentence = bags[i]
                 live = int(sentence.max()) + 1 if len(sentence) else 0
-                z = np.append(np.bincount(sentence, w[at], live), 0.0) + bias  # the last stands for all sentences without a feature
-                times = np.append(np.ones(live), size - live)
+                z = np.bincount(sentence, w[at], live) + bias
                 p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-                none = math.exp((times * np.log1p(-np.minimum(p, 1 - 1e-12))).sum())
-                slope = p if not y[i] else -p * none / max(1 - none, 1e-9)
-                grad += np.bincount(at, slope[sentence], n)
-                gb += (slope * times).sum()
+                none = (1 - false) * math.exp(-(np.logaddexp(0, z) - np.logaddexp(0, bias)).sum())
+                of = counts[i] * (1.0 if not y[i] else -none / max(1 - none, 1e-9))
+                grad += np.bincount(at, of * p[sentence], n)
+                gb += of * (p - base_p).sum()
+                gn += of * false
             grad = grad / len(chunk) + lasso * (w > 0)
             g2 += grad * grad
             w = np.maximum(0, w - rate * grad / np.sqrt(g2))
             gb /= len(chunk)
             b2 += gb * gb
             bias -= 0.2 * rate * gb / math.sqrt(b2)
+            gn /= len(chunk)
+            n2 += gn * gn
+            noise -= 0.2 * rate * gn / math.sqrt(n2)
     weights = np.zeros(1 << BITS)
     weights[chosen] = w
     return weights, bias
@@ -125,17 +136,19 @@ def train(docs: DataFrame, labels: DataFrame, per_label: tuple[int, int] = PER_L
     """Fit on at most per_label[label] documents of each label; the fit runs in one task and returns the weights alone."""
     marked = labels.where(F.col("toxic").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     order = F.xxhash64("doc_id")
+    there = {r.toxic: r["count"] for r in marked.groupBy("toxic").count().collect()}
+    shares = tuple(max(1.0, there.get(value, 0) / per_label[value]) for value in (0, 1))
     chosen = None
     for value in (0, 1):
         part = marked.where(F.col("toxic") == value).orderBy(order, "doc_id").limit(per_label[value])
         chosen = part if chosen is None else chosen.union(part)
-    sample = docs.where(F.length("text") <= LONGEST_SAMPLE).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    sample = docs.where(F.length("text") >= 0).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc_id", "toxic"])
         if pdf.toxic.nunique() < 2:
             return pd.DataFrame({"weights": [], "bias": []})
-        w, b = fit(list(pdf.text), list(pdf.toxic))
+        w, b = fit(list(pdf.text), list(pdf.toxic), shares)
         return pd.DataFrame({"weights": [w.astype("<f4").tobytes()], "bias": [b]})
 
     got = sample.withColumn("all", F.lit(1)).groupBy("all").applyInPandas(one, "weights binary, bias double").collect()
@@ -147,6 +160,7 @@ class Scorer(dict):
 
     def __init__(self, model):
         self.weights, self.bias = model
+        self.least = math.log1p(math.exp(self.bias))
 
     def __missing__(self, word: str) -> float:
         if len(self) > CACHED_WORDS:
@@ -159,7 +173,8 @@ class Scorer(dict):
         total, worst = 0.0, (-1e9, 0, 0)
         for start, end, words in sentences(text or ""):
             z = self.bias + sum(map(self.__getitem__, words))
-            total += math.log1p(math.exp(z)) if z < 30 else z
+            if z > self.bias:
+                total += (math.log1p(math.exp(z)) if z < 30 else z) - self.least
             if z > worst[0]:
                 worst = (z, start, end)
         return -math.expm1(-total), worst[1], worst[2], 1 / (1 + math.exp(-max(-700.0, worst[0])))
