@@ -246,6 +246,16 @@ def test_licences(spark):
     assert licences.scan(docs_of(spark, []), licences.train(docs_of(spark, []))).count() == 0
 
 
+def test_licences_that_the_background_repeats(spark):
+    grant, terms = licences.TEMPLATES["MIT"][1], licences.TEMPLATES["BSD-3-Clause"][1]
+    texts = [f"{words(30, i)}\n{grant}\n{terms}" for i in range(40)] + [f"{grant}\n{terms}"] * 60
+    got = licences.scan(docs_of(spark, texts), licences.train(docs_of(spark, texts))).collect()
+    assert all([x.family for x in r.found] == ["MIT", "BSD-3-Clause"] for r in got)
+    model = licences.LicenceModel([])
+    model.templates["MIT"] = [set()]
+    assert model.classify("released under the mit license".split())[0] == "unknown"
+
+
 # language model
 
 

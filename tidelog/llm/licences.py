@@ -4,16 +4,17 @@ A paragraph (line) is a bag of word 1- to 3-grams; multinomial logistic
 regression over sparse explicit n-grams names its licence family, ``unknown`` for
 licence talk of no known family, or none.  The model is fitted on the template
 notices below, each in variants (words dropped, others put round it), on generic
-licence talk and on paragraphs of a bounded sample of documents
-(``BACKGROUND_DOCS`` in order of a hash of doc_id) as the class of no licence; a
+licence talk and on distinct paragraphs of a bounded sample of distinct texts
+(``BACKGROUND_DOCS`` in order of a hash of the text) that match no notice, as the
+class of no licence; a
 temperature fitted on variants kept out of training calibrates the
 probabilities.  A family is only reported when its probability is at least
 ``SURE`` and a template of the family confirms it: ``ALIKE`` of the template's
 n-grams that have an informative word are in the paragraph; else it is
 ``unknown``.
 
-Features have an informative word, one rare in the background; a paragraph
-without any is passed over, which is exact.  Every whole text is scanned, in one
+Features have an informative word, any of the notices but function words (``STOP``),
+whatever the corpus; a paragraph without any is passed over, which is exact.  Every whole text is scanned, in one
 narrow stage.
 
 Edge cases: null and empty texts have no paragraphs; repeated paragraphs count
@@ -23,7 +24,6 @@ each; rows that repeat are scanned each.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -54,11 +54,12 @@ GENERIC = ["All rights reserved. Use is subject to license terms.", "Licensed un
 UNKNOWN, NONE = "unknown", "none"
 BACKGROUND_DOCS = 300
 BACKGROUND_PARAGRAPHS = 3000
-COMMON = 0.01
 VARIANTS = 30
 SURE, ALIKE = 0.5, 0.6
 #: Words that only licence talk has.
 TALK = frozenset({"license", "licensed", "copyright", "spdx"})
+#: Words of notices that tell nothing.
+STOP = frozenset("the of to in is and or any may not you with for by on as all it its be are if at an has have this that these there such from but no who which either will shall can been was were into only see so".split())
 TOKEN = re.compile(r"[^\W_]+")
 
 
@@ -89,11 +90,13 @@ class LicenceModel:
     def __init__(self, background: list[str]):
         rng = np.random.default_rng(3)
         lines = [TOKEN.findall(p.lower()) for t in background for _, _, p in paragraphs(t)]
-        lines = [x for x in lines if TALK.isdisjoint(x)][:BACKGROUND_PARAGRAPHS]  # the background names no licence itself
-        seen = Counter(w for x in lines for w in set(x))
-        filler = list(seen)[:500]
         notices = [(f, TOKEN.findall(t.lower())) for f, ts in TEMPLATES.items() for t in ts] + [(UNKNOWN, TOKEN.findall(t.lower())) for t in GENERIC]
-        self.informative = frozenset(w for _, x in notices for w in x if len(w) > 1 and seen[w] <= COMMON * max(1, len(lines)))
+        self.informative = frozenset(w for _, x in notices for w in x if len(w) > 1 and w not in STOP)
+        # the background names no licence itself
+        known = [g for _, x in notices if (g := grams(x, self.informative))]
+        runs = frozenset(g for x in known for g in x if g.count(" ") == 2)
+        lines = [list(x) for x in dict.fromkeys(map(tuple, lines)) if TALK.isdisjoint(x) and not self.notice(x, known, runs)][:BACKGROUND_PARAGRAPHS]
+        filler = list(dict.fromkeys(w for x in lines for w in x))[:500]
         self.names = [*TEMPLATES, UNKNOWN, NONE]
         self.templates = {f: [grams(TOKEN.findall(t.lower()), self.informative) for t in ts] for f, ts in TEMPLATES.items()}
         # words round a notice must not make it another
@@ -123,6 +126,14 @@ class LicenceModel:
         fit = lambda t: np.mean([-np.log(self.softmax(v / t)[k] + 1e-12) for v, k in zip(z, c)])
         self.temperature = min((0.5, 0.7, 1.0, 1.5, 2.0, 3.0), key=fit)
 
+    def notice(self, words: list[str], known: list[set[str]], runs: frozenset[str]) -> bool:
+        """Whether words hold a notice, or are a part of one for the most."""
+        if self.informative.isdisjoint(words):
+            return False
+        own = grams(words, self.informative)
+        three = [g for g in own if g.count(" ") == 2]
+        return sum(g in runs for g in three) * 2 >= max(1, len(three)) or any(len(t & own) >= ALIKE * len(t) for t in known)
+
     @staticmethod
     def softmax(z: np.ndarray) -> np.ndarray:
         e = np.exp(z - z.max())
@@ -136,7 +147,7 @@ class LicenceModel:
             return None
         best = int(p[:-2].argmax())
         name = self.names[best]
-        alike = max(len(t & own) / len(t) for t in self.templates[name])
+        alike = max((len(t & own) / len(t) for t in self.templates[name] if t), default=0.0)
         if p[best] >= SURE and alike >= ALIKE:
             return name, float(p[best]), alike
         return UNKNOWN, float(p[-2]), alike
@@ -151,8 +162,9 @@ class LicenceModel:
 def train(docs: DataFrame, background_docs: int = BACKGROUND_DOCS) -> LicenceModel:
     """Fit with a bounded sample of documents as background."""
     able = docs.where((F.length("text") > 0) & (F.length("text") <= 20_000))
-    sample = able.select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(background_docs)
-    texts = able.select("doc_id", "text").join(F.broadcast(sample.select("doc_id").distinct()), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(background_docs)
+    keyed = able.select("text", F.xxhash64("text").alias("h"))
+    sample = keyed.select("h").distinct().orderBy("h").limit(background_docs)
+    texts = keyed.join(F.broadcast(sample), "h").groupBy("h").agg(F.min("text").alias("text")).orderBy("h").limit(background_docs)
     return LicenceModel([r.text for r in texts.collect()])
 
 
