@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import textwrap
 import zlib
 from collections import Counter
 
@@ -256,6 +257,24 @@ def test_licences_that_the_background_repeats(spark):
     assert model.classify("released under the mit license".split())[0] == "unknown"
 
 
+@pytest.mark.parametrize("width", [40, 72, 80, 1000])
+def test_licences_own_headers(spark, width):
+    headers = {
+        "GPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "GPL-2.0": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+        "LGPL-2.1": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    } | {f: max(licences.TEMPLATES[f], key=len) for f in ("AGPL-3.0", "Apache-2.0", "BSD-3-Clause", "EPL-2.0", "ISC", "LGPL-3.0", "MIT", "MPL-2.0", "Unlicense", "Zlib")}
+    plain = [words(50, i) for i in range(40)]
+    comment = ["", "# ", " * "]
+    texts = [f"{plain[0]}\n\n" + "\n".join(comment[i % 3] + x for x in textwrap.wrap(h, width)) + f"\n\n{plain[1]}" for i, h in enumerate(headers.values())]
+    rows = docs_of(spark, texts + ["Released under the MIT License.\nLicensed under CC BY 4.0."] + plain)
+    got = {r.doc_id: r.found for r in licences.scan(rows, licences.train(rows)).collect()}
+    wrong = {f: [x.family for x in got[i]] for i, f in enumerate(headers) if [x.family for x in got[i]] != [f]}
+    assert not wrong
+    assert all(got[i][0].start == len(plain[0]) + 2 and got[i][0].end == len(texts[i]) - len(plain[1]) - 2 for i in range(len(headers)))
+    assert [x.family for x in got[len(headers)]] == ["MIT", "CC-BY-4.0"] and not any(got[len(headers) + 1 + i] for i in range(40))
+
+
 # language model
 
 

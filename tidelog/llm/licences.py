@@ -1,6 +1,8 @@
 """License scans by a trained paragraph classifier.
 
-A paragraph (line) is a bag of word 1- to 3-grams; multinomial logistic
+A paragraph is a line, or lines of one notice that is wrapped (lines in a row, none
+of them empty, that each have words of a notice, read as one where no line alone
+names a family); it is a bag of word 1- to 3-grams; multinomial logistic
 regression over sparse explicit n-grams names its licence family, ``unknown`` for
 licence talk of no known family, or none.  The model is fitted on the template
 notices below, each in variants (words dropped, others put round it), on generic
@@ -33,20 +35,26 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-# Short notices by which works name their licence, by SPDX family.
+# Notices by which works name their licence and the licences' own headers and grants, by SPDX family.
 TEMPLATES = {
-    "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.", "SPDX-License-Identifier: Apache-2.0"],
+    "AGPL-3.0": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "This work is licensed under the GNU Affero General Public License, version 3.", "SPDX-License-Identifier: AGPL-3.0-only", "SPDX-License-Identifier: AGPL-3.0-or-later"],
+    "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.", "SPDX-License-Identifier: Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"],
     "BSD-2-Clause": ["Released under the BSD 2-Clause License.", "SPDX-License-Identifier: BSD-2-Clause"],
     "BSD-3-Clause": ["Released under the BSD 3-Clause License.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:", "SPDX-License-Identifier: BSD-3-Clause"],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "SPDX-License-Identifier: CC-BY-4.0"],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "SPDX-License-Identifier: CC-BY-NC-4.0"],
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "SPDX-License-Identifier: CC-BY-SA-4.0"],
     "CC0-1.0": ["To the extent possible under law, the author has waived all copyright and related rights to this work under CC0 1.0.", "SPDX-License-Identifier: CC0-1.0"],
-    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2.", "SPDX-License-Identifier: GPL-2.0-only"],
-    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "SPDX-License-Identifier: GPL-3.0-or-later"],
-    "LGPL-3.0": ["This work is licensed under the GNU Lesser General Public License, version 3.", "SPDX-License-Identifier: LGPL-3.0-or-later"],
-    "MIT": ["Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction.", "SPDX-License-Identifier: MIT"],
-    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0"],
+    "EPL-2.0": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/", "Licensed under the Eclipse Public License, version 2.0.", "SPDX-License-Identifier: EPL-2.0"],
+    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2.", "SPDX-License-Identifier: GPL-2.0-only", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version.", "SPDX-License-Identifier: GPL-2.0-or-later"],
+    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "SPDX-License-Identifier: GPL-3.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "SPDX-License-Identifier: GPL-3.0-only"],
+    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", "Released under the ISC License.", "SPDX-License-Identifier: ISC"],
+    "LGPL-2.1": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.", "This work is licensed under the GNU Lesser General Public License, version 2.1.", "SPDX-License-Identifier: LGPL-2.1-or-later", "SPDX-License-Identifier: LGPL-2.1-only"],
+    "LGPL-3.0": ["This work is licensed under the GNU Lesser General Public License, version 3.", "SPDX-License-Identifier: LGPL-3.0-or-later", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "SPDX-License-Identifier: LGPL-3.0-only"],
+    "MIT": ["Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction.", "SPDX-License-Identifier: MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:", "Licensed under the MIT License."],
+    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."],
+    "Unlicense": ["This is free and unencumbered software released into the public domain.", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.", "SPDX-License-Identifier: Unlicense"],
+    "Zlib": ["This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:", "Released under the zlib License.", "SPDX-License-Identifier: Zlib"],
 }
 # Licence talk of no family.
 GENERIC = ["All rights reserved. Use is subject to license terms.", "Licensed under a proprietary license.", "This work is licensed under the terms in the file LICENSE.", "Released under a custom license, see below.", "The license of this work is not known.", "A license is required to use this work.", "Published under the house license, version 7.", "Distributed under the Foo License."]
@@ -56,6 +64,8 @@ BACKGROUND_DOCS = 300
 BACKGROUND_PARAGRAPHS = 3000
 VARIANTS = 30
 SURE, ALIKE = 0.5, 0.6
+#: Lines that a wrapped notice may have.
+WRAPPED = 40
 #: Words that only licence talk has.
 TALK = frozenset({"license", "licensed", "copyright", "spdx"})
 #: Words of notices that tell nothing.
@@ -99,6 +109,8 @@ class LicenceModel:
         filler = list(dict.fromkeys(w for x in lines for w in x))[:500]
         self.names = [*TEMPLATES, UNKNOWN, NONE]
         self.templates = {f: [grams(TOKEN.findall(t.lower()), self.informative) for t in ts] for f, ts in TEMPLATES.items()}
+        self.texts = {f: [f" {' '.join(TOKEN.findall(t.lower()))} " for t in ts] for f, ts in TEMPLATES.items()}
+        self.runs = frozenset(g for ts in self.templates.values() for t in ts for g in t if " " in g)
         # words round a notice must not make it another
         train, held = [], []
         for family, words in notices:
@@ -153,10 +165,47 @@ class LicenceModel:
         return UNKNOWN, float(p[-2]), alike
 
     def scan(self, text: str | None) -> Iterator[tuple[int, int, str, float, float]]:
+        run: list[tuple[int, int, list[str]]] = []
         for start, end, line in paragraphs(text or ""):
             words = TOKEN.findall(line.lower())
-            if not self.informative.isdisjoint(words) and (got := self.classify(words)):
-                yield start, end, *got
+            if run and start != run[-1][1] + 1:
+                yield from self.named(run)
+                run = []
+            if not self.informative.isdisjoint(words):
+                run.append((start, end, words))
+            elif run and words:
+                yield from self.named(run)
+                run = []
+        yield from self.named(run)
+
+    def named(self, run: list[tuple[int, int, list[str]]]) -> Iterator[tuple[int, int, str, float, float]]:
+        """What a run of lines with informative words names: wrapped notices first, then each line left."""
+        alone = [self.classify(words) for _, _, words in run]
+        i = 0
+        while i < len(run):
+            # the longest stretch from here that is one notice: it explains its template better than any line in it
+            best, stop = alone[i], i + 1
+            if len(run) > 1 and not self.runs.isdisjoint(grams(run[i][2], self.informative)):
+                held = list(run[i][2])
+                for j in range(i + 1, min(len(run), i + WRAPPED)):
+                    if self.runs.isdisjoint(grams(held[-2:] + run[j][2], self.informative)):
+                        break
+                    held += run[j][2]
+                    got = self.classify(held)
+                    if got and got[0] != UNKNOWN and self.one_notice(got[0], run[i:j + 1]) and (best is None or best[0] in (UNKNOWN, got[0]) or got[2] > best[2]):
+                        best, stop = got, j + 1
+            if best:
+                yield run[i][0], run[stop - 1][1], *best
+            i = stop
+
+    def one_notice(self, family: str, lines: list[tuple[int, int, list[str]]]) -> bool:
+        """Whether each of the lines has its share of one and the same notice of the family."""
+        return any(all(self.within(t, words) for _, _, words in lines) for t in self.texts[family])
+
+    @staticmethod
+    def within(template: str, words: list[str]) -> bool:
+        two = [" ".join(words[k : k + 2]) for k in range(max(1, len(words) - 1))]
+        return sum(f" {x} " in template for x in two) * 2 >= len(two)
 
 
 def train(docs: DataFrame, background_docs: int = BACKGROUND_DOCS) -> LicenceModel:
