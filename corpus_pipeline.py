@@ -23,10 +23,18 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component of near duplicates."""
-    classes = minhash.near_classes(docs, SHINGLE)
-    kept = classes.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.select(COLUMNS).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(COLUMNS)
+    """The document with the smallest id of each component of near duplicates.
+
+    A row is known by its id and text: rows that share an id and differ in text are
+    documents of their own, rows equal in both are one.  A null id is an id as
+    others, after all of them, so such rows go only for an equal or similar text.
+    """
+    by = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("text").isNull(), "text")
+    rows = docs.select(COLUMNS).withColumn("row_key", by)
+    classes = minhash.near_classes(rows.select(F.col("row_key").alias("doc_id"), "text"), SHINGLE).select(F.col("doc_id").alias("row_key"), "component_id").distinct()
+    ids = rows.select("row_key", "doc_id").distinct().join(classes, "row_key")
+    first = ids.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("one"))
+    return rows.join(first.select("one.row_key"), "row_key", "left_semi").dropDuplicates(["row_key"]).select(COLUMNS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

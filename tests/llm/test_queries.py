@@ -104,3 +104,13 @@ def test_pipeline_cuts_passages_of_over_50_words(spark):
     assert got[0].split() == texts[0].replace(over, "").split()
     assert got[None].split() == texts[1].split()[:30] + texts[1].split()[-30:]
     assert [got[i] for i in (2, 3, 7)] == texts[2:4] + ["b"] and got[8] is None and set(got) == {0, None, 2, 3, 4, 5, 7, 8}
+
+
+def test_pipeline_keeps_rows_without_an_id_of_their_own(spark):
+    rng = random.Random(22)
+    a, b, c, d = (" ".join("".join(rng.choices("abcdefghijklmno", k=5)) for _ in range(100)) for _ in range(4))
+    rows = [(None, a), (None, b), (None, b), (None, b + " tail"), (7, c), (7, d), (7, d), (8, c), (9, a), (10, None), (11, None), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], DOCS)
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()]
+    (of_b,) = [t for i, t in got if i is None and t and t.startswith(b)]
+    assert sorted(map(str, got)) == sorted(map(str, [(None, of_b), (7, c), (7, d), (9, a), (10, None), (11, None), (None, None)]))
