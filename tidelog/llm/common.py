@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 #: Characters that separate words in every operator here.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows of a batch of texts that goes to Python.
+BATCH_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,14 +22,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares; one in the temporary folder only where none is set (tests)."""
+    """The folder that the cluster shares; on a local master (tests), where none is set, one in the temporary folder."""
     set_to = spark.conf.get("spark.checkpoint.dir", None)
     if not set_to:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         set_to = os.path.join(tempfile.gettempdir(), f"tidelog-shared-{os.getpid()}")
         spark.conf.set("spark.checkpoint.dir", set_to)
     return set_to.rstrip("/")
 
 
+def small_batches(df: DataFrame) -> None:
+    """Bound the rows of a batch that goes to Python: batches of whole texts of the default size fill a worker's memory."""
+    conf = df.sparkSession.conf
+    now = int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    if not 0 < now <= BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def cut(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write df as a table in the shared folder and read it again, which ends its lineage.
 

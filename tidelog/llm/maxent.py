@@ -48,7 +48,7 @@ FREQUENT = 200_000
 ROUNDS = 3
 STEP = 4096
 RATE = 0.2
-CACHED_WORDS = 300_000
+CACHED_WORDS = 150_000
 #: A token that is no word: it holds a space.
 END = b" end"
 
@@ -122,18 +122,6 @@ class Vocabulary:
         return np.fromiter(map(self.index.__getitem__, flat), np.int64, len(flat)), sizes
 
 
-_KEPT: dict[tuple, Vocabulary] = {}
-
-
-def vocabulary(frequent: np.ndarray, counts: np.ndarray, singles: np.ndarray) -> Vocabulary:
-    """The Vocabulary over those counts that this worker has from an earlier task, or a new one."""
-    key = (zlib.crc32(frequent.tobytes()), zlib.crc32(counts.tobytes()), zlib.crc32(singles.tobytes()))
-    if key not in _KEPT:
-        _KEPT.clear()
-        _KEPT[key] = Vocabulary(frequent, counts, singles)
-    return _KEPT[key]
-
-
 def history(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Rows of weights of each token's features, from token hashes."""
     u = (h.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(16)
@@ -191,7 +179,7 @@ def blocks(batches: Iterator[pa.RecordBatch], column: int, size: int = 1 << 20)
 def trainer(held, rate: float = RATE):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, counts, singles, weights, bias, square = held.value
-        words = vocabulary(frequent, counts, singles)
+        words = Vocabulary(frequent, counts, singles)
         place, classes = np.zeros(ROWS, np.int64), np.arange(CLASSES)
         w, b, g2 = weights.copy(), bias.copy(), square.copy()
         seen = 0
@@ -272,7 +260,7 @@ class Model:
 def scorer(held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, total, kinds = held.value
-        words = vocabulary(m["frequent"], m["n"], m["singles"])
+        words = Vocabulary(m["frequent"], m["n"], m["singles"])
         floor = math.log10(total + 0.1 * (kinds + 1))
         for texts, rows, batch in blocks(batches, 1):
             at, sizes = words.places(texts)

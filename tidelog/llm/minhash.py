@@ -39,7 +39,7 @@ from .components import components
 HASHES, BANDS, BITS = 128, 32, 2
 PERCENT = 80
 MARGIN = 6.0
-CACHED_WORDS = 300_000
+CACHED_WORDS = 100_000
 #: Members of a bucket whose pairs are listed, and of a block of a larger one.
 SMALL, BLOCK = 32, 2048
 #: Distinct shingles hashed at once; a longer document is taken in parts.

@@ -9,8 +9,8 @@ the base-two logarithm of the length.
 
 All work is one narrow stage over the scan: nothing is shuffled.  Words that
 white space separates are tokenized on their own (the tokenizer's pieces never
-cross white space), so each distinct word is encoded once per worker; the table
-of encoded words is emptied when it reaches ``CACHED_WORDS``.
+cross white space), so each distinct word is encoded once per task; the table of
+encoded words is emptied when it reaches ``CACHED_WORDS`` and ends with the task.
 
 Edge cases: null and empty texts are the end token alone, one piece of length 1;
 repeated rows are packed each on their own; extra columns are not read.
@@ -27,12 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small_batches, table
 
 LONGEST = 4096
 END = 2
 VOCABULARY = "word_bpe_49k.json"
-CACHED_WORDS = 400_000
+CACHED_WORDS = 150_000
 #: Bytes of token ids in an output batch.
 BATCH_BYTES = 8_000_000
 #: What only special tokens hold, and punctuation at the end of ASCII letters and digits (without the apostrophe of contractions).
@@ -115,16 +115,6 @@ class Encoder:
         return np.split(ids, upto[:-1])
 
 
-#: Encoders that this worker has from earlier tasks.
-_KEPT: dict[str, Encoder] = {}
-
-
-def encoder_of(vocabulary: str) -> Encoder:
-    if vocabulary not in _KEPT:
-        _KEPT[vocabulary] = Encoder(vocabulary)
-    return _KEPT[vocabulary]
-
-
 def blocks(texts: list, size: int = 1 << 20) -> Iterator[list[int]]:
     """Places of texts in runs of about size characters."""
     some, held = [], 0
@@ -147,7 +137,7 @@ def cuts(n: int, longest: int = LONGEST) -> list[int]:
 
 def packer(vocabulary: str, end: int, longest: int):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of(vocabulary)
+        encoder = Encoder(vocabulary)
         schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64())])
         out: list[list] = [[] for _ in schema]
         held = 0
@@ -172,6 +162,7 @@ def packer(vocabulary: str, end: int, longest: int):
 def pack(docs: DataFrame, vocabulary: str | None = None, end: int = END, longest: int = LONGEST) -> DataFrame:
     """(doc_id, text) to pieces: doc_id, start, length, ids (little-endian 32-bit), doc_tokens, sequence_id, offset, bucket."""
     fn = packer(vocabulary or default_vocabulary(), end, longest)
+    small_batches(docs)
     pieces = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(fn, PIECES)
     bucket = F.log2("length").cast("int")
     sequence = F.monotonically_increasing_id() * 16 + bucket

@@ -32,6 +32,7 @@ other; the texts' lengths are not bounded.
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -46,13 +47,13 @@ from .common import cut, table
 LENGTH = 400
 GRAM = 64
 #: Window starts handled at once; with LENGTH more bytes they must be under 2^20.
-CHUNK = 1 << 19
+CHUNK = 1 << 17
 #: Kinds of context of an anchor that one task may hold, and of all its anchors together.
 HOT = 20_000
 CONTEXTS_A_TASK = 20_000
 #: Words of a passage, and hash characters a word, for passages(): a repeat of over 50 words.
 WORDS, CODE = 51, 8
-CACHED_WORDS = 300_000
+CACHED_WORDS = 100_000
 
 U = np.uint64
 _RNG = np.random.default_rng(400)
@@ -64,8 +65,11 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(np.append(U(1), np.full(n - 1, base, U)))
 
 
-_UP = [_powers(b, CHUNK + 4 * LENGTH) for b in _BASE]
-_DOWN = [_powers(pow(b, -1, 2**64), CHUNK + 4 * LENGTH) for b in _BASE]
+@functools.lru_cache(4)
+def _tables(which: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a base and of its inverse."""
+    base = _BASE[which]
+    return _powers(base, 1 << bits), _powers(pow(base, -1, 2**64), 1 << bits)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -78,9 +82,9 @@ class Rolling:
     """Fingerprints of the substrings of a byte array, by prefix sums of a polynomial modulo 2^64."""
 
     def __init__(self, data: np.ndarray, which: int = 0):
-        self.down = _DOWN[which]
+        up, self.down = _tables(which, max(16, int(len(data)).bit_length()))
         self.sums = np.zeros(len(data) + 1, U)
-        np.cumsum(_BYTES[which][data] * _UP[which][: len(data)], out=self.sums[1:])
+        np.cumsum(_BYTES[which][data] * up[: len(data)], out=self.sums[1:])
 
     def all(self, length: int) -> np.ndarray:
         n = len(self.sums) - length
