@@ -145,22 +145,50 @@ def spans(mark):
             at = None
 
 
-@pytest.mark.parametrize("hot", [20_000, 1])
-def test_suffixes(spark, hot):
+def odd_texts():
     rng = random.Random(4)
     say = lambda n: "".join(rng.choices("abcdeé ", k=n))
     passage, short = say(150), say(30)
     texts = [say(200) + passage[rng.randrange(60) : 90 + rng.randrange(60)] + say(50) for _ in range(25)]
     texts += [say(100) + short + say(100) for _ in range(5)]
-    texts += ["a" * 300, "ab" * 100, "abc" * 200, texts[0], texts[0], None, "", "x", passage, "z" * 39, "q" * 40, "r" * 41]
-    old, suffixes.HOT = suffixes.HOT, hot
-    try:
-        rows = docs_of(spark, texts)
-        got = suffixes.repeats(rows.selectExpr("*", "1 as h", "2 as runs"), 40, 16).collect()
-    finally:
-        suffixes.HOT = old
+    return texts + ["a" * 300, "ab" * 100, "abc" * 200, texts[0], texts[0], None, "", "x", passage, "z" * 39, "q" * 40, "r" * 41]
+
+
+@pytest.mark.parametrize("batches", [1, 5])
+def test_suffixes(spark, batches):
+    texts = odd_texts()
+    rows = docs_of(spark, texts)
+    got = suffixes.repeats(rows.selectExpr("*", "1 as h", "2 as runs", "3 as d", "4 as batch").drop("d"), 40, 16, batches=batches).collect()
     assert {r.doc_id: suffixes.merged(r.spans) for r in got} == dict(enumerate(brute_repeats(texts, 40)))
-    assert len(got) == len(texts)
+    assert len(got) == len(texts) and got[0].batch == 4
+
+
+def brute_passages(texts, length):
+    """Runs of words that strings of so many words cover which another text of the list holds too."""
+    data = [(t or "").encode().split() for t in texts]
+    seen = {}
+    for d, t in enumerate(data):
+        for p in range(len(t) - length + 1):
+            seen.setdefault(tuple(t[p : p + length]), set()).add(d)
+    out = []
+    for t in data:
+        mark = [False] * (len(t) + 1)
+        for p in range(len(t) - length + 1):
+            if len(seen[tuple(t[p : p + length])]) > 1:
+                mark[p : p + length] = [True] * length
+        out.append(list(spans(mark)))
+    return out
+
+
+def test_passages_across_documents(spark):
+    rng = random.Random(9)
+    say = lambda n: " ".join(rng.choices(WORDS[:40], k=n))
+    shared = say(30)
+    texts = [say(20) + " " + " ".join(shared.split()[rng.randrange(12) :]) + " " + say(20) for _ in range(20)]
+    own = say(15)
+    texts += [f"{own} {say(3)} {own}", shared.upper(), shared.replace(" ", "\n "), "a " * 100, "b " * 60, "b " * 70, None, "", "one"]
+    got = suffixes.repeats(docs_of(spark, texts), 12, 4, suffixes.Words, across=True, batches=3).collect()
+    assert {r.doc_id: suffixes.merged(r.spans) for r in got} == dict(enumerate(brute_passages(texts, 12)))
 
 
 def test_suffixes_empty_repeated_and_long(spark):
@@ -174,19 +202,22 @@ def test_suffixes_empty_repeated_and_long(spark):
     assert got == {0: [(len(long) - 701, len(long) - 1)], 1: [(1, 701)]}
 
 
-def test_log_index():
+def test_log_index(spark):
+    """Levels halve in size, and a scan finds what a batch shares with any level."""
     rng = np.random.default_rng(7)
     index, seen = suffixes.LogIndex(), []
-    for _ in range(9):
-        f = rng.integers(0, 300, rng.integers(1, 60)).astype(np.uint64)
-        seen.append(f)
-        index.add(f, f + np.uint64(1))
+    for b in range(7):
+        h = rng.integers(0, 400, 60)
+        seen.append(h)
+        index.add(spark.createDataFrame([(b, 0, int(x), 100 * b + i, 0, 1, 0) for i, x in enumerate(h)], suffixes.SUFFIXES))
     every, n = np.unique(np.concatenate(seen), return_counts=True)
-    many = set(every[n > 1].tolist())
-    for f, got in zip(seen, index.repeated):
-        assert got.tolist() == [x in many for x in f.tolist()]
-    ranks = [r for r, *_ in index.levels]
-    assert ranks == sorted(set(ranks), reverse=True) and len(ranks) <= 4
+    found = {r.h for s in index.seeds for r in s.collect()}
+    assert found == set(every[n > 1].tolist())
+    assert sum(x.size for x in index.levels) == 7 * 60
+    assert [x.size // 60 for x in index.levels] == [4, 2, 1]
+    kinds = index.kinds().collect()
+    assert len(kinds) == sum(int(k) for k in n if k > 1)
+    index.close()
 
 
 def test_kept_bytes():

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -56,7 +57,22 @@ def cut(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Data
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables that cut() wrote and nothing reads any more, and let Spark's cleaner drop the shuffles behind them."""
+    if not tables:
+        return
+    spark = tables[0].sparkSession
+    jvm = spark.sparkContext._jvm
+    for df in tables:
+        where = jvm.org.apache.hadoop.fs.Path(df.cut_path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    gc.collect()
+    jvm.System.gc()
 
 
 def remainder(doc_id: Column, modulus: int) -> Column:

@@ -1,37 +1,38 @@
 """Suffix-array dedup with a logarithmic family of indexes.
 
-A byte is repeated where a string of ``LENGTH`` bytes that covers it also starts
-somewhere else; matches never cross documents.  Only matches of LENGTH bytes
-matter, so a suffix is told from others by its first LENGTH bytes alone, and a
-suffix array here is the sorted array of two 64-bit fingerprints of those bytes
-with the suffixes' places: suffixes that agree for LENGTH bytes are neighbours in
-it, and the order of the others, which no match depends on, is that of the
-fingerprints.
-
-``LogIndex`` is the index family.  A batch of texts gets a suffix array; that is
-merge-scanned against each existing level for long matches, which marks both
-sides, and becomes a level itself; two levels of one size are merged into one of
-twice the size, so n batches make log n levels and each suffix is moved log n
-times.
-
-To spread the work, every window of LENGTH bytes is given to an anchor: its
-leftmost least-hashed ``GRAM``-byte string.  Equal windows have equal anchors at
-equal places, so windows only need comparing within the same anchor string, and:
-
-* anchors that do not recur (most of them) have no repeated window;
-* an anchor whose whole context recurs has only repeated windows;
-* the contexts left, one of each kind, are dealt out by anchor, and each task
-  feeds its share to a LogIndex in batches.  An anchor with more than ``HOT``
-  kinds of context is dealt out by the fingerprints of its windows instead.
-
-Edge cases: null and empty texts have nothing removed; texts shorter than LENGTH
-bytes neither; repeated rows count as texts of their own, so each removes the
-other; the texts' lengths are not bounded.
+A symbol (a byte, or a word) of a text is repeated where a string of ``length``
+symbols that covers it also starts somewhere else; matches never cross documents.
+
+The suffix arrays are sparse: of a text's suffixes those are kept that start at an
+anchor, the leftmost least-hashed string of ``gram`` symbols of some window of
+``length`` symbols.  Equal windows have equal anchors at equal places, so every
+long match runs through suffixes that agree in their first ``gram`` symbols, which
+are neighbours in a suffix array; the windows of an anchor in a row are its
+context.  A suffix is ordered by two 64-bit fingerprints, of its first ``gram``
+symbols (h) and of its context (c); only agreement matters, not alphabetical order.
+
+``LogIndex`` is the index family, in tables of the shared folder.  A new batch of
+documents gets its suffix array, which is merge-scanned against all levels: what h
+the batch shares with itself or with a level is a seed of a match.  Then the array
+becomes a level, and levels of equal size (less than half as large again) are merged
+into one, so n batches make log n levels and each suffix moves log n times.
+
+Seeds are extended to matches: a context that occurs twice has only repeated
+windows.  Contexts that differ but share their anchor are cut by the anchor's place
+in the window into ``SLICES`` slices.  All windows of a slice share a core; slices
+with equal symbols are repeated whole, and only where slices with the same core
+differ are their single windows compared, by two fingerprints, one slice of each
+kind.  All of that is grouped by fingerprints of content, with partial sums before
+each shuffle, so a passage in a third of all documents is no task of its own.
+
+Edge cases: null and empty texts have nothing removed; texts shorter than length
+symbols neither; an empty table gives an empty result; repeated rows count as texts
+of their own, so each removes the other; very long texts are taken in chunks of
+``CHUNK`` symbols, with what overlaps; extra columns are kept, whatever their names.
 """
 
 from __future__ import annotations
 
-import base64
 import functools
 import hashlib
 from collections.abc import Iterator
@@ -39,20 +40,22 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, forget, small_batches, table
 
 LENGTH = 400
 GRAM = 64
-#: Window starts handled at once; with LENGTH more bytes they must be under 2^20.
+#: Words of a passage (a repeat of over 50 words), and of its anchors.
+WORDS, WORD_GRAM = 51, 10
+#: Window starts handled at once; with the length more symbols they must be under 2^20.
 CHUNK = 1 << 17
-#: Kinds of context of an anchor that one task may hold, and of all its anchors together.
-HOT = 20_000
-CONTEXTS_A_TASK = 20_000
-#: Words of a passage, and hash characters a word, for passages(): a repeat of over 50 words.
-WORDS, CODE = 51, 8
+#: Slices of a context's windows.
+SLICES = 8
+#: Batches that the queries add to the index.
+BATCHES = 4
 CACHED_WORDS = 100_000
 
 U = np.uint64
@@ -78,13 +81,41 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(33))
 
 
+class Bytes:
+    """A text as its UTF-8 bytes."""
+
+    dtype = np.uint8
+    least = 1
+
+    def of(self, text: str) -> np.ndarray:
+        return np.frombuffer(text.encode(), np.uint8)
+
+
+class Words(dict):
+    """A text as hashes of its words; word -> hash, filled as words come."""
+
+    dtype = np.uint64
+    least = 2
+
+    def __missing__(self, word: bytes) -> int:
+        v = self[word] = xxhash.xxh3_64_intdigest(word)
+        return v
+
+    def of(self, text: str) -> np.ndarray:
+        if len(self) > CACHED_WORDS:
+            self.clear()
+        words = text.encode().split()
+        return np.fromiter(map(self.__getitem__, words), U, len(words))
+
+
 class Rolling:
-    """Fingerprints of the substrings of a byte array, by prefix sums of a polynomial modulo 2^64."""
+    """Fingerprints of the substrings of an array of symbols, by prefix sums of a polynomial modulo 2^64."""
 
     def __init__(self, data: np.ndarray, which: int = 0):
         up, self.down = _tables(which, max(16, int(len(data)).bit_length()))
+        values = _BYTES[which][data] if data.dtype == np.uint8 else mix(data + _BYTES[which][0])
         self.sums = np.zeros(len(data) + 1, U)
-        np.cumsum(_BYTES[which][data] * up[: len(data)], out=self.sums[1:])
+        np.cumsum(values * up[: len(data)], out=self.sums[1:])
 
     def all(self, length: int) -> np.ndarray:
         n = len(self.sums) - length
@@ -129,13 +160,19 @@ def anchors_of(data: np.ndarray, last: np.ndarray, length: int, gram: int) -> tu
     return start, count, anchor - start, hashes[anchor], context
 
 
-def anchorer(length: int, gram: int):
+def anchorer(length: int, gram: int, view: type):
+    """(doc_id, text_hash, text) to the suffixes at anchors."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        symbols = view()
         for batch in batches:
-            texts = [(t.as_py() or "").encode() for t in batch.column(2)]
+            texts = [symbols.of(t.as_py()) for t in batch.column(2)]
             able = [i for i, t in enumerate(texts) if len(t) >= length]
+            if not able:
+                continue
             sizes = np.array([len(texts[i]) for i in able], np.int64)
-            flat = np.frombuffer(b"".join([texts[i] for i in able]), np.uint8)
+            flat = np.concatenate([texts[i] for i in able])
+            del texts
             ends = np.cumsum(sizes)
             for a in range(0, len(flat), CHUNK):
                 b = min(len(flat), a + CHUNK)
@@ -156,175 +193,204 @@ def anchorer(length: int, gram: int):
     return run
 
 
-class LogIndex:
-    """Family of suffix arrays in levels of doubling size, over fingerprints of LENGTH bytes."""
-
-    def __init__(self):
-        self.levels: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
-        self.repeated: list[np.ndarray] = []
-        self.count = 0
-
-    def add(self, first: np.ndarray, second: np.ndarray) -> None:
-        """Add a batch of suffixes; repeated[...] of both sides of each match is set."""
-        own = np.zeros(len(first), bool)
-        self.repeated.append(own)
-        base, self.count = self.count, self.count + len(first)
-        order = np.lexsort((second, first))
-        f, s = first[order], second[order]
-        same = np.append(False, (f[1:] == f[:-1]) & (s[1:] == s[:-1]))
-        own[order] = same | np.append(same[1:], False)
-        keep = ~same  # one of each, marked if it has company
-        f, s, place = f[keep], s[keep], base + order[keep]
-        starts = np.cumsum([0] + [len(x) for x in self.repeated])
-        for _, lf, ls, lp in self.levels:
-            at = np.minimum(np.searchsorted(lf, f), len(lf) - 1)
-            hit = np.flatnonzero((lf[at] == f) & (ls[at] == s))
-            if len(hit):
-                for places in (place[hit], lp[at[hit]]):
-                    batch = np.searchsorted(starts, places, "right") - 1
-                    for b in np.unique(batch):
-                        self.repeated[b][places[batch == b] - starts[b]] = True
-                found = np.zeros(len(f), bool)
-                found[hit] = True
-                # every other suffix of the batch with those bytes has been marked as its company already
-                f, s, place = f[~found], s[~found], place[~found]
-        rank = 0
-        while self.levels and self.levels[-1][0] == rank:
-            _, lf, ls, lp = self.levels.pop()
-            f, s, place = np.concatenate([lf, f]), np.concatenate([ls, s]), np.concatenate([lp, place])
-            order = np.argsort(f, kind="stable")  # merges the two sorted runs
-            f, s, place, rank = f[order], s[order], place[order], rank + 1
-        if len(f):
-            self.levels.append((rank, f, s, place))
-
-
-def fingerprints(contexts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Both fingerprints of all windows of the contexts, the context and the offset of each."""
-    out: list[tuple] = []
-    a = 0
-    while a < len(contexts):
-        b, size = a, 0
-        while b < len(contexts) and (b == a or size + len(contexts[b]) <= CHUNK):
-            size += len(contexts[b])
-            b += 1
-        data = np.frombuffer(b"".join(contexts[a:b]), np.uint8)
-        sizes = np.array([len(x) for x in contexts[a:b]], np.int64)
-        counts = sizes - length + 1
-        row = np.repeat(np.arange(a, b), counts)
-        offset = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-        start = np.repeat(np.cumsum(sizes) - sizes, counts) + offset
-        out.append((Rolling(data).of(start, start + length), Rolling(data, 1).of(start, start + length), row, offset))
-        a = b
-    return tuple(np.concatenate([x[i] for x in out]) if out else np.zeros(0, np.int64) for i in range(4))
-
+SUFFIXES = "doc_id long, text_hash long, h long, c long, p long, n int, lead int"
 
-def runs_of(row: np.ndarray, offset: np.ndarray) -> list[tuple[int, list[dict]]]:
-    """Maximal runs of offsets of each row, from rows and offsets in order."""
-    if not len(row):
-        return []
-    new = np.flatnonzero(np.append(True, (np.diff(row) != 0) | (np.diff(offset) != 1)))
-    end = np.append(new[1:], len(row)) - 1
-    out: dict[int, list[dict]] = {}
-    for r, a, b in zip(row[new].tolist(), offset[new].tolist(), offset[end].tolist()):
-        out.setdefault(r, []).append({"a": a, "b": b})
-    return list(out.items())
 
+class Level:
+    """A suffix array: a table in the shared folder, sorted within its parts, and its count of rows."""
 
-RUNS = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
+    def __init__(self, rows: DataFrame):
+        self.rows = cut(rows.sortWithinPartitions("h", "c"), "level")
+        self.size = self.rows.count()
 
 
-def scanner(length: int):
-    """Contexts of one task through a LogIndex: (h, c) and the runs of repeated window offsets of each."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = LogIndex()
-        kept: list[tuple] = []
-        seen: set[tuple] = set()
-        for batch in batches:
-            h, c, whole = (batch.column(i).to_pylist() for i in (0, 1, 2))
-            fresh = [i for i, k in enumerate(zip(h, c)) if k not in seen and not seen.add(k)]
-            if not fresh:
-                continue
-            texts = batch.column(3)
-            first, second, row, offset = fingerprints([texts[i].as_py() for i in fresh], length)
-            index.add(first, second)
-            kept.append(([(h[i], c[i], whole[i]) for i in fresh], row, offset))
-        for (keys, row, offset), repeated in zip(kept, index.repeated):
-            got = [(keys[r], x) for r, x in runs_of(row[repeated], offset[repeated]) if not keys[r][2]]
-            if got:
-                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in got]), pa.array([k[1] for k, _ in got]), pa.array([x for _, x in got], RUNS)], names=["h", "c", "runs"])
-
-    return run
+class LogIndex:
+    """Family of suffix arrays in levels of doubling size.
 
+    across: only what is in two documents is repeated, not what one document repeats.
+    """
 
-def cutter(length: int):
-    """Contexts of a document's anchors."""
+    def __init__(self, across: bool = False):
+        self.levels: list[Level] = []
+        self.seeds: list[DataFrame] = []
+        self.across = across
+
+    def together(self) -> list[Column]:
+        """Sums over rows of a level, by which company() tells whether what they stand for is repeated."""
+        return [F.sum("times").alias("times"), F.min("lo").alias("lo"), F.max("hi").alias("hi")] if self.across else [F.sum("times").alias("times")]
+
+    def company(self) -> Column:
+        return (F.col("lo") != F.col("hi")) if self.across else (F.col("times") > 1)
+
+    @property
+    def sums(self) -> list[str]:
+        return ["times", "lo", "hi"] if self.across else ["times"]
+
+    def add(self, suffixes: DataFrame) -> None:
+        """Add a batch of documents by the suffixes at their anchors."""
+        who = F.xxhash64("doc_id", "text_hash")
+        rows = suffixes.withColumns({"times": F.lit(1).cast("long"), **({"lo": who, "hi": who} if self.across else {})})
+        one = F.min(F.struct("doc_id", "text_hash", "p", "n", "lead")).alias("one")
+        batch = Level(rows.groupBy("h", "c").agg(*self.together(), one))
+        if not batch.size:
+            return forget(batch.rows)
+        # the merge-scan: one pass over the batch and all levels
+        both = batch.rows.select("h", *self.sums, F.lit(True).alias("new"))
+        for level in self.levels:
+            both = both.union(level.rows.select("h", *self.sums, F.lit(False)))
+        shared = both.groupBy("h").agg(*self.together(), F.max("new").alias("new"))
+        self.seeds.append(cut(shared.where(F.col("new") & self.company()).select("h"), "seeds"))
+        while self.levels and 2 * self.levels[-1].size < 3 * batch.size:
+            old = self.levels.pop()
+            merged = Level(old.rows.union(batch.rows).groupBy("h", "c").agg(*self.together(), F.min("one").alias("one")))
+            forget(old.rows, batch.rows)
+            batch = merged
+        self.levels.append(batch)
+
+    def kinds(self) -> DataFrame:
+        """The contexts (h, c) of all seeds, with several: whether the anchor has other contexts too."""
+        rows, seeds = self.levels[0].rows, self.seeds[0]
+        for level in self.levels[1:]:
+            rows = rows.union(level.rows)
+        for more in self.seeds[1:]:
+            seeds = seeds.union(more)
+        found = rows.join(seeds.distinct(), "h", "left_semi").groupBy("h", "c").agg(*self.together(), F.min("one").alias("one"))
+        found = cut(found, "contexts")
+        several = found.groupBy("h").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("h", F.lit(True).alias("several"))
+        return cut(found.join(several, "h", "left"), "kinds")
+
+    def close(self) -> None:
+        forget(*[x.rows for x in self.levels], *self.seeds)
+
+
+def cutter(length: int, view: type):
+    """Contexts of a document's anchors: (text, wanted) to h, c, lead and the context's symbols."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        symbols = view()
         for pdf in batches:
-            h, c, whole, hot, context = [], [], [], [], []
+            h, c, lead, context = [], [], [], []
             for text, wanted in zip(pdf.text, pdf.wanted):
-                data = text.encode()
+                data = symbols.of(text)
                 for w in wanted:
-                    h.append(w["h"]), c.append(w["c"]), whole.append(w["whole"]), hot.append(w["hot"])
-                    context.append(data[w["p"] : w["p"] + w["n"] - 1 + length])
-            yield pd.DataFrame({"h": h, "c": c, "whole": whole, "hot": hot, "context": context})
+                    h.append(w["h"]), c.append(w["c"]), lead.append(w["lead"])
+                    context.append(data[w["p"] : w["p"] + w["n"] - 1 + length].tobytes())
+            yield pd.DataFrame({"h": h, "c": c, "lead": lead, "context": context})
+
+    return run
+
+
+def joined(contexts: list[bytes], dtype: type, most: int = CHUNK) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Runs of contexts of about so many symbols: the first's number, the symbols and the sizes."""
+    a, width = 0, np.dtype(dtype).itemsize
+    while a < len(contexts):
+        b, size = a, 0
+        while b < len(contexts) and (b == a or size + len(contexts[b]) <= most * width):
+            size += len(contexts[b])
+            b += 1
+        yield a, np.frombuffer(b"".join(contexts[a:b]), dtype), np.array([len(x) // width for x in contexts[a:b]], np.int64)
+        a = b
+
+
+def slicer(length: int, gram: int, view: type):
+    """Contexts to slices: h, c, first and last window (a, b), fingerprints of the core and of the whole content."""
+    wide = -(-(length - gram + 1) // SLICES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h, c, lead = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            for first, data, sizes in joined(batch.column(3).to_pylist(), view.dtype):
+                own = slice(first, first + len(sizes))
+                high = lead[own].astype(np.int64)
+                low = high - (sizes - length)
+                many = high // wide - low // wide + 1
+                row = np.repeat(np.arange(len(sizes)), many)
+                j = low[row] // wide + np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+                o1, o2 = np.maximum(j * wide, low[row]), np.minimum(j * wide + wide - 1, high[row])
+                at = (np.cumsum(sizes) - sizes)[row] + high[row]  # the anchors
+                roll = Rolling(data)
+                core = mix(roll.of(at - j * wide, at - j * wide - wide + 1 + length) + mix(h[own][row].view(U) + j.astype(U)))
+                content = mix(roll.of(at - o2, at - o1 + length) + mix(core + (o1 * length + o2).astype(U)))
+                whole = slice(first, first + len(sizes))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(h[whole][row]), pa.array(c[whole][row]), pa.array((high[row] - o2).astype(np.int32)), pa.array((high[row] - o1).astype(np.int32)), pa.array(core.view(np.int64)), pa.array(content.view(np.int64))],
+                    names=["h", "c", "a", "b", "core", "content"],
+                )
 
     return run
 
 
-def splitter(length: int):
-    """Windows of contexts, as fingerprints."""
+def splitter(length: int, view: type):
+    """Windows a to b of contexts (core, content, a, b, context) as two fingerprints, with the window's place after a."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for a in range(0, len(pdf), 500):
-                some = pdf.iloc[a : a + 500]
-                f, s, row, offset = fingerprints(list(some.context), length)
-                yield pd.DataFrame({"f": f.astype(np.int64), "s": s.astype(np.int64), "h": some.h.to_numpy()[row], "c": some.c.to_numpy()[row], "whole": some.whole.to_numpy()[row], "offset": offset.astype(np.int32)})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            core, content, a, b = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            for first, data, sizes in joined(batch.column(4).to_pylist(), view.dtype):
+                own = slice(first, first + len(sizes))
+                many = (b[own] - a[own] + 1).astype(np.int64)
+                row = np.repeat(np.arange(len(sizes)), many)
+                offset = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+                start = (np.cumsum(sizes) - sizes)[row] + a[own][row] + offset
+                f, s = (Rolling(data, i).of(start, start + length).view(np.int64) for i in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(f), pa.array(s), pa.array(core[own][row]), pa.array(content[own][row]), pa.array(offset.astype(np.int32))], names=["f", "s", "core", "content", "offset"])
 
     return run
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(doc_id, text, ...) with text_hash and spans, the repeated byte ranges [a, b) in order, which may overlap (see merged); null where none is."""
-    gram = min(gram, max(1, length // 2))
-    keyed = docs.withColumn("text_hash", F.xxhash64("text"))
-    long_enough = keyed.where(F.octet_length("text") >= length).select(F.col("doc_id").cast("long").alias("doc_id"), "text_hash", "text")
-    anchors = cut(long_enough.mapInArrow(anchorer(length, gram), "doc_id long, text_hash long, h long, c long, p long, n int, lead int"), "anchors")
-    kinds = anchors.groupBy("h", "c").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("doc_id", "text_hash", "p", "n")).alias("one"))
-    several = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("kinds"), F.sum("times").alias("all_times")).where("all_times > 1")
-    kinds = cut(kinds.join(several.select("h", "kinds"), "h"), "kinds")
-    whole = kinds.where("times > 1").select("h", "c", F.array(F.struct(F.lit(0).alias("a"), (F.col("one.n") - 1).alias("b"))).alias("runs"))
+def extended(index: LogIndex, texts: DataFrame, length: int, gram: int, view: type) -> DataFrame:
+    """(h, c, runs): the repeated windows of the contexts of all seeds, as runs [a, b] of window numbers."""
+    kinds = index.kinds()
+    runs = lambda a, b: F.array(F.struct(a.cast("int").alias("a"), b.cast("int").alias("b"))).alias("runs")
+    whole = kinds.where(index.company()).select("h", "c", runs(F.lit(0), F.col("one.n") - 1))
     # one context of each kind, where an anchor has several
-    wanted = kinds.where("kinds > 1").select("one.doc_id", "one.text_hash", F.struct("h", "c", "one.p", "one.n", (F.col("times") > 1).alias("whole"), (F.col("kinds") > HOT).alias("hot")).alias("w"))
-    wanted = wanted.groupBy("doc_id", "text_hash").agg(F.collect_list("w").alias("wanted"))
-    by_doc = lambda x: x.withColumnsRenamed({"doc_id": "d", "text_hash": "t"})
+    wanted = kinds.where("several").select("one.doc_id", "one.text_hash", F.struct("h", "c", "one.p", "one.n", "one.lead").alias("w"))
+    wanted = wanted.groupBy(F.col("doc_id").alias("d"), F.col("text_hash").alias("t")).agg(F.collect_list("w").alias("wanted"))
     same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t"))
-    contexts = long_enough.join(by_doc(wanted), same).select("text", "wanted").mapInPandas(cutter(length), "h long, c long, whole boolean, hot boolean, context binary")
-    contexts = cut(contexts, "contexts")
-    count = contexts.groupBy("hot").count().collect()  # two rows at most
-    many = {r["hot"]: r["count"] for r in count}
-    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-many.get(False, 0) // CONTEXTS_A_TASK))
-    found = contexts.where("not hot").select("h", "c", "whole", "context").repartition(tasks, "h").mapInArrow(scanner(length), "h long, c long, runs array<struct<a:int,b:int>>")
-    if many.get(True):
-        windows = cut(contexts.where("hot").select("h", "c", "whole", "context").dropDuplicates(["h", "c"]).mapInPandas(splitter(length), "f long, s long, h long, c long, whole boolean, offset int"), "windows")
-        twice = windows.groupBy("f", "s").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("f", "s")
-        hot = windows.where("not whole").join(twice, ["f", "s"]).groupBy("h", "c").agg(F.array_sort(F.collect_list("offset")).alias("offsets"))
-        found = found.union(hot.select("h", "c", F.transform("offsets", lambda o: F.struct(o.alias("a"), o.alias("b"))).alias("runs")))
-    marked = anchors.join(whole.union(found), ["h", "c"]).select("doc_id", "text_hash", F.transform("runs", lambda r: F.struct((F.col("p") + r["a"]).alias("a"), (F.col("p") + r["b"] + length).alias("b"))).alias("spans"))
-    marked = marked.groupBy("doc_id", "text_hash").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
-    return keyed.join(by_doc(marked.select("doc_id", "text_hash", F.col("spans"))), same, "left").drop("d", "t")
-
-
-class Codes(dict):
-    """word -> CODE characters of its hash, filled as words come."""
-
-    def __missing__(self, word: bytes) -> str:
-        if len(self) > CACHED_WORDS:
-            self.clear()
-        v = self[word] = base64.b64encode(hashlib.blake2b(word, digest_size=CODE * 3 // 4).digest()).decode()
-        return v
+    held = cut(texts.join(wanted, same).select("text", "wanted").mapInPandas(cutter(length, view), "h long, c long, lead int, context binary"), "held")
+    slices = held.select("h", "c", "lead", "context").mapInArrow(slicer(length, gram, view), "h long, c long, a int, b int, core long, content long")
+    slices = cut(slices.join(kinds.select("h", "c", *index.sums, index.company().alias("whole")), ["h", "c"]), "slices")
+    contents = cut(slices.groupBy("core", "content").agg(*index.together(), F.min(F.struct("h", "c", "a", "b")).alias("rep")), "contents")
+    equal = contents.where(index.company()).select("core", "content")
+    left = slices.where("not whole").select("core", "content", "h", "c", "a", "b")
+    found = left.join(equal, ["core", "content"], "left_semi").select("h", "c", runs(F.col("a"), F.col("b")))
+    # cores whose slices differ: one slice of each content, by single windows
+    differ = contents.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core")
+    reps = contents.join(differ, "core", "left_semi").select("core", "content", "rep.*")
+    windows = held.select("h", "c", "context").join(reps, ["h", "c"]).select("core", "content", "a", "b", "context")
+    windows = cut(windows.mapInArrow(splitter(length, view), "f long, s long, core long, content long, offset int").join(contents.select("core", "content", *index.sums), ["core", "content"]) if index.across else windows.mapInArrow(splitter(length, view), "f long, s long, core long, content long, offset int").withColumn("times", F.lit(1).cast("long")), "windows")
+    twice = windows.groupBy("f", "s").agg(*index.together()).where(index.company()).select("f", "s")
+    offsets = windows.join(twice, ["f", "s"], "left_semi").groupBy("core", "content").agg(F.collect_list("offset").alias("offsets"))  # a slice has so many windows at most
+    place = lambda o: F.struct((F.col("a") + o).alias("a"), (F.col("a") + o).alias("b"))
+    single = left.join(equal, ["core", "content"], "left_anti").join(offsets, ["core", "content"]).select("h", "c", F.transform("offsets", place).alias("runs"))
+    out = whole.union(found).union(single).groupBy("h", "c").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+    out = cut(out, "runs")
+    forget(kinds, held, slices, contents, windows)
+    return out
+
+
+def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, view: type = Bytes, across: bool = False, batches: int = BATCHES) -> DataFrame:
+    """(doc_id, text, ...) with text_hash and spans, the repeated ranges [a, b) of symbols in order, which may overlap (see merged); null where none is."""
+    gram = min(gram, max(1, length // 2))
+    keyed = docs.withColumn("text_hash", F.xxhash64("text"))
+    texts = keyed.where(F.octet_length("text") >= view.least * length - view.least + 1).select(F.col("doc_id").cast("long").alias("doc_id"), "text_hash", "text")
+    small_batches(docs)
+    numbered = texts.mapInArrow(anchorer(length, gram, view), SUFFIXES).withColumn("batch", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(batches)).cast("int"))
+    suffixes = cut(numbered, "suffixes", ["batch"])
+    index = LogIndex(across)
+    for b in range(batches):
+        index.add(suffixes.where(F.col("batch") == b).drop("batch"))
+    if not index.levels:
+        return keyed.withColumn("spans", F.lit(None).cast("array<struct<a:bigint,b:bigint>>"))
+    found = extended(index, texts, length, gram, view)
+    index.close()
+    ranges = F.transform("runs", lambda r: F.struct((F.col("p") + r["a"]).alias("a"), (F.col("p") + r["b"] + length).alias("b")))
+    marked = suffixes.join(found, ["h", "c"]).select("doc_id", "text_hash", ranges.alias("spans"))
+    marked = marked.groupBy(F.col("doc_id").alias("d"), F.col("text_hash").alias("t")).agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
+    marked = cut(marked, "marked")
+    forget(suffixes, found)
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t"))
+    return keyed.join(marked, same, "left").drop("d", "t")
 
 
 def word_bounds(data: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -344,43 +410,32 @@ def wide(data: bytes, words: int, length: int) -> bool:
 
 
 def passages(docs: DataFrame, words: int = WORDS, length: int = LENGTH) -> DataFrame:
-    """docs with in_words and in_bytes, for spans_of: what repeats for so many words and for length bytes; null where nothing does.
+    """docs with in_words and in_bytes, for spans_of: ranges of words that repeat for so many words, and of bytes that repeat for length bytes; null where nothing does.
 
-    A text is put as a string of CODE hash characters a word, so that strings of so
-    many words are strings of one length, and repeats() finds those.  A string of
-    length bytes with fewer words is only in texts that have such a window, so the
-    texts' own bytes are compared among these alone.
+    A string of length bytes with fewer words is only in texts that have such a
+    window, so the texts' bytes are compared among these alone.
     """
 
-    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = Codes()
-        for batch in batches:
-            texts = ["".join([codes[w] for w in t.as_py().encode().split()]) for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["doc_id", "whole_hash", "text"])
-
     def only_wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array([wide(t.as_py().encode(), words, length) for t in batch.column(1)], pa.bool_()))
 
-    spans = "array<struct<a:int,b:int>>"
-    none = F.lit(None).cast(spans)
+    none = F.lit(None).cast("array<struct<a:bigint,b:bigint>>")
     able = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    coded = able.select("doc_id", F.xxhash64("text").alias("whole_hash"), "text").mapInArrow(code, "doc_id long, whole_hash long, text string")
-    marked = repeats(coded, CODE * words).where(F.col("spans").isNotNull()).select("doc_id", "whole_hash", F.col("spans").cast(spans).alias("in_words"), none.alias("in_bytes"))
+    small_batches(docs)
+    marked = repeats(able, words, WORD_GRAM, Words).where(F.col("spans").isNotNull()).select("doc_id", "text_hash", F.col("spans").alias("in_words"), none.alias("in_bytes"))
     some = cut(able.where(F.octet_length("text") >= length).mapInArrow(only_wide, "doc_id long, text string"), "wide")
-    if not some.isEmpty():
-        found = repeats(some, length).where(F.col("spans").isNotNull())
-        marked = marked.union(found.select("doc_id", "text_hash", none, F.col("spans").cast(spans)))
-    marked = marked.groupBy(F.col("doc_id").alias("d"), F.col("whole_hash").alias("t")).agg(*[F.first(c, True).alias(c) for c in ("in_words", "in_bytes")])
+    found = repeats(some, length).where(F.col("spans").isNotNull())
+    marked = marked.union(found.select("doc_id", "text_hash", none, "spans"))
+    marked = marked.groupBy(F.col("doc_id").alias("d"), F.col("text_hash").alias("t")).agg(*[F.first(c, True).alias(c) for c in ("in_words", "in_bytes")])
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("d")) & (F.xxhash64("text") == F.col("t"))
     return docs.join(marked, same, "left").drop("d", "t")
 
 
-def spans_of(data: bytes, in_words, in_bytes, words: int = WORDS) -> list[tuple[int, int]]:
+def spans_of(data: bytes, in_words, in_bytes) -> list[tuple[int, int]]:
     """The byte ranges of data that passages() found; the space behind words goes with them."""
     start = np.append(word_bounds(data)[0], len(data))
-    of = [(-(-a // CODE), b // CODE) for a, b in merged(in_words)]
-    found = [(int(start[a]), int(start[b])) for a, b in of if b - a >= words] + merged(in_bytes)
+    found = [(int(start[a]), int(start[b])) for a, b in merged(in_words)] + merged(in_bytes)
     return merged([{"a": a, "b": b} for a, b in sorted(found)])
 
 
@@ -405,21 +460,28 @@ def without(data: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 
 def op2_log_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is left of every whole text without its bytes that repeat for 400 bytes."""
-    found = repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """What is left of every whole text without its bytes that repeat for 400 bytes.
+
+    n_passage_words and n_passages follow: the words that strings of 51 words cover
+    which also start in another text or another document, and their maximal runs.
+    """
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    shared = repeats(docs, WORDS, WORD_GRAM, Words, across=True).select(F.col("doc_id").alias("d"), F.col("text_hash").alias("t"), F.col("spans").alias("passages")).where(F.col("passages").isNotNull()).dropDuplicates(["d", "t"])
+    found = repeats(docs)
+    found = found.join(shared, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t")), "left")
 
     def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for text, spans in zip(pdf.text, pdf.spans):
-                data, gone = (text or "").encode(), merged(spans)
-                rows.append((len(data), sum(b - a for a, b in gone), len(gone), hashlib.sha256(without(data, gone)).hexdigest()))
-            yield pd.DataFrame({"doc_id": pdf.doc_id, **{k: [r[i] for r in rows] for i, k in enumerate(("n_bytes", "n_removed", "n_spans", "kept_sha256"))}})
+            for text, spans, passages in zip(pdf.text, pdf.spans, pdf.passages):
+                data, gone, words = (text or "").encode(), merged(spans), merged(passages)
+                rows.append((len(data), sum(b - a for a, b in gone), len(gone), hashlib.sha256(without(data, gone)).hexdigest(), sum(b - a for a, b in words), len(words)))
+            yield pd.DataFrame({"doc_id": pdf.doc_id, **{k: [r[i] for r in rows] for i, k in enumerate(("n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_words", "n_passages"))}})
 
-    return found.select("doc_id", "text", "spans").mapInPandas(digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return found.select("doc_id", "text", "spans", "passages").mapInPandas(digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage_words long, n_passages long")
 
 
-OP2_SQL = """
+OP2_SQL = r"""
 WITH d AS (
   SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents
 ), w AS (
@@ -438,8 +500,19 @@ WITH d AS (
   SELECT d.doc_id, string_agg(hex(b[k.before:k.a - 1]), '' ORDER BY k.a) || hex(any_value(b)[max(k.z) + 1:octet_length(any_value(b))]) AS rest,
     sum(k.z - k.a + 1) AS n_removed, count(*) AS n_spans
   FROM d JOIN k ON k.doc_id = d.doc_id GROUP BY d.doc_id
+), t AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS x FROM documents
+), v AS (
+  SELECT doc_id, p, md5(array_to_string(x[p:p + 50], ' ')) AS h FROM (SELECT doc_id, x, unnest(range(1, len(x) - 49)) AS p FROM t)
+), u AS (
+  SELECT h FROM v GROUP BY h HAVING count(DISTINCT doc_id) > 1
+), y AS (
+  SELECT doc_id, p, p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS step FROM v WHERE h IN (SELECT h FROM u)
+), z AS (
+  SELECT doc_id, sum(CASE WHEN step <= 51 THEN step ELSE 51 END) AS n_passage_words, sum(CASE WHEN step <= 51 THEN 0 ELSE 1 END) AS n_passages FROM y GROUP BY doc_id
 )
 SELECT d.doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
-  sha256(CASE WHEN rest IS NULL THEN b ELSE unhex(rest) END) AS kept_sha256
-FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id
+  sha256(CASE WHEN rest IS NULL THEN b ELSE unhex(rest) END) AS kept_sha256,
+  CAST(coalesce(n_passage_words, 0) AS BIGINT) AS n_passage_words, CAST(coalesce(n_passages, 0) AS BIGINT) AS n_passages
+FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id LEFT JOIN z ON z.doc_id = d.doc_id
 """
