@@ -308,17 +308,44 @@ def test_language_model(spark, frequent):
         assert abs(got[i].base_score - base) < 1e-6 * abs(base) and (got[i].n_tokens, got[i].n_known) == (len(x), sum(c[w] > 0 for w in x))
     held = [i for i in range(200) if i not in set(train)]
     assert sum(got[i].score for i in held) > sum(got[i].base_score for i in held)
-    # the classes are a distribution, and so are the tokens of each
-    rows = np.zeros((maxent.CLASSES, maxent.SLOTS), np.int32) + np.arange(maxent.SLOTS, dtype=np.int32) * maxent.ROWS
-    p = np.exp(maxent.log_softmax_of(model.weights, model.bias, rows, np.arange(maxent.CLASSES)))
-    assert abs(p.sum() - 1) < 1e-5
+    # the classes are a distribution, and so are the parts of each, and the tokens of each part
+    rows = [np.full(maxent.CLASSES, i, np.uint16) for i in range(maxent.SLOTS)]
+    assert abs(np.exp(maxent.log_softmax_of(maxent.of_classes(model.weights), rows, np.arange(maxent.CLASSES), model.bias)).sum() - 1) < 1e-5
+    rows = [np.full(maxent.PARTS, i, np.uint16) for i in range(1 + maxent.PART_SLOTS)]
+    assert abs(np.exp(maxent.log_softmax_of(maxent.of_parts(model.parts), rows, np.arange(maxent.PARTS))).sum() - 1) < 1e-5
     single = set(model.singles.tolist())
     inside = np.array(model.unseen)
     for w, k in c.items():
-        if maxent.token_hash(w) not in single:
-            b = maxent.spelling(w)
+        if (h := maxent.token_hash(w)) not in single:
+            b = maxent.spelling(w) * maxent.PARTS + h % maxent.PARTS
             inside[b] += (1 - model.unseen[b]) * k / model.size[b]
     assert all(abs(x - 1) < 1e-9 for x, s in zip(inside, model.size) if s)
+    # every score against a plain loop over tokens
+    for i in [*range(0, 200, 23), *range(200, len(texts))]:
+        assert abs(got[i].score - plain_score(model, tokens[i], c)) < 1e-3 * max(1, abs(got[i].score))
+
+
+def plain_score(model, tokens, counts):
+    """The score of one text by the formulas, token by token, with Python integers."""
+    mask, total = (1 << 64) - 1, 0.0
+    u = [((maxent.token_hash(w) & mask) * 0x9E3779B97F4A7C15 & mask) >> 16 for w in tokens]
+    single = {h: i for i, h in enumerate(model.singles.tolist())}
+    rows = (len(model.parts) - maxent.SPELLINGS) // maxent.PART_SLOTS
+    for i, w in enumerate(tokens):
+        x = [u[i - d] if i >= d else 0 for d in (1, 2, 3)]
+        x.append((x[0] * 0xD6E8FEB86659FD93 + x[1] & mask) >> 20)
+        h = maxent.token_hash(w)
+        cls = single.get(h, maxent.SINGLES + zlib.crc32(w[-2:]) % maxent.SPELLINGS)
+        z = [float(model.bias[k]) + sum(float(model.weights[v % maxent.ROWS + j * maxent.ROWS, k]) for j, v in enumerate(x)) for k in range(maxent.CLASSES)]
+        total += z[cls] - math.log(sum(map(math.exp, z)))
+        if cls >= maxent.SINGLES:
+            own, part = cls - maxent.SINGLES, h % maxent.PARTS
+            at = [own] + [(((v + own * 0xC2B2AE3D27D4EB4F) * 0x9E3779B97F4A7C15 & mask) >> 24) % rows + maxent.SPELLINGS + j * rows for j, v in enumerate((x[0], x[3]))]
+            z = [sum(float(model.parts[r, k]) for r in at) for k in range(maxent.PARTS)]
+            total += z[part] - math.log(sum(map(math.exp, z)))
+            cell = own * maxent.PARTS + part
+            total += math.log((1 - model.unseen[cell]) * counts[w] / model.size[cell] if counts[w] else model.unseen[cell])
+    return total / math.log(10)
 
 
 def test_language_model_sees_the_third_last_token(spark):

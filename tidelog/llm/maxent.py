@@ -1,26 +1,30 @@
 """LM scoring by a hashed maximum-entropy model with a class-factored softmax.
 
-P(token | history) = P(class | history) * P(token | class).  The ``SINGLES`` most
-frequent tokens (the end token among them) are classes of their own; every other
-token is in one of ``SPELLINGS`` classes by the hash of its last two bytes.  The
-class softmax has hashed features: the last token, the two before it skipping the
-ones between, and the last two together, each in ``ROWS`` rows of weights, and a
-bias.  Within a spelling class a token has its share of the class's training
-count; unseen tokens share the class's Good-Turing mass, its part of tokens that
-occurred once.  So the model is a proper distribution over known tokens and one
-unknown token a spelling class.
+P(token | history) = P(class | history) * P(part | class, history) * P(token | class, part).
+The ``SINGLES`` most frequent tokens (the end token among them) are classes of their
+own; every other token is in one of ``SPELLINGS`` classes by the hash of its last two
+bytes, and in one of the class's ``PARTS`` parts by four bits of its own hash.  Both
+softmaxes have hashed features.  The class's are the last token, the two before it
+skipping the ones between, and the last two together, each in ``ROWS`` rows of
+weights; the part's are the class alone, and with it the last token and the last two
+together, in rows that grow with the vocabulary up to ``MOST_ROWS``.  Within a part a
+token has its share of the part's training count; unseen tokens share the part's
+Good-Turing mass, its share of tokens that occurred once.  So the model is a proper
+distribution over known tokens and one unknown token a part.
 
 Token counts cover all training documents and stay distributed.  Only the
 ``FREQUENT`` most frequent are broadcast (16 bytes each); rarer tokens leave the
 scan as (hash, count in the document) and are joined with the counts.  Training
 passes once over all training documents, in ``ROUNDS`` disjoint parts: each task
 takes AdaGrad steps from the current weights over its share, and the tasks'
-weights are averaged by their tokens before the next part.  A round has two tasks
-a core at most, so the weights that it gathers are bounded by the cluster, while
-counts grow with the corpus.
+weights are averaged by their tokens before the next part, ``FAN`` tasks at a time.
+A task has ``TASK_TOKENS`` tokens at most, about, so a lost executor costs minutes at
+any size, and weights move once for each task.
 
 Edge cases: null and empty texts are the end token alone; without training
-documents N and V are 0 and every token is unknown; repeated rows are scored each.
+documents N and V are 0 and every token is unknown; an empty table gives an empty
+result; repeated rows are scored each; very long texts are scored whole, and extra
+columns are not read.
 """
 
 from __future__ import annotations
@@ -35,20 +39,25 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, remainder, table
+from .common import cut, remainder, small_batches, table
 
-SINGLES, SPELLINGS = 64, 32
+SINGLES, SPELLINGS, PARTS = 64, 32, 16
 CLASSES = SINGLES + SPELLINGS
+#: Rows of weights of each class feature; features of a class; features of a part beside the class; least and most rows of each of those.
 ROWS = 1 << 13
 SLOTS = 4
+PART_SLOTS = 2
+LEAST_ROWS, MOST_ROWS = 1 << 10, 1 << 16
 FREQUENT = 200_000
 ROUNDS = 3
 STEP = 4096
 RATE = 0.2
 CACHED_WORDS = 150_000
+TASK_TOKENS, FAN = 100_000_000, 64
 #: A token that is no word: it holds a space.
 END = b" end"
 
@@ -58,8 +67,32 @@ def token_hash(word: bytes) -> int:
     return v - (1 << 64) if v >= 1 << 63 else v
 
 
+class Spellings(dict):
+    """Last two bytes of a word -> its class among the spellings."""
+
+    def __missing__(self, tail: bytes) -> int:
+        v = self[tail] = zlib.crc32(tail) % SPELLINGS
+        return v
+
+
+_SPELLING = Spellings()
+
+
 def spelling(word: bytes) -> int:
-    return zlib.crc32(word[-2:]) % SPELLINGS
+    return _SPELLING[word[-2:]]
+
+
+def hashes_of(words: list[bytes]) -> np.ndarray:
+    digest = xxhash.xxh3_64_intdigest
+    return np.array([digest(w) for w in words], np.uint64).view(np.int64)
+
+
+def spellings_of(words: list[bytes]) -> np.ndarray:
+    return np.array([_SPELLING[w[-2:]] for w in words], np.int32)
+
+
+def part_of(h: np.ndarray) -> np.ndarray:
+    return (h & (PARTS - 1)).astype(np.int32)
 
 
 def tokens_of(text: str | None) -> list[bytes]:
@@ -73,7 +106,7 @@ def count_tokens(docs: DataFrame) -> DataFrame:
 
     def flush(counts: Counter) -> pa.RecordBatch:
         words = list(counts)
-        return pa.RecordBatch.from_arrays([pa.array([token_hash(w) for w in words], pa.int64()), pa.array([spelling(w) for w in words], pa.int32()), pa.array(list(counts.values()), pa.int64())], names=["token", "spelling", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(hashes_of(words)), pa.array(spellings_of(words)), pa.array(list(counts.values()), pa.int64())], names=["token", "spelling", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
@@ -93,7 +126,8 @@ class Vocabulary:
 
     def __init__(self, frequent: np.ndarray, counts: np.ndarray, singles: np.ndarray):
         self.frequent, self.counts = frequent, counts  # sorted hashes and their counts
-        self.single = dict(zip(singles.tolist(), range(len(singles))))
+        self.order = singles.argsort()
+        self.singles = singles[self.order]
         self.clear()
 
     def clear(self) -> None:
@@ -103,10 +137,11 @@ class Vocabulary:
         self.n = np.zeros(0, np.int64)
 
     def learn(self, words: list[bytes]) -> None:
-        h = np.array([token_hash(w) for w in words], np.int64)
+        h = hashes_of(words)
         at = np.minimum(np.searchsorted(self.frequent, h), max(0, len(self.frequent) - 1))
         n = np.where(self.frequent[at] == h, self.counts[at], -1) if len(self.frequent) else np.full(len(h), -1)
-        cls = np.array([self.single.get(k, SINGLES + spelling(w)) for k, w in zip(h.tolist(), words)], np.int32)
+        own = np.minimum(np.searchsorted(self.singles, h), len(self.singles) - 1)
+        cls = np.where(self.singles[own] == h, self.order[own], SINGLES + spellings_of(words)).astype(np.int32)
         self.index.update(zip(words, range(len(self.hash), len(self.hash) + len(words))))
         self.hash, self.cls, self.n = np.concatenate([self.hash, h]), np.concatenate([self.cls, cls]), np.concatenate([self.n, n])
 
@@ -122,8 +157,8 @@ class Vocabulary:
         return np.fromiter(map(self.index.__getitem__, flat), np.int64, len(flat)), sizes
 
 
-def history(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Rows of weights of each token's features, from token hashes."""
+def history(h: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    """Hashes of each token's features, from token hashes: the tokens one, two and three before, and the first two of these together."""
     u = (h.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(16)
     within = np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     back = []
@@ -132,35 +167,85 @@ def history(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         x[d:] = u[:-d] if d <= len(u) else 0
         x[within < d] = 0
         back.append(x)
-    pair = (back[0] * np.uint64(0xD6E8FEB86659FD93) + back[1]) >> np.uint64(20)
-    return np.stack([(x % np.uint64(ROWS)).astype(np.int32) + i * ROWS for i, x in enumerate((*back, pair))], axis=1)
+    return [*back, (back[0] * np.uint64(0xD6E8FEB86659FD93) + back[1]) >> np.uint64(20)]
 
 
-def energies(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Sums of the features' weights for each class, the largest 0."""
-    z = np.take(weights, rows[:, 0], axis=0)
-    z += bias
-    for i in range(1, rows.shape[1]):
-        z += np.take(weights, rows[:, i], axis=0)
-    z -= z.max(1, keepdims=True)
-    return z
+def class_rows(back: list[np.ndarray]) -> list[np.ndarray]:
+    """Rows of weights of each class feature."""
+    return [(x % np.uint64(ROWS)).astype(np.uint16) for x in back]
 
 
-def softmax(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    z = energies(weights, bias, rows)
-    np.exp(z, out=z)
-    z /= z.sum(1, keepdims=True)
+def part_rows(back: list[np.ndarray], cls: np.ndarray, rows: int) -> list[np.ndarray]:
+    """Rows of weights of each part feature: of the class itself, and of the class with the last token and with the last two."""
+    own = (cls - SINGLES).astype(np.uint64)
+    out = [own.astype(np.uint16)]
+    for x in (back[0], back[3]):
+        y = ((x + own * np.uint64(0xC2B2AE3D27D4EB4F)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(24)
+        out.append((y % np.uint64(rows)).astype(np.uint16))
+    return out
+
+
+def of_classes(weights: np.ndarray) -> list[np.ndarray]:
+    """The weights of each class feature, as views."""
+    return [weights[i * ROWS : (i + 1) * ROWS] for i in range(SLOTS)]
+
+
+def of_parts(weights: np.ndarray) -> list[np.ndarray]:
+    """The weights of each part feature, as views."""
+    rows = (len(weights) - SPELLINGS) // PART_SLOTS
+    return [weights[:SPELLINGS], *(weights[SPELLINGS + i * rows : SPELLINGS + (i + 1) * rows] for i in range(PART_SLOTS))]
+
+
+def energies(weights: list[np.ndarray], rows: list[np.ndarray], bias: np.ndarray | None = None) -> np.ndarray:
+    """Sums of the features' weights for each outcome, the largest 0 where any is large."""
+    z = np.take(weights[0], rows[0], axis=0)
+    if bias is not None:
+        z += bias
+    for w, row in zip(weights[1:], rows[1:]):
+        z += np.take(w, row, axis=0)
+    if z.size and z.max() > 30:
+        z -= z.max(1, keepdims=True)
     return z
 
 
-def log_softmax_of(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray, cls: np.ndarray) -> np.ndarray:
-    """Log probability of one class for each row."""
-    z = energies(weights, bias, rows)
-    own = z[np.arange(len(cls)), cls]
+def log_softmax_of(weights: list[np.ndarray], rows: list[np.ndarray], y: np.ndarray, bias: np.ndarray | None = None) -> np.ndarray:
+    """Log probability of one outcome for each token."""
+    z = energies(weights, rows, bias)
+    own = z[np.arange(len(y)), y]
     np.exp(z, out=z)
     return own - np.log(z.sum(1))
 
 
+def step(weights: list[np.ndarray], square: list[np.ndarray], rows: list[np.ndarray], y: np.ndarray, rate: float, bias: np.ndarray | None = None) -> None:
+    """One AdaGrad step on the likelihood of outcomes y, in place; square has the summed squares of a row's gradients."""
+    slope = energies(weights, rows, bias)
+    np.exp(slope, out=slope)
+    slope /= slope.sum(1, keepdims=True)
+    slope[np.arange(len(y)), y] -= 1
+    if bias is not None:
+        bias -= np.float32(rate * 0.1) * slope.mean(0)
+    for w, w2, own in zip(weights, square, rows):
+        order = np.argsort(own, kind="stable")
+        in_order = own[order]
+        first = np.flatnonzero(np.append(True, in_order[1:] != in_order[:-1]))
+        size = np.diff(np.append(first, len(order)))
+        once, more = first[size == 1], first[size > 1]
+        if len(once):  # rows used once need no sum
+            descend(w, w2, in_order[once], np.take(slope, order[once], axis=0), rate)
+        if len(more):
+            most = size[size > 1]
+            upto = np.cumsum(most)
+            members = np.arange(upto[-1]) + np.repeat(more - upto + most, most)
+            descend(w, w2, in_order[more], np.add.reduceat(np.take(slope, order[members], axis=0), upto - most, axis=0), rate)
+
+
+def descend(w: np.ndarray, w2: np.ndarray, row: np.ndarray, grad: np.ndarray, rate: float) -> None:
+    total = w2[row] + np.einsum("ij,ij->i", grad, grad) / np.float32(grad.shape[1])
+    w2[row] = total
+    grad *= (np.float32(rate) / np.sqrt(total))[:, None]
+    w[row] -= grad
+
+
 def blocks(batches: Iterator[pa.RecordBatch], column: int, size: int = 1 << 20) -> Iterator[tuple[list, list[int], pa.RecordBatch]]:
     """Texts of a batch in runs of about size characters."""
     for batch in batches:
@@ -178,40 +263,40 @@ def blocks(batches: Iterator[pa.RecordBatch], column: int, size: int = 1 << 20)
 
 def trainer(held, rate: float = RATE):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, counts, singles, weights, bias, square = held.value
-        words = Vocabulary(frequent, counts, singles)
-        place, classes = np.zeros(ROWS, np.int64), np.arange(CLASSES)
-        w, b, g2 = weights.copy(), bias.copy(), square.copy()
+        m = held.value
+        words = Vocabulary(m["frequent"], m["n"], m["singles"])
+        w, b, p = m["weights"].copy(), m["bias"].copy(), m["parts"].copy()
+        w2, p2 = np.full(len(w), m["square"], np.float32), np.full(len(p), m["square"], np.float32)
+        classes, parts = (of_classes(w), of_classes(w2)), (of_parts(p), of_parts(p2))
         seen = 0
         for texts, _, _ in blocks(batches, 0):
             at, sizes = words.places(texts)
-            rows, cls = history(words.hash[at], sizes), words.cls[at]
+            h, cls = words.hash[at], words.cls[at]
+            back = history(h, sizes)
+            rows = class_rows(back)
             for a in range(0, len(at), STEP):
-                r, y = rows[a : a + STEP], cls[a : a + STEP]
-                slope = softmax(w, b, r)
-                slope[np.arange(len(y)), y] -= 1
-                b -= np.float32(rate * 0.1) * slope.mean(0)
-                for i in range(SLOTS):
-                    used = np.flatnonzero(np.bincount(r[:, i] - i * ROWS, minlength=ROWS))
-                    place[used] = np.arange(len(used))
-                    cell = (place[r[:, i] - i * ROWS] * CLASSES)[:, None] + classes
-                    grad = np.bincount(cell.ravel(), slope.ravel(), len(used) * CLASSES).reshape(-1, CLASSES).astype(np.float32)
-                    row = used + i * ROWS
-                    g2[row] += np.einsum("ij,ij->i", grad, grad) / np.float32(CLASSES)
-                    grad *= (np.float32(rate) / np.sqrt(g2[row]))[:, None]
-                    w[row] -= grad
+                step(*classes, [x[a : a + STEP] for x in rows], cls[a : a + STEP], rate, b)
+            spelled = np.flatnonzero(cls >= SINGLES)
+            rows, y = part_rows([x[spelled] for x in back], cls[spelled], len(parts[0][1])), part_of(h[spelled])
+            for a in range(0, len(y), STEP):
+                step(*parts, [x[a : a + STEP] for x in rows], y[a : a + STEP], rate)
             seen += len(at)
         if seen:
-            for i, part in enumerate(np.array_split(np.concatenate([w, b[None, :]]), 64)):
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([seen], pa.int64()), pa.array([part.astype("<f4").tobytes()])], names=["part", "seen", "weights"])
+            task = TaskContext.get().partitionId()
+            for i, part in enumerate(np.array_split(np.concatenate([w.ravel(), b, p.ravel()]), 64)):
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([task], pa.int32()), pa.array([seen], pa.int64()), pa.array([part.astype("<f4").tobytes()])], names=["part", "task", "seen", "weights"])
 
     return run
 
 
 def average(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The mean of weights by the tokens that they have seen."""
     seen = pdf.seen.to_numpy(np.float64)
     total = sum(np.frombuffer(w, "<f4") * (n / seen.sum()) for w, n in zip(pdf.weights, seen))
-    return pd.DataFrame({"part": [pdf.part.iloc[0]], "weights": [total.astype("<f4").tobytes()]})
+    return pd.DataFrame({"part": [pdf.part.iloc[0]], "task": [pdf.task.iloc[0] // FAN], "seen": [int(seen.sum())], "weights": [total.astype("<f4").tobytes()]})
+
+
+WEIGHTS = "part int, task int, seen long, weights binary"
 
 
 class Model:
@@ -227,34 +312,56 @@ class Model:
         order = top.token.to_numpy().argsort()
         self.frequent, self.n = top.token.to_numpy(np.int64)[order], top.n.to_numpy(np.int64)[order]
         rare = ~F.col("token").isin([int(t) for t in self.singles])
-        by = counts.groupBy("spelling").agg(F.sum("n").alias("all_n"), F.count(F.lit(1)).alias("all_v"), F.sum(F.when(rare, F.col("n"))).alias("n"), F.sum(F.when(rare & (F.col("n") == 1), 1)).alias("once")).toPandas().fillna(0)
+        cell = F.col("spelling") * PARTS + F.col("token").bitwiseAND(F.lit(PARTS - 1)).cast("int")
+        by = counts.groupBy(cell.alias("cell")).agg(F.sum("n").alias("all_n"), F.count(F.lit(1)).alias("all_v"), F.sum(F.when(rare, F.col("n"))).alias("n"), F.sum(F.when(rare & (F.col("n") == 1), 1)).alias("once")).toPandas().fillna(0)  # a row a part
         self.total, self.kinds = int(by.all_n.sum()), int(by.all_v.sum())
-        self.size, self.unseen = np.zeros(SPELLINGS), np.full(SPELLINGS, 0.5)
-        self.size[by.spelling] = by.n
-        self.unseen[by.spelling] = (by.once + 0.5) / (by.n + 1)
+        self.size, self.unseen = np.zeros(SPELLINGS * PARTS), np.full(SPELLINGS * PARTS, 0.5)
+        self.size[by.cell] = by.n
+        self.unseen[by.cell] = (by.once + 0.5) / (by.n + 1)
         share = np.zeros(CLASSES)
         known = dict(zip(top.token, top.n))
         share[: len(self.singles)] = [known.get(t, 0) for t in self.singles]
-        share[SINGLES:] = self.size
+        share[SINGLES:] = self.size.reshape(SPELLINGS, PARTS).sum(1)
         share = (share + 0.1) / (share + 0.1).sum()
         self.weights = np.zeros((SLOTS * ROWS, CLASSES), np.float32)
         self.bias = np.log(share).astype(np.float32)
-        square = np.full(SLOTS * ROWS, 0.1, np.float32)
-        tasks = max(1, 2 * spark.sparkContext.defaultParallelism)  # coalesce() never adds any
+        part_size = min(MOST_ROWS, max(LEAST_ROWS, 1 << (self.kinds // 4).bit_length()))
+        self.parts = np.zeros((SPELLINGS + PART_SLOTS * part_size, PARTS), np.float32)
+        inner = self.size.reshape(SPELLINGS, PARTS) + 0.1
+        self.parts[:SPELLINGS] = np.log(inner / inner.sum(1, keepdims=True))
+        square = 0.1
+        tasks = max(2 * spark.sparkContext.defaultParallelism, -(-self.total // (ROUNDS * TASK_TOKENS)))  # coalesce() never adds any
+        small_batches(training)
         for part in range(ROUNDS if self.total else 0):
-            held = spark.sparkContext.broadcast((self.frequent, self.n, self.singles, self.weights, self.bias, square))
+            held = spark.sparkContext.broadcast(self.arrays() | {"square": square})
             own = training.where(F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS)) == part).select("text").coalesce(tasks)
-            got = own.mapInArrow(trainer(held), "part int, seen long, weights binary").groupBy("part").applyInPandas(average, "part int, weights binary").collect()
+            got, left = own.mapInArrow(trainer(held), WEIGHTS), tasks
+            while left > 1:
+                left = -(-left // FAN)
+                got = got.groupBy("part", F.floor(F.col("task") / FAN)).applyInPandas(average, WEIGHTS)
+            got = got.collect()  # the weights, in 64 parts
             if got:
-                flat = np.concatenate([np.frombuffer(r.weights, "<f4") for r in sorted(got, key=lambda r: r.part)]).reshape(-1, CLASSES)
-                self.weights, self.bias = flat[:-1], flat[-1]
+                flat = np.concatenate([np.frombuffer(r.weights, "<f4") for r in sorted(got, key=lambda r: r.part)])
+                a, b = self.weights.size, self.weights.size + CLASSES
+                self.weights, self.bias, self.parts = flat[:a].reshape(-1, CLASSES), flat[a:b], flat[b:].reshape(-1, PARTS)
             square = square * 4  # later parts refine
 
-    def inside(self, n: np.ndarray, cls: np.ndarray) -> np.ndarray:
-        """log10 P(token | class) of known tokens."""
-        b = np.maximum(cls - SINGLES, 0)
-        with np.errstate(divide="ignore"):
-            return np.where(cls < SINGLES, 0.0, np.log10((1 - self.unseen[b]) * n / np.maximum(self.size[b], 1)))
+    def arrays(self) -> dict[str, np.ndarray]:
+        return {k: getattr(self, k) for k in ("frequent", "n", "singles", "weights", "bias", "parts")}
+
+
+def log_probability(m: dict, h: np.ndarray, cls: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """log10 P(class, part | history) of tokens by their hashes and classes, in texts of those sizes."""
+    back = history(h, sizes)
+    rows, weights = class_rows(back), of_classes(m["weights"])
+    out = np.empty(len(h))
+    for a in range(0, len(h), STEP):
+        out[a : a + STEP] = log_softmax_of(weights, [x[a : a + STEP] for x in rows], cls[a : a + STEP], m["bias"])
+    spelled, weights = np.flatnonzero(cls >= SINGLES), of_parts(m["parts"])
+    rows, y = part_rows([x[spelled] for x in back], cls[spelled], len(weights[1])), part_of(h[spelled])
+    for a in range(0, len(y), STEP):
+        out[spelled[a : a + STEP]] += log_softmax_of(weights, [x[a : a + STEP] for x in rows], y[a : a + STEP])
+    return out / math.log(10)
 
 
 def scorer(held):
@@ -262,48 +369,42 @@ def scorer(held):
         m, total, kinds = held.value
         words = Vocabulary(m["frequent"], m["n"], m["singles"])
         floor = math.log10(total + 0.1 * (kinds + 1))
+        of = pa.struct([("token", pa.int64()), ("cls", pa.int32()), ("times", pa.int32())])
         for texts, rows, batch in blocks(batches, 1):
             at, sizes = words.places(texts)
             n, cls, h = words.n[at], words.cls[at], words.hash[at]
-            features = history(h, sizes)
-            score = np.empty(len(at))
-            for a in range(0, len(at), STEP):
-                score[a : a + STEP] = log_softmax_of(m["weights"], m["bias"], features[a : a + STEP], cls[a : a + STEP])
-            score /= math.log(10)
+            score = log_probability(m, h, cls, sizes)
             known = n > 0
-            score += np.where(known, Model.inside(held_model(m), np.maximum(n, 1), cls), 0.0)
+            cell = np.where(cls < SINGLES, 0, (cls - SINGLES) * PARTS + part_of(h))
+            inside = np.log10((1 - m["unseen"][cell]) * np.maximum(n, 1) / np.maximum(m["size"][cell], 1))
+            score += np.where(known & (cls >= SINGLES), inside, 0.0)
             base = np.where(known, np.log10(np.maximum(n, 0) + 0.1) - floor, 0.0)
             first = np.cumsum(sizes) - sizes
-            rare = []
-            for a, b in zip(first.tolist(), (first + sizes).tolist()):
-                own = at[a:b][~known[a:b]]
-                place, times = np.unique(own, return_counts=True)
-                rare.append([{"token": t, "cls": c, "times": k} for t, c, k in zip(words.hash[place].tolist(), words.cls[place].tolist(), times.tolist())])
-            of = pa.struct([("token", pa.int64()), ("cls", pa.int32()), ("times", pa.int32())])
+            # the others, each once a text
+            left = np.flatnonzero(~known)
+            text = np.repeat(np.arange(len(sizes)), sizes)[left]
+            pair, times = np.unique(text * len(words.hash) + at[left], return_counts=True)
+            place = pair % max(1, len(words.hash))
+            offsets = np.searchsorted(pair, np.arange(len(sizes) + 1) * len(words.hash)).astype(np.int32)
+            rare = pa.StructArray.from_arrays([pa.array(words.hash[place]), pa.array(words.cls[place]), pa.array(times.astype(np.int32))], fields=list(of))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(rows)), pa.array(sizes), pa.array(np.add.reduceat(known, first, dtype=np.int64)), pa.array(np.add.reduceat(base, first)), pa.array(np.add.reduceat(score, first)), pa.array(rare, pa.list_(of))],
+                [batch.column(0).take(pa.array(rows)), pa.array(sizes), pa.array(np.add.reduceat(known, first, dtype=np.int64)), pa.array(np.add.reduceat(base, first)), pa.array(np.add.reduceat(score, first)), pa.ListArray.from_arrays(pa.array(offsets), rare)],
                 names=["doc_id", "n_tokens", "n_known", "base", "score", "rare"],
             )
 
     return run
 
 
-class held_model:
-    """The arrays that Model.inside reads."""
-
-    def __init__(self, m: dict):
-        self.unseen, self.size = m["unseen"], m["size"]
-
-
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, text) to doc_id, n_tokens, n_known, base_score, score for every row."""
-    m = {k: getattr(model, k) for k in ("frequent", "n", "singles", "weights", "bias", "unseen", "size")}
+    m = model.arrays() | {"unseen": model.unseen, "size": model.size}
+    small_batches(docs)
     held = docs.sparkSession.sparkContext.broadcast((m, model.total, model.kinds))
     got = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(scorer(held), "doc_id long, n_tokens long, n_known long, base double, score double, rare array<struct<token:long,cls:int,times:int>>")
     got = cut(got.withColumn("row", F.monotonically_increasing_id()), "scored")
     rare = got.select("row", F.explode("rare").alias("r")).select("row", "r.*").join(model.counts.select("token", "n"), "token", "left")
     n = F.coalesce("n", F.lit(0)).cast("double")
-    b = F.greatest(F.col("cls") - SINGLES, F.lit(0))
+    b = F.greatest(F.col("cls") - SINGLES, F.lit(0)) * PARTS + F.col("token").bitwiseAND(F.lit(PARTS - 1)).cast("int")
     unseen, size = (F.get(F.array(*[F.lit(float(x)) for x in xs]), b) for xs in (model.unseen, np.maximum(model.size, 1)))
     # an unseen token with a class of its own (the end token, without training) has all of it
     inside = F.log10(F.when(F.col("cls") < SINGLES, 1.0).when(n > 0, (1 - unseen) * n / size).otherwise(unseen))
