@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -95,7 +96,8 @@ def test_signature_estimate(spark):
     assert abs((same - chance) / (1 - chance) - 250 / 350) < 0.15
 
 
-def test_range_join(spark):
+@pytest.mark.parametrize("copy", [0.0, 1e6])
+def test_range_join(spark, copy):
     rng = np.random.default_rng(3)
     base = rng.normal(size=(40, 8))
     x = np.concatenate([base, base[:10] + rng.normal(size=(10, 8)) * 0.1, base[:10] * 2, np.repeat(base[:1], 5, 0), base[3] + rng.normal(size=(60, 8)) * 0.15]).astype("f4")
@@ -106,19 +108,40 @@ def test_range_join(spark):
     hit = u @ u.T >= 0.95
     np.fill_diagonal(hit, False)
     want = reach(range(n), list(zip(*np.nonzero(hit))))
-    old = neighbours.ROWS_A_PIVOT, neighbours.BLOCK
-    neighbours.ROWS_A_PIVOT, neighbours.BLOCK = 10, 16  # many cells, each in several blocks
+    old = neighbours.COPY, neighbours.BLOCK
+    neighbours.COPY, neighbours.BLOCK = copy, 16  # many cells or one, in several blocks
     try:
         df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").selectExpr("*", "vec_id as rep", "1 as cell")
         got = {r.vec_id: (r.n_links, r.component_id) for r in neighbours.near_links(df).collect()}
     finally:
-        neighbours.ROWS_A_PIVOT, neighbours.BLOCK = old
+        neighbours.COPY, neighbours.BLOCK = old
     assert got == {i: (int(hit[i].sum()), want[i]) if i < n else (0, i) for i in range(n + 6)}
+    cells = len(neighbours.choose_pivots(u, 10**6, 0.3))
+    assert 1 <= cells <= len(u) / 4
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert neighbours.near_links(empty).count() == 0
     assert [tuple(r) for r in neighbours.near_links(spark.createDataFrame([(5, None)], "vec_id long, embedding array<float>")).collect()] == [(5, 0, 5)]
 
 
+def test_range_join_of_several_lengths_and_at_the_bound(spark):
+    """Vectors of each length link among themselves only; pairs just over and under the bound fall on their sides."""
+    rng = np.random.default_rng(13)
+    x = [rng.normal(size=d) for d in (3, 5, 7, 3, 5) for _ in range(12)]
+    x += [v[:-1] if len(v) > 3 else np.append(v, 0.0) for v in x[:20]] + [v + rng.normal(size=len(v)) * 0.05 for v in x[:30]]
+    for t in (0.95, np.nextafter(0.95, 1), 0.95 + 1e-9, 0.95 - 1e-9, np.nextafter(0.95, 0)):
+        x += [np.array([1.0, 0, 0, 0, 0, 0]), np.array([t, np.sqrt(1 - t * t), 0, 0, 0, 0])]
+    x += [np.eye(9)[0] * 1e-200 + np.eye(9)[4] * 1e-200, np.eye(9)[0] * 1e200 + np.eye(9)[4] * 1e200]  # their squares are no doubles
+    n = len(x)
+    con = duckdb.connect()
+    con.execute("create table embeddings (vec_id bigint, embedding double[])")
+    con.executemany("insert into embeddings values (?, ?)", [(i, v.tolist()) for i, v in enumerate(x[:-2])])
+    want = {r[0]: r[1:3] for r in con.sql(neighbours.OP1_SQL).fetchall()}
+    got = {r.vec_id: (r.n_links, r.component_id) for r in neighbours.near_links(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()}
+    ties = set(range(n - 12, n - 2))
+    assert all(got[i] == want[i] for i in range(n - 2) if i not in ties)
+    assert got[n - 2][0] == got[n - 1][0] == 1 and (got[n - 7][0], got[n - 5][0]) == (9, 4)  # 0.95 + 1e-9 links with the five equal ones, 0.95 - 1e-9 does not
+
+
 def brute_repeats(texts, length):
     data = [(t or "").encode() for t in texts]
     seen = {}
