@@ -196,6 +196,15 @@ def anchorer(length: int, gram: int, view: type):
 SUFFIXES = "doc_id long, text_hash long, h long, c long, p long, n int, lead int"
 
 
+#: Where a context is: its document, the first window's place, the count of windows and the anchor's place in the first.
+PLACE = ["doc_id", "text_hash", "p", "n", "lead"]
+
+
+def any_of(columns: list[str]) -> list[Column]:
+    """Those columns of one row of each group, whichever: plain values, so groups are hashed and not sorted."""
+    return [F.first(c).alias(c) for c in columns]
+
+
 class Level:
     """A suffix array: a table in the shared folder, sorted within its parts, and its count of rows."""
 
@@ -230,8 +239,7 @@ class LogIndex:
         """Add a batch of documents by the suffixes at their anchors."""
         who = F.xxhash64("doc_id", "text_hash")
         rows = suffixes.withColumns({"times": F.lit(1).cast("long"), **({"lo": who, "hi": who} if self.across else {})})
-        one = F.min(F.struct("doc_id", "text_hash", "p", "n", "lead")).alias("one")
-        batch = Level(rows.groupBy("h", "c").agg(*self.together(), one))
+        batch = Level(rows.groupBy("h", "c").agg(*self.together(), *any_of(PLACE)))
         if not batch.size:
             return forget(batch.rows)
         # the merge-scan: one pass over the batch and all levels
@@ -242,7 +250,7 @@ class LogIndex:
         self.seeds.append(cut(shared.where(F.col("new") & self.company()).select("h"), "seeds"))
         while self.levels and 2 * self.levels[-1].size < 3 * batch.size:
             old = self.levels.pop()
-            merged = Level(old.rows.union(batch.rows).groupBy("h", "c").agg(*self.together(), F.min("one").alias("one")))
+            merged = Level(old.rows.union(batch.rows).groupBy("h", "c").agg(*self.together(), *any_of(PLACE)))
             forget(old.rows, batch.rows)
             batch = merged
         self.levels.append(batch)
@@ -254,7 +262,7 @@ class LogIndex:
             rows = rows.union(level.rows)
         for more in self.seeds[1:]:
             seeds = seeds.union(more)
-        found = rows.join(seeds.distinct(), "h", "left_semi").groupBy("h", "c").agg(*self.together(), F.min("one").alias("one"))
+        found = rows.join(seeds.distinct(), "h", "left_semi").groupBy("h", "c").agg(*self.together(), *any_of(PLACE))
         found = cut(found, "contexts")
         several = found.groupBy("h").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("h", F.lit(True).alias("several"))
         return cut(found.join(several, "h", "left"), "kinds")
@@ -342,21 +350,21 @@ def extended(index: LogIndex, texts: DataFrame, length: int, gram: int, view: ty
     """(h, c, runs): the repeated windows of the contexts of all seeds, as runs [a, b] of window numbers."""
     kinds = index.kinds()
     runs = lambda a, b: F.array(F.struct(a.cast("int").alias("a"), b.cast("int").alias("b"))).alias("runs")
-    whole = kinds.where(index.company()).select("h", "c", runs(F.lit(0), F.col("one.n") - 1))
+    whole = kinds.where(index.company()).select("h", "c", runs(F.lit(0), F.col("n") - 1))
     # one context of each kind, where an anchor has several
-    wanted = kinds.where("several").select("one.doc_id", "one.text_hash", F.struct("h", "c", "one.p", "one.n", "one.lead").alias("w"))
+    wanted = kinds.where("several").select("doc_id", "text_hash", F.struct("h", "c", "p", "n", "lead").alias("w"))
     wanted = wanted.groupBy(F.col("doc_id").alias("d"), F.col("text_hash").alias("t")).agg(F.collect_list("w").alias("wanted"))
     same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t"))
     held = cut(texts.join(wanted, same).select("text", "wanted").mapInPandas(cutter(length, view), "h long, c long, lead int, context binary"), "held")
     slices = held.select("h", "c", "lead", "context").mapInArrow(slicer(length, gram, view), "h long, c long, a int, b int, core long, content long")
     slices = cut(slices.join(kinds.select("h", "c", *index.sums, index.company().alias("whole")), ["h", "c"]), "slices")
-    contents = cut(slices.groupBy("core", "content").agg(*index.together(), F.min(F.struct("h", "c", "a", "b")).alias("rep")), "contents")
+    contents = cut(slices.groupBy("core", "content").agg(*index.together(), *any_of(["h", "c", "a", "b"])), "contents")
     equal = contents.where(index.company()).select("core", "content")
     left = slices.where("not whole").select("core", "content", "h", "c", "a", "b")
     found = left.join(equal, ["core", "content"], "left_semi").select("h", "c", runs(F.col("a"), F.col("b")))
     # cores whose slices differ: one slice of each content, by single windows
     differ = contents.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core")
-    reps = contents.join(differ, "core", "left_semi").select("core", "content", "rep.*")
+    reps = contents.join(differ, "core", "left_semi").select("core", "content", "h", "c", "a", "b")
     windows = held.select("h", "c", "context").join(reps, ["h", "c"]).select("core", "content", "a", "b", "context")
     windows = cut(windows.mapInArrow(splitter(length, view), "f long, s long, core long, content long, offset int").join(contents.select("core", "content", *index.sums), ["core", "content"]) if index.across else windows.mapInArrow(splitter(length, view), "f long, s long, core long, content long, offset int").withColumn("times", F.lit(1).cast("long")), "windows")
     twice = windows.groupBy("f", "s").agg(*index.together()).where(index.company()).select("f", "s")
