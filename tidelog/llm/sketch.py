@@ -8,7 +8,9 @@ fewer than K values holds the whole set, and every estimate on it is exact.
 
 Edge cases: null text is the empty text, with an empty fingerprint; two empty
 fingerprints are alike (1.0), an empty and another are not (0.0).  Repeated rows
-are documents of their own; ties in doc_id are put in order of the text's hash.
+are documents of their own; ties in doc_id are put in order of the text's hash, and
+null ids come last, after all others.  An empty table gives an empty result; very
+long texts are sketched whole; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -20,9 +22,10 @@ from .common import table, words_of
 
 K = 256
 SHINGLE = 5
-#: Largest count of doc_id ranges, so of rows in the table of range edges.
-MOST_RANGES = 65536
+#: Largest count of doc_id ranges, so of rows in the table of range edges; rows of a range until then; edges of a page of the search.
+MOST_RANGES = 16384
 ROWS_A_RANGE = 2000
+PAGE = 128
 
 
 def sketch(words: Column, k: int = K, n: int = SHINGLE) -> Column:
@@ -74,28 +77,49 @@ def fingerprints(docs: DataFrame, k: int = K) -> DataFrame:
     return out.select("doc_id", "sketch", digits(F.col("sketch")).alias("fingerprint"), distinct_shingles(F.col("sketch"), k).alias("n_shingles"))
 
 
+def ranges_of(rows: DataFrame, n: int) -> Column:
+    """Number of the range of each row in ascending order of (doc_id, text_hash): about n ranges of as many rows each.
+
+    The edges are quantiles of doc_id, so clustered ids and single far ones make no
+    range larger; an id that fills several ranges is dealt over them by the hash.
+    """
+    edges = rows.agg(F.approx_percentile("doc_id", [i / n for i in range(1, n)], max(10_000, 4 * n))).first()[0] if n > 1 else []
+    if not edges:
+        return F.lit(0)
+    # a search in two steps: every PAGE-th edge, then the page that follows
+    pages = F.lit([edges[i] for i in range(0, len(edges), PAGE)])
+    every = F.lit(list(edges))
+
+    def below(less) -> Column:
+        page = F.size(F.filter(pages, less))
+        first = F.greatest(F.lit(0), page - 1) * PAGE
+        return first + F.size(F.filter(F.slice(every, first + 1, F.lit(PAGE)), less))
+
+    # equal edges may go on over more pages
+    low, high = below(lambda e: e < F.col("doc_id")), below(lambda e: e <= F.col("doc_id"))
+    share = (F.col("text_hash").cast("double") + F.lit(2.0**63)) / F.lit(2.0**64)
+    return (low + F.least(F.floor(share * (high - low + 1)), high - low)).cast("int")
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """Adds next_text: the text of the next document in descending doc_id; the first's after the last.
 
-    Rows are dealt by equal ranges of doc_id, so texts move once and no task holds
+    Rows are dealt by ranges of equal counts, so texts move once and no task holds
     more than a range.  Each range also gets a copy of the row that follows it.
     """
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    low, high, n = rows.agg(F.min("doc_id").cast("double"), F.max("doc_id").cast("double"), F.count(F.lit(1))).first()
-    low, high = (low, high) if low is not None else (0.0, 0.0)
-    ranges = max(1, min(MOST_RANGES, -(-n // ROWS_A_RANGE)))
-    width = max((high - low) / ranges, 1e-9)
-    at = F.coalesce(F.least(F.floor((F.col("doc_id").cast("double") - F.lit(low)) / F.lit(width)), F.lit(ranges - 1)), F.lit(-1)).cast("long")
-    rows = rows.withColumn("range_no", at).withColumn("text_hash", F.xxhash64("text"))
-    # the first row of each range: as many as ranges, so a bounded table
-    edges = rows.groupBy("range_no").agg(F.max(F.struct(F.coalesce("doc_id", F.lit(-(2**63))).alias("e_id"), F.col("text_hash").alias("e_hash"))).alias("e")).select(F.col("range_no").alias("e_range"), "e.*")
-    edge_rows = rows.join(F.broadcast(edges), (F.col("range_no") == F.col("e_range")) & (F.coalesce("doc_id", F.lit(-(2**63))) == F.col("e_id")) & (F.col("text_hash") == F.col("e_hash")), "left_semi").dropDuplicates(["range_no"])
+    none = F.lit(-(2**63)).cast("long")
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), none).alias("doc_id"), F.col("doc_id").alias("own_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    n = rows.count()
+    rows = rows.withColumn("range_no", ranges_of(rows, max(1, min(MOST_RANGES, -(-n // ROWS_A_RANGE)))))
+    # the first row of each range in descending order: as many as ranges, so a bounded table
+    edges = rows.groupBy("range_no").agg(F.max(F.struct(F.col("doc_id").alias("e_id"), F.col("text_hash").alias("e_hash"))).alias("e")).select(F.col("range_no").alias("e_range"), "e.*")
     down = Window.orderBy(F.col("e_range").desc())
-    before = edges.select("e_range", F.coalesce(F.lag("e_range").over(down), F.min("e_range").over(Window.partitionBy())).alias("for_range"))
-    edge_rows = edge_rows.join(F.broadcast(before), F.col("range_no") == F.col("e_range")).select("doc_id", "text", F.col("for_range").alias("range_no"), "text_hash", F.lit(1).alias("edge"))
+    edges = edges.withColumn("for_range", F.coalesce(F.lag("e_range").over(down), F.min("e_range").over(Window.partitionBy())))
+    edge_rows = rows.join(F.broadcast(edges), (F.col("range_no") == F.col("e_range")) & (F.col("doc_id") == F.col("e_id")) & (F.col("text_hash") == F.col("e_hash"))).dropDuplicates(["range_no"])
+    edge_rows = edge_rows.select("doc_id", "own_id", "text", "text_hash", F.col("for_range").alias("range_no"), F.lit(1).alias("edge"))
     all_rows = rows.withColumn("edge", F.lit(0)).unionByName(edge_rows)
-    order = Window.partitionBy("range_no").orderBy("edge", F.col("doc_id").desc_nulls_last(), F.col("text_hash").desc(), F.col("text").desc())
-    return all_rows.withColumn("next_text", F.lead("text").over(order)).where("edge = 0").select("doc_id", "text", "next_text")
+    order = Window.partitionBy("range_no").orderBy("edge", F.col("doc_id").desc(), F.col("text_hash").desc(), F.col("text").desc())
+    return all_rows.withColumn("next_text", F.lead("text").over(order)).where("edge = 0").select(F.col("own_id").alias("doc_id"), "text", "next_text")
 
 
 def op7_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
