@@ -9,12 +9,13 @@ to the budget, every queue has had exactly its target at virtual time 1: that is
 the cut.  A document over the cut is split there, its part after the cut unread.
 
 Scale: a source's prefix sums go over (source, bucket of the shuffle hash), so a
-source with a third of all rows is split over ``BUCKETS`` windows; only the
+source with a third of all rows is split over 4096 windows; only the
 per-source table (one row a source) is ordered in a single task.
 
 Edge cases: null text has no words; a null source is a source of its own, last
 in order; repeated rows are documents of their own; zero-word documents take
-nothing; an empty table gives an empty result.
+nothing; an empty table gives an empty result; very long texts are counted whole, and
+no other column's name clashes with those made here but for the ones in ``keep``.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, word_count
+from .common import cut, table, word_count
 
 WEIGHTS = (5, 2, 1)
 BUDGET = 1.5
@@ -81,17 +82,37 @@ def mix(docs: DataFrame, keep: list[str], size: Column | None = None, weights=WE
     return rows.select(*keep, "size", "source_size", "target", "epoch", served.alias("taken"), finish.alias("finish"), row_key.alias("row_key"))
 
 
+def serving_order() -> list[Column]:
+    return [F.col("finish"), F.col("source").asc_nulls_last(), F.col("doc_id"), F.col("epoch"), F.col("row_key")]
+
+
+def serve(mixed: DataFrame) -> DataFrame:
+    """The merged queue cut at the total budget: mixed in ranges of virtual finish time (slot), with served, the words before a row, and taken cut to what the budget leaves.
+
+    Each source has its target by virtual time 1, so rounding apart the cut is there.
+    The running sum goes over the ranges' sums first, then within each range.
+    """
+    queue = cut(mixed.repartitionByRange(*serving_order()).withColumn("slot", F.spark_partition_id()), "queue")
+    slots = queue.groupBy("slot").agg(F.sum("taken").alias("words"))  # a row a range
+    before = slots.withColumn("before", F.sum("words").over(Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, 0)) - F.col("words")).drop("words")
+    sources = queue.groupBy("source").agg(F.first("target").alias("target"))
+    budget = sources.agg(F.sum(F.floor("target"))).first()[0] or 0
+    within = Window.partitionBy("slot").orderBy(*serving_order()).rowsBetween(Window.unboundedPreceding, 0)
+    rows = queue.join(F.broadcast(before), "slot").withColumn("served", F.col("before") + F.sum("taken").over(within) - F.col("taken"))
+    left = F.greatest(F.lit(0).cast("long"), F.lit(budget).cast("long") - F.col("served"))
+    return rows.withColumn("taken", F.least(F.col("taken"), left)).drop("before")
+
+
 def schedule(mixed: DataFrame, partitions: int | None = None) -> DataFrame:
-    """The mix in serving order: range-sorted by virtual finish time and cut at the budget (virtual time 1)."""
+    """The rows that the mix takes words of in serving order: range-sorted by virtual finish time."""
     served = mixed.where(F.col("taken") > 0)
-    by = [F.col("finish"), F.col("source").asc_nulls_last(), F.col("doc_id"), F.col("epoch")]
-    dealt = served.repartitionByRange(partitions, *by) if partitions else served.repartitionByRange(*by)
-    return dealt.sortWithinPartitions(*by)
+    dealt = served.repartitionByRange(partitions, *serving_order()) if partitions else served.repartitionByRange(*serving_order())
+    return dealt.sortWithinPartitions(*serving_order())
 
 
 def op9_wfq_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words that the mix takes of each document."""
-    mixed = mix(table(spark, sf_dir, "documents"), ["doc_id", "source"])
+    """Words that the mix takes of each document, from the merged queue cut at the budget."""
+    mixed = serve(mix(table(spark, sf_dir, "documents"), ["doc_id", "source"]))
     mixed = mixed.groupBy("row_key").agg(*[F.first(c).alias(c) for c in ("doc_id", "size", "source_size", "target")], F.sum("taken").alias("taken"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
