@@ -4,7 +4,8 @@ Each round moves every edge's far end towards the smallest neighbour, first for
 larger neighbours, then for smaller ones (Kiveris et al., 2014); the edges end as
 stars round each component's smallest vertex, after a number of rounds that grows
 with the logarithm of the size.  Minima are aggregated before the shuffle and
-joined back, so a vertex with many neighbours is never gathered in one place.
+joined back as one row a vertex; the other side of that join, the edges of a vertex
+with many neighbours, is split by adaptive execution where it is skewed.
 """
 
 from __future__ import annotations

@@ -20,7 +20,9 @@ two components.
 A pair at similarity 0.8 shares no band with probability (1 - 0.8^4)^32 < 5e-8.
 
 Edge cases: null text is the empty text; repeated rows, as all copies, are one
-class; rows that repeat a doc_id are one document.
+class; rows that repeat a doc_id are one document.  An empty table gives an empty
+result; very long texts are hashed in parts of ``PART`` shingles and compared whole;
+extra columns are not read.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, small_batches, table
 from .components import components
 
 HASHES, BANDS, BITS = 128, 32, 2
@@ -42,6 +44,8 @@ MARGIN = 6.0
 CACHED_WORDS = 100_000
 #: Members of a bucket whose pairs are listed, and of a block of a larger one.
 SMALL, BLOCK = 32, 2048
+#: Shingles of all members of a block, about.
+BLOCK_SHINGLES = 2_000_000
 #: Distinct shingles hashed at once; a longer document is taken in parts.
 PART = 1 << 16
 
@@ -118,6 +122,7 @@ def signer(shingle: int):
 
 def sign(docs: DataFrame, shingle: int) -> DataFrame:
     """(doc_id, text) to doc_id, n (set size), key1 and key2 (fingerprint of the whole set), sig (packed bits), bands."""
+    small_batches(docs)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(signer(shingle), "doc_id long, n long, key1 long, key2 long, sig array<long>, bands array<long>")
 
 
@@ -208,15 +213,17 @@ def large_links(rest: DataFrame, signed: DataFrame, texts: DataFrame, shingle: i
 
     Members outside the component of the bucket's first meet all of the bucket.
     A block compares signatures and says which of its members have a possible
-    partner; those come back with their texts, and the block confirms its pairs
-    on the full sets.  It returns a link for each pair of components that it
-    finds linked, never its pairs.
+    partner; those come back with their texts, and the block compares the full
+    sets, by shingle hashes.  It returns a link for each pair of components that
+    it finds linked, never its pairs; the caller confirms these on the texts.
     """
     stray = F.col("component") != F.col("main")
-    sizes = rest.groupBy("band").agg(F.sum(stray.cast("int")).alias("strays"))
-    blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
-    rows = rest.join(sizes, "band").join(signed.select("doc_id", "bands").dropDuplicates(["doc_id"]), "doc_id")
-    rows = rows.select("band", "doc_id", "sig", "bands", "component", "main", stray.alias("stray"), blocks("strays").alias("ni"), blocks("size").alias("nj"), F.xxhash64("doc_id").alias("h"))
+    rest = rest.join(signed.select("doc_id", "bands", "n").dropDuplicates(["doc_id"]), "doc_id")
+    sizes = rest.groupBy("band").agg(F.sum(stray.cast("int")).alias("strays"), F.sum(F.when(stray, F.col("n"))).alias("stray_n"), F.sum("n").alias("all_n"))
+    # blocks of so many members, and of so many shingles
+    blocks = lambda c, n: F.greatest(F.ceil(F.col(c) / BLOCK), F.ceil(F.col(n) / BLOCK_SHINGLES)).cast("int")
+    rows = rest.join(sizes, "band")
+    rows = rows.select("band", "doc_id", "sig", "bands", "component", "main", stray.alias("stray"), blocks("strays", "stray_n").alias("ni"), blocks("size", "all_n").alias("nj"), F.xxhash64("doc_id").alias("h"))
     upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
     plain = ["band", "doc_id", "sig", "bands", "component", "main"]
     left = rows.where("stray").select(*plain, F.lit(True).alias("left"), F.pmod("h", "ni").cast("int").alias("i"), F.explode(upto("nj")).alias("j"))
@@ -304,7 +311,7 @@ def near_classes(docs: DataFrame, shingle: int, percent: int = PERCENT) -> DataF
     other = small.select("band", *[F.col(c).alias(f"{c}_b") for c in ("doc_id", "sig", "component")])
     cross = small.join(other, "band").where((F.col("doc_id") < F.col("doc_id_b")) & (F.col("component") != F.col("component_b")) & fits("sig", "sig_b"))
     cross = cross.select(F.col("doc_id").alias("a"), F.col("doc_id_b").alias("b")).distinct().join(pairs.select("a", "b"), ["a", "b"], "left_anti")
-    links = links.union(confirmed(cut(cross, "cross"))).union(large_links(rest.where(F.col("size") > SMALL), signed, texts, shingle, percent))
+    links = links.union(confirmed(cut(cross.union(large_links(rest.where(F.col("size") > SMALL), signed, texts, shingle, percent)).distinct(), "cross")))
     stars = components(links)
     out = member.join(stars, F.col("rep") == F.col("vertex"), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "rep")).otherwise(F.col("doc_id")).alias("component_id"))
