@@ -10,12 +10,13 @@ code for the whole text is predicted; score is its posterior under equal priors.
 
 Training counts the contexts of a bounded sample (``PER_LANGUAGE`` documents of
 each language in order of a hash of doc_id, texts over ``LONGEST_SAMPLE``
-characters left out), on the executors; contexts of three bytes and more that
-occur once are left out, so the model is bounded as the sample is.  Scoring is
-one narrow stage over every whole text, as numpy look-ups of all positions.
+characters left out), on the executors; the model is bounded as the sample is.
+Scoring is one narrow stage over every whole text, as numpy look-ups of all positions.
 
 Edge cases: null texts and those without a letter are ``und`` with score 0.0, and
-so is everything where no language was learned.  Ties go to the first name.
+so is everything where no language was learned.  Ties go to the first name.  An empty
+table gives an empty result; very long texts are scored whole, ``BLOCK`` positions at
+a time; repeated rows are scored each; columns are kept as ``keep`` names them.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import remainder, table
+from .common import remainder, small_batches, table
 
 ORDER = 4
 PER_LANGUAGE = 400
@@ -65,7 +66,7 @@ class Table:
     """Open-addressed hash table of int64 keys (positive) to their places in the list."""
 
     def __init__(self, keys: np.ndarray):
-        self.bits = max(10, int(len(keys)).bit_length() + 2)
+        self.bits = max(10, int(len(keys)).bit_length() + 1)
         size = 1 << self.bits
         self.keys = np.zeros(size, np.int64)
         self.at = np.full(size, -1, np.int32)
@@ -196,17 +197,23 @@ class Coder:
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE, order: int = ORDER) -> dict | None:
     """Statistics of a bounded sample of the documents with a lang and a text."""
     able = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= LONGEST_SAMPLE))
+    small_batches(docs)
+    # of each language the hashes under a bound that holds the wanted number with room, so no task ranks all of one
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    room = F.lit(per_language + 10 * per_language**0.5 + 100) / F.count(F.lit(1))
+    bounds = able.groupBy("lang").agg((room * (1 << 30)).alias("bound"))  # a row a language
+    near = able.select("doc_id", "lang").join(F.broadcast(bounds), "lang").where(place < F.col("bound"))
     by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = able.select("doc_id", "lang").withColumn("rn", F.row_number().over(by_hash)).where(F.col("rn") <= per_language).select("doc_id").distinct()
+    ids = near.withColumn("rn", F.row_number().over(by_hash)).where(F.col("rn") <= per_language).select("doc_id").distinct()
     sample = able.select("doc_id", "lang", "text").join(F.broadcast(ids), "doc_id").select("lang", "text")
-    counts = count(sample, order).where((F.col("n") > 1) | (F.col("gram") < (4 << 32)))
-    return model_of(counts.toPandas(), order)
+    return model_of(count(sample, order).toPandas(), order)  # as many strings as the sample has bytes, at most order + 1 times
 
 
 def identify(docs: DataFrame, model: dict | None, keep: list[str]) -> DataFrame:
     """The kept columns with lang_pred, lang_score and code_bits (of the whole text in the best language)."""
     shape = docs.select(*keep).schema.add("lang_pred", "string").add("lang_score", "double").add("code_bits", "double")
     held = docs.sparkSession.sparkContext.broadcast(model)
+    small_batches(docs)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coder = Coder(held.value) if held.value else None
