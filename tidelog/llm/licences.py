@@ -6,7 +6,7 @@ names a family); it is a bag of word 1- to 3-grams; multinomial logistic
 regression over sparse explicit n-grams names its licence family, ``unknown`` for
 licence talk of no known family, or none.  The model is fitted on the template
 notices below, each in variants (words dropped, others put round it), on generic
-licence talk and on distinct paragraphs of a bounded sample of distinct texts
+licence talk, on ordinary sentences with words of notices and on distinct paragraphs of a bounded sample of distinct texts
 (``BACKGROUND_DOCS`` in order of a hash of the text) that match no notice, as the
 class of no licence; a
 temperature fitted on variants kept out of training calibrates the
@@ -20,7 +20,9 @@ whatever the corpus; a paragraph without any is passed over, which is exact.  Ev
 narrow stage.
 
 Edge cases: null and empty texts have no paragraphs; repeated paragraphs count
-each; rows that repeat are scanned each.
+each; rows that repeat are scanned each; an empty table gives an empty result, and a
+corpus without texts no background; very long texts are scanned whole; extra columns
+are not read.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small_batches, table
 
 # Notices by which works name their licence and the licences' own headers and grants, by SPDX family.
 TEMPLATES = {
@@ -56,14 +58,45 @@ TEMPLATES = {
     "Unlicense": ["This is free and unencumbered software released into the public domain.", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.", "SPDX-License-Identifier: Unlicense"],
     "Zlib": ["This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:", "Released under the zlib License.", "SPDX-License-Identifier: Zlib"],
 }
+# The licences' titles, by family.
+TITLES = {
+    "AGPL-3.0": "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",
+    "Apache-2.0": "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/",
+    "BSD-2-Clause": "BSD 2-Clause License",
+    "BSD-3-Clause": "BSD 3-Clause License",
+    "CC-BY-4.0": "Creative Commons Attribution 4.0 International Public License",
+    "CC-BY-NC-4.0": "Creative Commons Attribution-NonCommercial 4.0 International Public License",
+    "CC-BY-SA-4.0": "Creative Commons Attribution-ShareAlike 4.0 International Public License",
+    "CC0-1.0": "CC0 1.0 Universal",
+    "EPL-2.0": "Eclipse Public License - v 2.0",
+    "GPL-2.0": "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
+    "GPL-3.0": "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "ISC": "ISC License",
+    "LGPL-2.1": "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999",
+    "LGPL-3.0": "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "MIT": "MIT License",
+    "MPL-2.0": "Mozilla Public License Version 2.0",
+    "Unlicense": "This is the Unlicense",
+    "Zlib": "zlib License",
+}
+# Ordinary sentences with words of notices.
+ORDINARY = [
+    "The driving license office is closed on Monday.", "A fishing license costs 20 dollars a year.", "He lost his license after the third accident.", "She is a licensed therapist in the state of Maine.",
+    "The bar was sold with its liquor license.", "The film was released to the public in June.", "The general released a statement on public works.", "Entry is free of charge for any person under twelve.",
+    "The redistribution of land was the aim of the reform.", "Permission to enter the building was granted on the following conditions.", "The software is sold with a warranty of two years.", "The team may use any source of water without restriction.",
+    "The foundation published its report in both forms.", "Everyone is free to use the sports ground for any purpose.", "The commons voted on the attribution of the work.", "Copies of the notice were distributed without charge.",
+    "The author has waived the fee for this work.", "The plumber is licensed and insured.", "The library is free for any later visitor.", "The contract was modified and published under the old terms.",
+]
 # Licence talk of no family.
-GENERIC = ["All rights reserved. Use is subject to license terms.", "Licensed under a proprietary license.", "This work is licensed under the terms in the file LICENSE.", "Released under a custom license, see below.", "The license of this work is not known.", "A license is required to use this work.", "Published under the house license, version 7.", "Distributed under the Foo License."]
+GENERIC = ["All rights reserved. Use is subject to license terms.", "Licensed under a proprietary license.", "This work is licensed under the terms in the file LICENSE.", "Released under a custom license, see below.", "The license of this work is not known.", "A license is required to use this work.", "Published under the house license, version 7.", "Distributed under the Foo License.", "Published under the Bar license.", "Available under the terms of the Baz Public License.", "This software is made available under the license of its authors."]
 
 UNKNOWN, NONE = "unknown", "none"
 BACKGROUND_DOCS = 300
 BACKGROUND_PARAGRAPHS = 3000
 VARIANTS = 30
 SURE, ALIKE = 0.5, 0.6
+#: Families that a word which tells them apart may be in.
+FEW_FAMILIES = 5
 #: Lines that a wrapped notice may have.
 WRAPPED = 40
 #: Words that only licence talk has.
@@ -87,10 +120,11 @@ def paragraphs(text: str) -> Iterator[tuple[int, int, str]]:
         at += len(line) + 1
 
 
-def variants(words: list[str], filler: list[str], rng: np.random.Generator, n: int = VARIANTS) -> Iterator[list[str]]:
+def variants(words: list[str], filler: list[str], rng: np.random.Generator, n: int = VARIANTS, decisive: frozenset[str] = frozenset()) -> Iterator[list[str]]:
+    """words, then n times words with some left out, but for decisive ones, and others put round them."""
     yield words
     for _ in range(n):
-        kept = [w for w in words if rng.random() > 0.1] or words
+        kept = [w for w in words if rng.random() > 0.1 or w in decisive] or words
         around = [str(w) for w in rng.choice(filler, int(rng.integers(0, 9)))] if filler else []
         at = int(rng.integers(0, len(around) + 1))
         yield [*around[:at], *kept, *around[at:]]
@@ -100,7 +134,8 @@ class LicenceModel:
     def __init__(self, background: list[str]):
         rng = np.random.default_rng(3)
         lines = [TOKEN.findall(p.lower()) for t in background for _, _, p in paragraphs(t)]
-        notices = [(f, TOKEN.findall(t.lower())) for f, ts in TEMPLATES.items() for t in ts] + [(UNKNOWN, TOKEN.findall(t.lower())) for t in GENERIC]
+        every = {f: [*ts, TITLES[f]] for f, ts in TEMPLATES.items()}
+        notices = [(f, TOKEN.findall(t.lower())) for f, ts in every.items() for t in ts] + [(UNKNOWN, TOKEN.findall(t.lower())) for t in GENERIC]
         self.informative = frozenset(w for _, x in notices for w in x if len(w) > 1 and w not in STOP)
         # the background names no licence itself
         known = [g for _, x in notices if (g := grams(x, self.informative))]
@@ -108,15 +143,25 @@ class LicenceModel:
         lines = [list(x) for x in dict.fromkeys(map(tuple, lines)) if TALK.isdisjoint(x) and not self.notice(x, known, runs)][:BACKGROUND_PARAGRAPHS]
         filler = list(dict.fromkeys(w for x in lines for w in x))[:500]
         self.names = [*TEMPLATES, UNKNOWN, NONE]
-        self.templates = {f: [grams(TOKEN.findall(t.lower()), self.informative) for t in ts] for f, ts in TEMPLATES.items()}
-        self.texts = {f: [f" {' '.join(TOKEN.findall(t.lower()))} " for t in ts] for f, ts in TEMPLATES.items()}
+        self.templates = {f: [grams(TOKEN.findall(t.lower()), self.informative) for t in ts] for f, ts in every.items()}
+        self.texts = {f: [f" {' '.join(TOKEN.findall(t.lower()))} " for t in ts] for f, ts in every.items()}
         self.runs = frozenset(g for ts in self.templates.values() for t in ts for g in t if " " in g)
+        # what tells families apart: numbers, and words of a few families only
+        of: dict[str, set[str]] = {}
+        for family, x in notices:
+            for w in x:
+                of.setdefault(w, set()).add(family)
+        self.decisive = frozenset(w for w, fs in of.items() if w.isdigit() or len(fs) <= FEW_FAMILIES)
         # words round a notice must not make it another
         train, held = [], []
         for family, words in notices:
-            for i, v in enumerate(variants(words, filler, rng)):
+            for i, v in enumerate(variants(words, filler, rng, VARIANTS, self.decisive)):
                 (held if i % 5 == 4 else train).append((self.names.index(family), grams(v, self.informative)))
         train += [(len(self.names) - 1, grams(x, self.informative)) for x in lines]
+        # nor is ordinary talk with such words
+        for t in ORDINARY:
+            for i, v in enumerate(variants(TOKEN.findall(t.lower()), filler, rng, 5)):
+                (held if i % 5 == 4 else train).append((len(self.names) - 1, grams(v, self.informative)))
         # single words of notices in ordinary text are no licence
         train += [(len(self.names) - 1, {str(w)}) for w in sorted(self.informative - {"license", "licensed"}) if w.isalpha()]
         self.at = {g: i for i, g in enumerate(sorted({g for _, s in train for g in s}))}
@@ -162,7 +207,8 @@ class LicenceModel:
         alike = max((len(t & own) / len(t) for t in self.templates[name] if t), default=0.0)
         if p[best] >= SURE and alike >= ALIKE:
             return name, float(p[best]), alike
-        return UNKNOWN, float(p[-2]), alike
+        # no template confirms a family: licence talk of another, where it is that
+        return None if TALK.isdisjoint(words) else (UNKNOWN, float(1 - p[-1]), alike)
 
     def scan(self, text: str | None) -> Iterator[tuple[int, int, str, float, float]]:
         run: list[tuple[int, int, list[str]]] = []
@@ -220,6 +266,7 @@ def train(docs: DataFrame, background_docs: int = BACKGROUND_DOCS) -> LicenceMod
 def scan(docs: DataFrame, model: LicenceModel) -> DataFrame:
     """(doc_id, text) to doc_id and found: the paragraphs with a licence (start, end in characters, family, probability, alike)."""
     held = docs.sparkSession.sparkContext.broadcast(model)
+    small_batches(docs)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
