@@ -1,5 +1,7 @@
 """Codecs, logs, quantizer, filter, names, recall."""
 
+import zlib
+
 import numpy as np
 import pytest
 from hypothesis import given
@@ -7,12 +9,12 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidelog.functions import codec
-from tidelog.operators import bloom, ivf, knn
+from tidelog.operators import bloom, ivf, knn, quantize
 from tidelog.operators.quantize import ScalarQuantizer
 from tidelog.schema import Corruption, InvalidArgument
 from tidelog.sources import runs, wal
 
-record = st.tuples(st.sampled_from([1, 2, 3]), st.binary(min_size=1, max_size=255), st.binary(max_size=4095))
+record = st.tuples(st.sampled_from([1, 2, 3]), st.binary(min_size=1, max_size=255), st.binary(max_size=4095)).map(lambda r: (r[0], r[1], b"" if r[0] == 2 else r[2]))
 
 
 @given(st.lists(record, max_size=5))
@@ -80,17 +82,33 @@ def test_names(spark):
 
 
 @pytest.mark.parametrize("n, dim, bound", [(1000, 16, 0.90), (3000, 32, 0.85)])
-def test_recall(spark, n, dim, bound):
+def test_recall(spark, tmp_path, n, dim, bound):
     x = np.random.default_rng(3).uniform(-1, 1, (n, dim)).astype("f4")
     rows = spark.createDataFrame([(f"v{i}", i, v.tolist()) for i, v in enumerate(x)], "key string, seq long, embedding array<float>").cache()
     asked = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(np.random.default_rng(4).uniform(-1, 1, (50, dim)))], "qid int, query array<float>")
-    c = ivf.train_centroids(rows, 32)
     for deleted in (0, n * 3 // 10):
         left = rows.where(F.col("seq") >= deleted)
-        found = knn.recall(ivf.ivf_join(left, asked, c, 10, 16), knn.knn_join(left, asked, 10), 10).first().recall
+        index = ivf.IvfIndex.build(left, str(tmp_path / f"index{deleted}"), n, cells=32)
+        found = knn.recall(ivf.ivf_join(index, asked, 10, 16, left), knn.knn_join(left, asked, 10), 10).first().recall
         assert found > bound
 
 
+def test_recall_on_clusters_at_an_eighth_of_the_cells(spark, tmp_path):
+    """The default index: about the square root of the count in cells, an eighth of them read."""
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(50, 128))
+    x = (centres[rng.integers(0, 50, 5000)] + rng.normal(size=(5000, 128)) * 0.3).astype("f4")
+    rows = spark.createDataFrame([(f"v{i}", i, v.tolist()) for i, v in enumerate(x)], "key string, seq long, embedding array<float>").cache()
+    asked = spark.createDataFrame([(int(i), x[i].tolist()) for i in range(0, 5000, 50)], "qid int, query array<float>")
+    index = ivf.IvfIndex.build(rows, str(tmp_path / "index"), 5000)
+    cells = len(index.centroids)
+    assert 60 <= cells <= 80 and ivf.default_probes(cells) <= cells / 7
+    exact = knn.knn_join(rows, asked, 10)
+    assert knn.recall(ivf.ivf_join(index, asked, 10, ivf.default_probes(cells), rows), exact, 10).first().recall >= 0.9
+    coded = rows.withColumn("embedding", quantize.ScalarQuantizer.train(rows).round_trip(F.col("embedding")))
+    assert knn.recall(knn.knn_join(coded, asked, 10), exact, 10).first().recall >= 0.9
+
+
 @pytest.mark.parametrize("metric", ["cosine", "euclidean_squared", "inner_product"])
 def test_batch_equals_single(spark, metric):
     x = np.random.default_rng(5).normal(size=(60, 8)).astype("f4")
@@ -100,5 +118,50 @@ def test_batch_equals_single(spark, metric):
     same = knn.knn_join_columns(rows, asked, 5, metric).orderBy("qid", "rank").collect()
     assert [r.key for r in got] == [r.key for r in same]
     for q in range(3):
-        one = knn.nearest(rows, knn.vector_literal(x[q]), 5, metric, kind="double").collect()
+        one = knn.nearest(rows, x[q], 5, metric, kind="double").collect()
         assert [r.key for r in one] == [r.key for r in got if r.qid == q]
+
+
+@pytest.mark.parametrize("metric", ["cosine", "euclidean_squared"])
+def test_more_queries_than_a_block(spark, monkeypatch, metric):
+    x = np.random.default_rng(8).normal(size=(300, 8)).astype("f4")
+    rows = spark.createDataFrame([(f"v{i}", v.tolist()) for i, v in enumerate([*x, *x[:20]])], "key string, embedding array<float>")
+    asked = spark.createDataFrame([(i, x[i].tolist()) for i in range(100)], "qid int, query array<float>")
+    want = knn.knn_join(rows, asked, 5, metric).orderBy("qid", "rank").select("qid", "key", "rank").collect()
+    monkeypatch.setattr(knn, "QUERY_BYTES", 2000)
+    joined = knn.knn_join(rows, asked, 5, metric)
+    assert "FlatMapCoGroupsInPandas" in joined._jdf.queryExecution().toString()
+    assert joined.orderBy("qid", "rank").select("qid", "key", "rank").collect() == want
+    assert knn.knn_join(rows, asked.where("qid < 0"), 5, metric).count() == 0
+    with pytest.raises(InvalidArgument):
+        knn.knn_join_columns(rows, rows.selectExpr("key as qid", "embedding as query"), 5, metric)
+
+
+def test_records_of_deletes_have_no_value():
+    with pytest.raises(InvalidArgument):
+        codec.encode(2, b"k", b"v")
+    rest = codec.HEAD.pack(0, 2, 1, 1)[4:] + b"kv"
+    with pytest.raises(Corruption):
+        list(codec.decode_all(zlib.crc32(rest).to_bytes(4, "little") + rest))
+
+
+def test_quantizer_refuses_other_dimensions(spark):
+    q = quantize.ScalarQuantizer([0.0, 0.0], [1.0, 1.0])
+    rows = lambda *v: spark.createDataFrame([(list(x) if x is not None else None,) for x in v], "v array<float>")
+    assert [r[0] for r in rows((0.0, 1.0), None).select(q.quantize(F.col("v"))).collect()] == [[0, 255], None]
+    for bad in ((0.5,), (0.5, 0.5, 0.5)):
+        with pytest.raises(Exception, match="dimensions"):
+            rows(bad).select(q.quantize(F.col("v"))).collect()
+        with pytest.raises(Exception, match="dimensions"):
+            rows(bad).select(q.dequantize(F.col("v").cast("array<smallint>"))).collect()
+
+
+def test_large_filters_are_joined(spark, monkeypatch):
+    keys = spark.range(500).selectExpr("concat('k', id) as key")
+    f = bloom.Bloom.build(keys, 500)
+    asked = keys.union(spark.range(500).selectExpr("concat('absent', id) as key"))
+    want = sorted(map(tuple, f.probe(asked).collect()))
+    monkeypatch.setattr(bloom, "HELD_BYTES", 1)
+    assert sorted(map(tuple, f.probe(asked).collect())) == want and sum(m for _, m in want) < 530
+    with pytest.raises(InvalidArgument):
+        f.encode()

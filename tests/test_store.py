@@ -134,6 +134,69 @@ def test_approximate_index(spark, path):
     assert s.nearest(x[5], 300, approximate=True) == s.nearest(x[5], 300)
     s.files.remove(f"{s.files.root}/index")
     assert s.nearest(x[5], 10, approximate=True) == s.nearest(x[5], 10)
+    s.build_index()
+    assert s._index() is not None
+    part = next(n for n in s.files.sizes(f"{s.files.root}/index") if n.endswith(".parquet"))
+    s.files.write(f"{s.files.root}/index/{part}", b"cut short")  # damage: the log is searched instead
+    assert s._index() is None and s.nearest(x[5], 10, approximate=True) == s.nearest(x[5], 10)
+
+
+def test_index_counters(spark, path):
+    s = Store.open(spark, path)
+    assert (s.dim, s.metric, s.vector_count_with_deleted()) == (0, "cosine", 0)
+    for k in (b"a", b"b", b"c"):
+        s.put_indexed(k, [1.0, 2.0, 3.0])
+    s.flush()
+    s.put(b"d", b"plain")
+    s.delete(b"a")
+    s.put(b"b", b"plain")
+    assert (s.dim, s.vector_count(), s.vector_count_with_deleted()) == (3, 1, 3)
+    assert [s.is_deleted(k) for k in (b"a", b"b", b"c", b"d", b"none")] == [True, True, False, False, False]
+
+
+def test_reads_leave_out_runs_by_key_bounds(spark, path):
+    s = Store.open(spark, path)
+    for low, high in ((b"a", b"c"), (b"m", b"p")):
+        s.put(low, b"1")
+        s.put(high, b"2")
+        s.flush()
+    s = Store.open(spark, path)
+    first = next(r for r in s.manifest.runs if r.low == b"a".hex())
+    s.files.remove(s.runs.path(first))
+    assert s.get(b"p") == b"2" and s.get(b"z") is None and s.scan(b"d", b"n").count() == 1
+    with pytest.raises(Corruption):
+        s.get(b"b")
+
+
+def test_a_batch_is_one_commit(spark, path):
+    """The number of a stream's batch and the vectors' dimensions are in the manifest that lists the batch's run."""
+    s = Store.open(spark, path)
+    rows = spark.createDataFrame([(b"k", [1.0, 2.0])], "key binary, embedding array<float>")
+    seen = []
+    write = s.files.write
+    s.files.write = lambda at, data: (seen.append(data) if at.endswith("MANIFEST.json") else None, write(at, data))
+    s.put_many(rows, "stream", 4)
+    assert len(seen) == 1
+    s = Store.open(spark, path)
+    assert (s.manifest.streams, s.dim, s.run_count()) == ({"stream": 4}, 2, 1)
+    s.put_many(rows, "stream", 4)
+    assert s.run_count() == 1
+    s.put_many(rows, "other", 0)
+    assert s.run_count() == 2
+
+
+def test_a_batch_is_read_once(spark, path):
+    s = Store.open(spark, path)
+    rows = spark.range(50).select(F.concat(F.lit("k"), F.col("id")).cast("binary").alias("key"), F.expr("cast(uuid() as binary)").alias("value"))
+    reads = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            reads.add(b.num_rows)
+            yield b
+
+    s.put_many(rows.mapInArrow(count, rows.schema))
+    assert reads.value == 50 and s.live().count() == 50
 
 
 def test_damage(spark, path):

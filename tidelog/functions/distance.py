@@ -6,6 +6,9 @@ each step; in double precision they are for comparison with other engines.
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,6 +40,26 @@ def prepare(v: Column, metric: str, kind: str = "float") -> Column:
     return normalize(v, kind) if metric == COSINE else v.cast(f"array<{kind}>")
 
 
+def vector_literal(v, kind: str = "float") -> Column:
+    return F.array(*[F.lit(float(x)).cast(kind) for x in v])
+
+
+def prepared_literal(v, metric: str, kind: str = "float") -> Column:
+    """prepare() of one query vector, done once and with the same roundings instead of beside every stored vector."""
+    number = np.float32 if kind == "float" else np.float64
+    x = [number(a) for a in v]
+    if metric == COSINE:
+        total = number(0)
+        with np.errstate(over="ignore"):
+            for a in x:
+                total = number(total + number(a * a))
+        n = number(math.sqrt(float(total)))
+        if not 0 < n < math.inf:
+            return F.lit(None).cast(f"array<{kind}>")
+        x = [number(a / n) for a in x]
+    return vector_literal(x, kind)
+
+
 def prepared_distance(a: Column, b: Column, metric: str, kind: str = "float") -> Column:
     """Distance of prepared vectors; smaller is closer."""
     if metric == COSINE:

@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import Corruption, InvalidArgument
 
+#: Bytes of a filter that is sent to tasks or encoded.
+HELD_BYTES = 64_000_000
+
 
 def shape(expected_keys: int, bits_per_key: int = 10) -> tuple[int, int]:
     """Bits and hashes for so many keys."""
@@ -40,16 +45,39 @@ class Bloom:
         return cls(words, m, k)
 
     def probe(self, keys: DataFrame) -> DataFrame:
-        """keys with maybe: false where the key was never inserted for certain."""
+        """keys with maybe: false where the key was never inserted for certain.
+
+        A filter of at most HELD_BYTES goes to every task, which looks bits up; a
+        larger one is joined by word.
+        """
         if self.hash_count < 1:
             raise InvalidArgument("a filter has at least one hash")
+        if self.bit_count // 8 > HELD_BYTES:
+            return self._joined(keys)
+        words = np.zeros(-(-self.bit_count // 64), np.int64)
+        got = self.words.toPandas()  # as many rows as the filter has words, at most
+        words[got["word"].to_numpy()] = got["bits"].to_numpy()
+        held = keys.sparkSession.sparkContext.broadcast(words.view(np.uint64))
+
+        @F.pandas_udf("boolean")
+        def look_up(at: pd.Series) -> pd.Series:
+            if not len(at):
+                return pd.Series([], dtype=bool)
+            p = np.stack(at.to_numpy())
+            return pd.Series(((held.value[p >> 6] >> (p & 63).astype(np.uint64)) & np.uint64(1)).all(1).astype(bool))
+
+        return keys.withColumn("maybe", look_up(positions(F.col("key"), self.bit_count, self.hash_count)))
+
+    def _joined(self, keys: DataFrame) -> DataFrame:
         asked = keys.select("key").distinct().select("key", F.explode(positions(F.col("key"), self.bit_count, self.hash_count)).alias("p"))
         asked = asked.select("key", F.floor(F.col("p") / 64).cast("long").alias("word"), F.expr("shiftleft(1L, cast(p % 64 as int))").alias("bit"))
         seen = asked.join(self.words, "word", "left").groupBy("key").agg(F.min(F.coalesce(F.col("bits").bitwiseAND(F.col("bit")) != 0, F.lit(False))).alias("maybe"))
         return keys.join(seen, "key")
 
     def encode(self) -> tuple[bytes, int, int]:
-        """The filter as bytes with a checksum; for filters that fit the driver."""
+        """The filter as bytes with a checksum, where it has at most HELD_BYTES; a larger one is kept as its table of words."""
+        if self.bit_count // 8 > HELD_BYTES:
+            raise InvalidArgument(f"a filter of {self.bit_count // 8} bytes; write its words as a table")
         import struct
         import zlib
 

@@ -43,6 +43,16 @@ def train_centroids(vectors: DataFrame, cells: int, metric: str = COSINE, seed:
     return c
 
 
+def default_cells(vectors: int) -> int:
+    """About the square root of the count of vectors: a probe then reads as many rows as there are centroids."""
+    return max(1, min(4096, round(vectors**0.5)))
+
+
+def default_probes(cells: int) -> int:
+    """An eighth of the cells; data without clusters needs more for the same recall, which the caller can ask for."""
+    return max(1, -(-cells // 8))
+
+
 def ranked(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     """Cells from nearest to farthest for each row."""
     d = (centroids * centroids).sum(1)[None, :] - 2 * x @ centroids.T
@@ -74,7 +84,8 @@ class IvfIndex:
     indexed_seq: int
 
     @classmethod
-    def build(cls, vectors: DataFrame, path: str, indexed_seq: int, metric: str = COSINE, cells: int = 64, seed: int = 42, train_rows: int = 100_000) -> IvfIndex:
+    def build(cls, vectors: DataFrame, path: str, indexed_seq: int, metric: str = COSINE, cells: int = 0, seed: int = 42, train_rows: int = 100_000) -> IvfIndex:
+        cells = cells or default_cells(vectors.count())
         centroids = train_centroids(vectors, cells, metric, seed, train_rows)
         if not len(centroids):
             assigned = vectors.select("key", "seq", "embedding", F.lit(0).alias("cell"))
@@ -102,18 +113,17 @@ class IvfIndex:
         newer = latest(log.where(F.col("seq") > self.indexed_seq))
         delta = newer.where(F.col("kind") == VECTOR).select("key", "embedding")
         cells = self.order(query)
-        probes = min(len(cells), probes or max(1, len(cells) // 2))
+        probes = min(len(cells), probes or default_probes(len(cells)))
         while True:
             base = self.rows(spark, log).where(F.col("cell").isin(cells[:probes])).join(newer.select("key"), "key", "left_anti").select("key", "embedding")
-            found = knn.nearest(base.unionByName(delta), knn.vector_literal(query), k, self.metric, predicate)
+            found = knn.nearest(base.unionByName(delta), query, k, self.metric, predicate)
             if probes >= len(cells) or len(found.collect()) >= k:  # k rows at most
                 return found
             probes = min(len(cells), probes * 2)
 
 
-def ivf_join(vectors: DataFrame, queries: DataFrame, centroids: np.ndarray, k: int, probes: int, metric: str = COSINE) -> DataFrame:
-    """(qid, key, distance, rank) over the probed cells of many queries: an equi-join on cell."""
-    asked = queries.select("qid", "query")
+def probed(queries: DataFrame, centroids: np.ndarray, probes: int, metric: str) -> DataFrame:
+    """(qid, query, cell): each query with the cells that it reads."""
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -121,11 +131,17 @@ def ivf_join(vectors: DataFrame, queries: DataFrame, centroids: np.ndarray, k: i
                 x = np.stack([np.asarray(v, np.float64) for v in pdf["query"]])
                 if metric == COSINE:
                     x /= np.linalg.norm(x, axis=1, keepdims=True)
-                near = ranked(x, centroids)[:, :probes]
+                near = (np.argsort(-(x @ centroids.T), axis=1, kind="stable") if metric == INNER_PRODUCT else ranked(x, centroids))[:, :probes]
                 yield pdf.iloc[np.repeat(np.arange(len(pdf)), near.shape[1])].assign(cell=near.ravel().astype(np.int32))
 
     qid_type = queries.schema["qid"].dataType.simpleString()
-    cells = asked.mapInPandas(probe, f"qid {qid_type}, query array<float>, cell int")
-    pairs = assign(vectors, centroids, metric).join(cells, "cell").select("qid", "key", distance(F.col("embedding"), F.col("query"), metric, "double").alias("distance"))
+    return queries.select("qid", "query").mapInPandas(probe, f"qid {qid_type}, query array<float>, cell int")
+
+
+def ivf_join(index: IvfIndex, queries: DataFrame, k: int, probes: int, like: DataFrame) -> DataFrame:
+    """(qid, key, distance, rank) of many queries over a built index: an equi-join on cell with its table, which only the cells asked for are read of."""
+    spark = queries.sparkSession
+    pairs = index.rows(spark, like).join(probed(queries, index.centroids, probes, index.metric), "cell")
+    pairs = pairs.select("qid", "key", distance(F.col("embedding"), F.col("query"), index.metric, "double").alias("distance"))
     rank = F.row_number().over(Window.partitionBy("qid").orderBy("distance", "key"))
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k)

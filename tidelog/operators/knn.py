@@ -9,21 +9,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.distance import distance
+from ..functions.distance import distance, prepare, prepared_distance, prepared_literal, vector_literal
 from ..schema import COSINE, EUCLIDEAN_SQUARED, InvalidArgument
 
-#: Bytes of query vectors that are sent to every task at once; more are taken in blocks.
-QUERY_BYTES = 32_000_000
+#: Bytes of query vectors that are sent to every task at once, and of a block of more; queries that are expressions.
+QUERY_BYTES, FEW = 32_000_000, 100
 
 
-def vector_literal(v) -> Column:
-    return F.array(*[F.lit(float(x)).cast("float") for x in v])
-
-
-def nearest(vectors: DataFrame, query: Column, k: int, metric: str = COSINE, predicate: Column | None = None, kind: str = "float") -> DataFrame:
-    """(key, distance) of the k nearest of the vectors that pass the predicate, ties by key; all of them where fewer pass."""
+def nearest(vectors: DataFrame, query, k: int, metric: str = COSINE, predicate: Column | None = None, kind: str = "float") -> DataFrame:
+    """(key, distance) of the k nearest to the query, a sequence of numbers, of the vectors that pass the predicate, ties by key; all of them where fewer pass."""
     rows = vectors if predicate is None else vectors.where(predicate)
-    return rows.select("key", distance(F.col("embedding"), query, metric, kind).alias("distance")).orderBy("distance", "key").limit(k)
+    away = prepared_distance(prepare(F.col("embedding"), metric, kind), prepared_literal(query, metric, kind), metric, kind)
+    return rows.select("key", away.alias("distance")).orderBy("distance", "key").limit(k)
 
 
 def predicate_of(fn: Callable[[bytes], bool]) -> Column:
@@ -41,58 +38,89 @@ def _matrix(rows, metric: str) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True) if metric == COSINE else x
 
 
+def _distances(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
+    product = q @ x.T
+    if metric == EUCLIDEAN_SQUARED:
+        return (q * q).sum(1)[:, None] - 2 * product + (x * x).sum(1)[None, :]
+    return 1 - product if metric == COSINE else -product
+
+
+def _best(ids, q: np.ndarray, batches: Iterator[tuple], k: int, metric: str) -> pd.DataFrame:
+    """The k best of all batches (keys, vectors) for each query, and what ties with the last."""
+    top: pd.DataFrame | None = None
+    for keys, vectors in batches:
+        if not len(keys):
+            continue
+        d = _distances(q, _matrix(vectors, metric), metric)
+        m = min(k, len(keys))
+        bound = np.partition(d, m - 1, axis=1)[:, m - 1]
+        i, j = np.nonzero(d <= bound[:, None])
+        some = pd.DataFrame({"q": i, "key": pd.Series(np.asarray(keys, dtype=object)[j], dtype=object), "distance": d[i, j]})
+        top = some if top is None else pd.concat([top, some])
+        if len(top) > 2 * k * len(q):
+            top = top.sort_values(["q", "distance", "key"]).groupby("q").head(k)
+    if top is None:
+        return pd.DataFrame()
+    top = top.sort_values(["q", "distance", "key"]).groupby("q").head(k)
+    whole = lambda values: pd.Series(values, dtype=object)
+    return pd.DataFrame({"qid": whole(np.asarray(ids, dtype=object)[top.q.to_numpy()]), "key": whole(top.key.to_numpy(object)), "distance": top.distance.to_numpy()})
+
+
 def knn_join(vectors: DataFrame, queries: DataFrame, k: int, metric: str = COSINE) -> DataFrame:
     """(qid, key, distance, rank): the k nearest of every query, ties by key.
 
     Each task keeps the k best of its own rows for each query of a block, by
-    matrix products; a window over those few merges the tasks.  The queries'
-    number is counted first: a block of them goes to each task, and there are as
-    many blocks as QUERY_BYTES asks for.
+    matrix products; a window over those few merges the tasks.  Queries of
+    QUERY_BYTES in all, counted first, go to every task.  More are dealt into
+    blocks by a hash, and so are the vectors; each pair of blocks is a task.
     """
     if k <= 0:
         raise InvalidArgument("k must be positive")
     key_type = vectors.schema["key"].dataType.simpleString()
     qid_type = queries.schema["qid"].dataType.simpleString()
+    out = f"qid {qid_type}, key {key_type}, distance double"
     size = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("query")).alias("d")).first()
-    blocks = max(1, -(-(size.n * (size.d or 1) * 8) // QUERY_BYTES))
-    out = None
-    for b in range(blocks):
-        own = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b)
-        rows = own.select("qid", "query").collect()
-        if not rows:
-            continue
-        ids, q = [r.qid for r in rows], _matrix([r.query for r in rows], metric)
-
-        def best(batches: Iterator[pd.DataFrame], ids=ids, q=q) -> Iterator[pd.DataFrame]:
-            top: pd.DataFrame | None = None
-            for pdf in batches:
-                if not len(pdf):
-                    continue
-                x = _matrix(pdf.embedding, metric)
-                product = q @ x.T
-                d = 1 - product if metric == COSINE else -product
-                if metric == EUCLIDEAN_SQUARED:
-                    d = (q * q).sum(1)[:, None] - 2 * product + (x * x).sum(1)[None, :]
-                m = min(k, len(pdf))
-                bound = np.partition(d, m - 1, axis=1)[:, m - 1]
-                i, j = np.nonzero(d <= bound[:, None])  # ties at the bound stay for the merge
-                some = pd.DataFrame({"q": i, "key": pdf.key.to_numpy()[j], "distance": d[i, j]})
-                top = some if top is None else pd.concat([top, some])
-                top = top.sort_values(["q", "distance", "key"]).groupby("q").head(k)
-            if top is not None:
-                yield pd.DataFrame({"qid": [ids[i] for i in top.q], "key": top.key, "distance": top.distance})
-
-        got = vectors.select("key", "embedding").mapInPandas(best, f"qid {qid_type}, key {key_type}, distance double")
-        out = got if out is None else out.union(got)
-    if out is None:
-        return vectors.sparkSession.createDataFrame([], f"qid {qid_type}, key {key_type}, distance double, rank int")
+    if size.n * (size.d or 1) * 8 <= QUERY_BYTES:
+        rows = queries.select("qid", "query").collect()
+        ids, q = [r.qid for r in rows], _matrix([r.query for r in rows], metric) if rows else None
+
+        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            found = _best(ids, q, ((pdf.key, pdf.embedding) for pdf in batches), k, metric)
+            if len(found):
+                yield found
+
+        found = vectors.select("key", "embedding").where(F.lit(bool(rows))).mapInPandas(scan, out)
+    else:
+        found = _blocked(vectors, queries, k, metric, size, out)
     rank = F.row_number().over(Window.partitionBy("qid").orderBy("distance", "key"))
-    return out.withColumn("rank", rank).where(F.col("rank") <= k)
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def _blocked(vectors: DataFrame, queries: DataFrame, k: int, metric: str, size, out: str) -> DataFrame:
+    """The k best of each block of vectors for each query, by pairs of blocks."""
+    n = vectors.count()
+    a = -(-(size.n * size.d * 8) // QUERY_BYTES)
+    b = max(1, -(-(n * size.d * 8) // QUERY_BYTES))
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    own = lambda c, m: F.pmod(F.xxhash64(c), F.lit(m)).cast("int")
+    left = queries.select("qid", "query", own("qid", a).alias("a"), every(b).alias("b"))
+    right = vectors.select("key", "embedding", every(a).alias("a"), own("key", b).alias("b"))
+
+    def join(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(v):
+            return pd.DataFrame()
+        parts = ((v.key.iloc[i : i + 4096], v.embedding.iloc[i : i + 4096]) for i in range(0, len(v), 4096))
+        return _best(q.qid, _matrix(q["query"], metric), parts, k, metric)
+
+    return left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(join, out)
 
 
 def knn_join_columns(vectors: DataFrame, queries: DataFrame, k: int, metric: str = COSINE, kind: str = "double") -> DataFrame:
-    """The same for a handful of queries, as expressions alone: queries are exploded beside each vector in the scan."""
-    asked = F.array(*[F.struct(F.lit(r.qid).alias("qid"), vector_literal(r.query).alias("query")) for r in queries.select("qid", "query").collect()])
+    """The same for a handful of queries (FEW at most), as expressions alone: queries are exploded beside each vector in the scan."""
+    rows = queries.select("qid", "query").limit(FEW + 1).collect()
+    if len(rows) > FEW:
+        raise InvalidArgument(f"more than {FEW} queries; use knn_join")
+    asked = F.array(*[F.struct(F.lit(r.qid).alias("qid"), vector_literal(r.query).alias("query")) for r in rows])
     rows = vectors.select("key", "embedding", F.explode(asked).alias("q")).select("key", "q.qid", distance(F.col("embedding"), F.col("q.query"), metric, kind).alias("distance"))
     rank = F.row_number().over(Window.partitionBy("qid").orderBy("distance", "key"))
     return rows.withColumn("rank", rank).where(F.col("rank") <= k)

@@ -47,10 +47,15 @@ class ScalarQuantizer:
         return array(self.low), array(self.high)
 
     def quantize(self, v: Column, kind: str = "float") -> Column:
-        return quantize(v, *self._bounds(kind), kind)
+        return quantize(self._checked(v), *self._bounds(kind), kind)
 
     def dequantize(self, q: Column, kind: str = "float") -> Column:
-        return dequantize(q, *self._bounds(kind), kind)
+        return dequantize(self._checked(q), *self._bounds(kind), kind)
+
+    def _checked(self, v: Column) -> Column:
+        """v, which fails the query where it has not the model's dimensions; null stays null."""
+        text = F.concat(F.lit("a vector has "), F.size(v).cast("string"), F.lit(f" dimensions, the quantizer {self.dim}"))
+        return F.when(v.isNull() | (F.size(v) == self.dim), v).otherwise(F.raise_error(text).cast("array<float>"))
 
     def round_trip(self, v: Column, kind: str = "float") -> Column:
         return self.dequantize(self.quantize(v, kind), kind)

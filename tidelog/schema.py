@@ -52,8 +52,8 @@ class VectorOptions:
     metric: str = COSINE
     dim: int = 0
     seed: int = 42
-    cells: int = 64
-    probes: int = 0  # 0: half of the cells
+    cells: int = 0  # 0: about the square root of the count of vectors
+    probes: int = 0  # 0: an eighth of the cells
     train_rows: int = 100_000
 
     def __post_init__(self) -> None:

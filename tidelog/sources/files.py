@@ -2,9 +2,29 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
-from ..schema import StoreIOError
+from ..schema import InvalidArgument, StoreIOError
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder, gone when the application ends, in the one that the cluster shares (spark.checkpoint.dir); a local master needs none set."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise InvalidArgument("spark.checkpoint.dir must name a folder that driver and executors share")
+        shared = os.path.join(tempfile.gettempdir(), f"tidelog-scratch-{os.getpid()}")
+    path = f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(where)
+    fs.deleteOnExit(where)
+    return path
 
 
 class Files:
@@ -35,6 +55,19 @@ class Files:
             return []
         return sorted(s.getPath().getName() for s in self._do(self.fs.listStatus, self._path(path)))
 
+    def sizes(self, path: str) -> dict[str, int]:
+        """Sizes of all files below a folder, by their paths in it; hidden files left out."""
+        if not self.exists(path):
+            return {}
+        top = self._do(self.fs.getFileStatus, self._path(path)).getPath().toString()
+        found, each = {}, self._do(self.fs.listFiles, self._path(path), True)
+        while each.hasNext():
+            s = each.next()
+            name = s.getPath().toString()[len(top) + 1 :]
+            if not name.rpartition("/")[2].startswith((".", "_")):
+                found[name] = s.getLen()
+        return found
+
     def read(self, path: str) -> bytes:
         stream = self._do(self.fs.open, self._path(path))
         try:

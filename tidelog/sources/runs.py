@@ -1,4 +1,10 @@
-"""Runs: immutable Parquet folders, one for each flush or compaction, listed in a manifest."""
+"""Runs: immutable Parquet folders, one for each flush or compaction, listed in a manifest.
+
+Ids in names are padded to 20 digits, so names of any 64-bit id sort as the ids;
+names with fewer digits are read as well.  The manifest has each run's key bounds,
+by which reads of a key or a range leave out runs; within a run, Parquet's
+statistics and Bloom filters leave out row groups.
+"""
 
 from __future__ import annotations
 
@@ -16,8 +22,7 @@ from .files import Files
 # Names of a run and of an index generation.
 RUN_NAME = "sst_L{level}_{id:020d}.sst"
 RUN_PATTERN = r"sst_L(\d+)_(\d+)\.sst$"
-INDEX_NAME = "hnsw_{id:020d}.idx"
-INDEX_PATTERN = r"hnsw_(\d+)\.idx$"
+INDEX_NAME = "ivf_{id:020d}"
 
 
 def run_name(level: int, run_id: int) -> str:
@@ -49,9 +54,20 @@ def reconcile(catalog: DataFrame) -> DataFrame:
 
 @dataclass
 class Run:
+    """low and high: the least and greatest key, as hex digits; None in a run without rows."""
+
     id: int
     level: int
     name: str
+    low: str | None = None
+    high: str | None = None
+    rows: int = 0
+
+    def may_hold(self, low: bytes | None, high: bytes | None) -> bool:
+        """Whether a key between both, themselves included, may be in the run."""
+        if self.low is None:
+            return False
+        return (low is None or low.hex() <= self.high) and (high is None or self.low <= high.hex())
 
 
 @dataclass
@@ -64,6 +80,8 @@ class Manifest:
     dim: int = 0
     runs: list[Run] = field(default_factory=list)
     index: dict | None = None
+    #: The last micro-batch of each stream that is in the runs.
+    streams: dict[str, int] = field(default_factory=dict)
 
     def encode(self) -> bytes:
         body = json.dumps(asdict(self), sort_keys=True)
@@ -113,6 +131,10 @@ class Runs:
         self.files.make_dirs(self.root)
         self.files.remove(self.path(run))
         self.files.rename(staged, self.path(run))
+        bounds = self.read([run]).agg(F.min("key").alias("low"), F.max("key").alias("high"), F.count(F.lit(1)).alias("rows")).first()
+        run.rows = bounds["rows"]
+        if run.rows:
+            run.low, run.high = bytes(bounds["low"]).hex(), bytes(bounds["high"]).hex()
         return run
 
     def vacuum(self, manifest: Manifest) -> list[str]:

@@ -84,12 +84,17 @@ class Store:
         self.manifest.dim = len(v)
         self._write(VECTOR, key, to_bytes(v))
 
-    def put_many(self, rows: DataFrame) -> None:
+    def put_many(self, rows: DataFrame, stream: str | None = None, batch_id: int = -1) -> None:
         """A batch as one run: (key, value), (key, embedding) or (key, kind, value, embedding).
 
-        Rows of one key need an ``ordinal`` that puts them in order.
+        Rows of one key need an ``ordinal`` that puts them in order.  The rows are
+        read once: what is checked is what is stored.  With a stream's name, a
+        batch whose number is not above the last one stored is passed over; the
+        number is committed with the run.
         """
         self._open()
+        if stream is not None and batch_id <= self.manifest.streams.get(stream, -1):
+            return
         if self.pending:
             self.flush()
         have = set(rows.columns)
@@ -98,6 +103,10 @@ class Store:
         embedding = F.col("embedding").cast("array<float>") if "embedding" in have else F.lit(None).cast("array<float>")
         ordinal = F.col("ordinal").cast("long") if "ordinal" in have else F.lit(0).cast("long")
         batch = rows.select(F.col("key").cast("binary").alias("key"), kind.cast("byte").alias("kind"), value.alias("value"), embedding.alias("embedding"), ordinal.alias("ordinal"))
+        staged = f"{self.files.root}/_tmp/batch"
+        self.files.remove(staged)
+        batch.write.parquet(staged)
+        batch = self.spark.read.schema(batch.schema).parquet(staged)
         vector = F.col("kind") == VECTOR
         fault = (
             F.when(F.col("key").isNull() | ~F.length("key").between(1, MAX_KEY), "key length")
@@ -112,7 +121,11 @@ class Store:
             raise InvalidArgument(f"the batch is refused: {got.fault}")
         if got.a != got.b:
             raise InvalidArgument("the batch is refused: vectors of several dimensions")
+        mark = {stream: batch_id} if stream is not None else {}
         if not got.n:
+            if mark:
+                self.manifest.streams |= mark
+                self._commit()
             return
         same = batch.groupBy("key", "ordinal").count().where("count > 1").limit(1).collect()
         if same:
@@ -120,10 +133,9 @@ class Store:
         clean = lambda c, on: F.when(on, F.col(c)).alias(c)
         base = self.manifest.next_seq
         log = batch.select((F.lit(base) + F.col("ordinal")).alias("seq"), "key", "kind", clean("value", F.col("kind") == PUT), clean("embedding", vector))
-        self._add_run(merge.latest(log), got.o + 1)
-        if got.b:
-            self.manifest.dim = got.b
-            self._commit()
+        self.manifest.streams |= mark
+        self._add_run(merge.latest(log), got.o + 1, got.b or 0)
+        self.files.remove(staged)
 
     def _write(self, kind: int, key: bytes, value: bytes) -> None:
         self._open()
@@ -150,8 +162,10 @@ class Store:
         self.pending, self.pending_bytes = {}, 0
         self.wal.drop_before(self.manifest.next_seq)
 
-    def _add_run(self, rows: DataFrame, sequences: int) -> None:
+    def _add_run(self, rows: DataFrame, sequences: int, dim: int = 0) -> None:
+        """One commit for the run and all that comes with it."""
         run = self.runs.write(rows, 0, self.manifest.next_run_id)
+        self.manifest.dim = self.manifest.dim or dim
         self.manifest.runs.insert(0, run)
         self.manifest.next_run_id += 1
         self.manifest.next_seq += sequences
@@ -166,8 +180,7 @@ class Store:
         if not old:
             return
         run = self.runs.write(merge.compacted(self.runs.read(old)), 1, self.manifest.next_run_id)
-        kept = [run] if self.runs.read([run]).limit(1).count() else []
-        self.manifest.runs = kept
+        self.manifest.runs = [run] if run.rows else []
         self.manifest.next_run_id += 1
         indexed, self.manifest.index = self.manifest.index, None  # tombstones that masked its rows are gone
         self._commit()
@@ -185,7 +198,7 @@ class Store:
         self.files.remove(path)
         seq = self.manifest.next_seq - 1
         index = IvfIndex.build(merge.live_vectors(self.log()), path, seq, self.manifest.metric, v.cells, v.seed, v.train_rows)
-        self.manifest.index = {"name": name, "centroids": index.centroids.tolist(), "indexed_seq": seq}
+        self.manifest.index = {"name": name, "centroids": index.centroids.tolist(), "indexed_seq": seq, "files": self.files.sizes(path)}
         self.manifest.next_run_id += 1
         self._commit()
         for n in self.files.names(f"{self.files.root}/index"):
@@ -205,10 +218,10 @@ class Store:
         rows = [(s, bytearray(k), kind, bytearray(v) if kind == PUT else None, from_bytes(v) if kind == VECTOR else None) for k, (s, kind, v) in self.pending.items()]
         return self.spark.createDataFrame(rows, LOG)
 
-    def log(self) -> DataFrame:
-        """All entries of all runs and of the buffer."""
+    def log(self, low: bytes | None = None, high: bytes | None = None) -> DataFrame:
+        """All entries of the buffer and of all runs, or of the runs that may hold keys between two."""
         self._open()
-        rows = self.runs.read(self.manifest.runs)
+        rows = self.runs.read([r for r in self.manifest.runs if r.may_hold(low, high)])
         return rows.unionByName(self._pending_rows()) if self.pending else rows
 
     def live(self) -> DataFrame:
@@ -223,7 +236,10 @@ class Store:
         if key in self.pending:
             _, kind, value = self.pending[key]
             return None if kind == DELETE else value
-        got = merge.get(self.runs.read(self.manifest.runs), F.lit(bytearray(key))).collect()
+        held = [r for r in self.manifest.runs if r.may_hold(key, key)]
+        if not held:
+            return None
+        got = merge.get(self.runs.read(held), F.lit(bytearray(key))).collect()
         if not got:
             return None
         return to_bytes(got[0].embedding) if got[0].kind == VECTOR else bytes(got[0].value)
@@ -235,7 +251,7 @@ class Store:
 
     def scan(self, low: bytes | None = None, high: bytes | None = None) -> DataFrame:
         """Live entries with low <= key < high, ascending."""
-        rows = self.log()
+        rows = self.log(low, high)
         if low is not None:
             rows = rows.where(F.col("key") >= F.lit(bytearray(low)))
         if high is not None:
@@ -250,26 +266,30 @@ class Store:
         self._open()
         if k <= 0 or not self.manifest.dim:
             return []
-        if self.vector_count() == 0:  # an empty index answers any query
-            return []
         v = np.asarray(query, np.float32)
+        problem = None
         if len(v) != self.manifest.dim:
-            raise InvalidArgument(f"the store's vectors have {self.manifest.dim} dimensions, not {len(v)}")
-        if not np.isfinite(v).all() or self.manifest.metric == COSINE and not v.any():
-            raise InvalidArgument("a query has finite components, and a cosine query a length")
+            problem = f"the store's vectors have {self.manifest.dim} dimensions, not {len(v)}"
+        elif not np.isfinite(v).all() or self.manifest.metric == COSINE and not v.any():
+            problem = "a query has finite components, and a cosine query a length"
+        if problem:
+            if self.vector_count() == 0:  # an empty index answers any query
+                return []
+            raise InvalidArgument(problem)
         if predicate is not None and not isinstance(predicate, Column):
             predicate = knn.predicate_of(predicate)
         index = self._index() if approximate else None
         if index:
             found = index.search(self.log(), v, k, self.options.vectors.probes, predicate)
         else:
-            found = knn.nearest(self.live_vectors(), knn.vector_literal(v), k, self.manifest.metric, predicate)
+            found = knn.nearest(self.live_vectors(), v, k, self.manifest.metric, predicate)
         return [(bytes(r.key), r.distance) for r in found.collect()]
 
     def _index(self) -> IvfIndex | None:
         """The index generation, or None where it is missing or damaged; the log is the truth then."""
         i = self.manifest.index
-        if not i or not self.files.exists(f"{self.files.root}/index/{i['name']}/_SUCCESS"):
+        path = f"{self.files.root}/index/{i['name']}" if i else ""
+        if not i or not self.files.exists(f"{path}/_SUCCESS") or self.files.sizes(path) != i.get("files"):
             return None
         return IvfIndex(f"{self.files.root}/index/{i['name']}", np.array(i["centroids"]), self.manifest.metric, i["indexed_seq"])
 
@@ -294,6 +314,25 @@ class Store:
     def vector_count(self) -> int:
         return self.live_vectors().count()
 
+    @property
+    def dim(self) -> int:
+        """Dimensions of the vectors; 0 before the first."""
+        return self.manifest.dim
+
+    @property
+    def metric(self) -> str:
+        return self.manifest.metric
+
+    def vector_count_with_deleted(self) -> int:
+        """Keys that ever had a vector that the runs and the buffer still hold, live or not."""
+        return self.log().where(F.col("kind") == VECTOR).select("key").distinct().count()
+
+    def is_deleted(self, key: bytes) -> bool:
+        """Whether the key had a vector that a delete or a plain put has since removed, and no compaction dropped."""
+        own = self.log(key, key).where(F.col("key") == F.lit(bytearray(key)))
+        got = own.agg(F.max(F.col("kind") == VECTOR).alias("had"), F.max_by("kind", "seq").alias("kind")).first()
+        return bool(got.had) and got.kind != VECTOR
+
     def close(self) -> None:
         self.closed = True
 

@@ -12,16 +12,13 @@ def ingest(stream: DataFrame, store: Store, checkpoint: str, trigger: dict | Non
     """Write a stream of (key, kind, value, embedding, ordinal) to the store, a run for each micro-batch.
 
     A batch that is delivered again after a failure is recognised by its number,
-    which the store's folder keeps, so each is applied once.  Order is by
-    sequence, so no watermark is needed: within a batch by ordinal.
+    which is committed with the batch's run under the checkpoint's path, so each is
+    applied once.  Order is by sequence, so no watermark is needed: within a batch
+    by ordinal.
     """
-    mark = f"{store.files.root}/_stream_batch"
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        done = int(store.files.read(mark)) if store.files.exists(mark) else -1
-        if batch_id > done:
-            store.put_many(batch)
-            store.files.write(mark, str(batch_id).encode())
+        store.put_many(batch, checkpoint, batch_id)
 
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
