@@ -8,8 +8,8 @@ anchor, the leftmost least-hashed string of ``gram`` symbols of some window of
 ``length`` symbols.  Equal windows have equal anchors at equal places, so every
 long match runs through suffixes that agree in their first ``gram`` symbols, which
 are neighbours in a suffix array; the windows of an anchor in a row are its
-context.  A suffix is ordered by two 64-bit fingerprints, of its first ``gram``
-symbols (h) and of its context (c); only agreement matters, not alphabetical order.
+context.  A suffix is ordered by a 64-bit fingerprint of its first ``gram`` symbols
+(h); only agreement matters, not alphabetical order.
 
 ``LogIndex`` is the index family, in tables of the shared folder.  A new batch of
 documents gets its suffix array, which is merge-scanned against all levels: what h
@@ -17,8 +17,8 @@ the batch shares with itself or with a level is a seed of a match.  Then the arr
 becomes a level, and levels of equal size (less than half as large again) are merged
 into one, so n batches make log n levels and each suffix moves log n times.
 
-Seeds are extended to matches: a context that occurs twice has only repeated
-windows.  Contexts that differ but share their anchor are cut by the anchor's place
+Seeds are extended to matches, contexts being known by a fingerprint (c) too: a
+context that occurs twice has only repeated windows.  Contexts that differ but share their anchor are cut by the anchor's place
 in the window into ``SLICES`` slices.  All windows of a slice share a core; slices
 with equal symbols are repeated whole, and only where slices with the same core
 differ are their single windows compared, by two fingerprints, one slice of each
@@ -209,12 +209,12 @@ class Level:
     """A suffix array: a table in the shared folder, sorted within its parts, and its count of rows."""
 
     def __init__(self, rows: DataFrame):
-        self.rows = cut(rows.sortWithinPartitions("h", "c"), "level")
+        self.rows = cut(rows.sortWithinPartitions("h"), "level")
         self.size = self.rows.count()
 
 
 class LogIndex:
-    """Family of suffix arrays in levels of doubling size.
+    """Family of suffix arrays in levels of doubling size, of the suffixes at anchors by their first symbols (h).
 
     across: only what is in two documents is repeated, not what one document repeats.
     """
@@ -224,8 +224,13 @@ class LogIndex:
         self.seeds: list[DataFrame] = []
         self.across = across
 
+    def counted(self, rows: DataFrame) -> DataFrame:
+        """rows with the columns that together() sums."""
+        who = F.xxhash64("doc_id", "text_hash")
+        return rows.withColumns({"times": F.lit(1).cast("long"), **({"lo": who, "hi": who} if self.across else {})})
+
     def together(self) -> list[Column]:
-        """Sums over rows of a level, by which company() tells whether what they stand for is repeated."""
+        """Sums over rows, by which company() tells whether what they stand for is repeated."""
         return [F.sum("times").alias("times"), F.min("lo").alias("lo"), F.max("hi").alias("hi")] if self.across else [F.sum("times").alias("times")]
 
     def company(self) -> Column:
@@ -237,35 +242,28 @@ class LogIndex:
 
     def add(self, suffixes: DataFrame) -> None:
         """Add a batch of documents by the suffixes at their anchors."""
-        who = F.xxhash64("doc_id", "text_hash")
-        rows = suffixes.withColumns({"times": F.lit(1).cast("long"), **({"lo": who, "hi": who} if self.across else {})})
-        batch = Level(rows.groupBy("h", "c").agg(*self.together(), *any_of(PLACE)))
+        batch = Level(self.counted(suffixes).groupBy("h").agg(*self.together()))
         if not batch.size:
             return forget(batch.rows)
         # the merge-scan: one pass over the batch and all levels
-        both = batch.rows.select("h", *self.sums, F.lit(True).alias("new"))
+        both = batch.rows.withColumn("new", F.lit(True))
         for level in self.levels:
-            both = both.union(level.rows.select("h", *self.sums, F.lit(False)))
+            both = both.union(level.rows.withColumn("new", F.lit(False)))
         shared = both.groupBy("h").agg(*self.together(), F.max("new").alias("new"))
         self.seeds.append(cut(shared.where(F.col("new") & self.company()).select("h"), "seeds"))
         while self.levels and 2 * self.levels[-1].size < 3 * batch.size:
             old = self.levels.pop()
-            merged = Level(old.rows.union(batch.rows).groupBy("h", "c").agg(*self.together(), *any_of(PLACE)))
+            merged = Level(old.rows.union(batch.rows).groupBy("h").agg(*self.together()))
             forget(old.rows, batch.rows)
             batch = merged
         self.levels.append(batch)
 
-    def kinds(self) -> DataFrame:
-        """The contexts (h, c) of all seeds, with several: whether the anchor has other contexts too."""
-        rows, seeds = self.levels[0].rows, self.seeds[0]
-        for level in self.levels[1:]:
-            rows = rows.union(level.rows)
+    def matched(self, suffixes: DataFrame) -> DataFrame:
+        """The suffixes (of all batches) that some scan found company of."""
+        seeds = self.seeds[0]
         for more in self.seeds[1:]:
             seeds = seeds.union(more)
-        found = rows.join(seeds.distinct(), "h", "left_semi").groupBy("h", "c").agg(*self.together(), *any_of(PLACE))
-        found = cut(found, "contexts")
-        several = found.groupBy("h").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("h", F.lit(True).alias("several"))
-        return cut(found.join(several, "h", "left"), "kinds")
+        return suffixes.join(seeds.distinct(), "h", "left_semi")
 
     def close(self) -> None:
         forget(*[x.rows for x in self.levels], *self.seeds)
@@ -346,9 +344,11 @@ def splitter(length: int, view: type):
     return run
 
 
-def extended(index: LogIndex, texts: DataFrame, length: int, gram: int, view: type) -> DataFrame:
-    """(h, c, runs): the repeated windows of the contexts of all seeds, as runs [a, b] of window numbers."""
-    kinds = index.kinds()
+def extended(index: LogIndex, matched: DataFrame, texts: DataFrame, length: int, gram: int, view: type) -> DataFrame:
+    """(h, c, runs): the repeated windows of the contexts of matched suffixes, as runs [a, b] of window numbers."""
+    contexts = cut(index.counted(matched).groupBy("h", "c").agg(*index.together(), *any_of(PLACE)), "contexts")
+    several = contexts.groupBy("h").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("h", F.lit(True).alias("several"))
+    kinds = cut(contexts.join(several, "h", "left"), "kinds")
     runs = lambda a, b: F.array(F.struct(a.cast("int").alias("a"), b.cast("int").alias("b"))).alias("runs")
     whole = kinds.where(index.company()).select("h", "c", runs(F.lit(0), F.col("n") - 1))
     # one context of each kind, where an anchor has several
@@ -373,7 +373,7 @@ def extended(index: LogIndex, texts: DataFrame, length: int, gram: int, view: ty
     single = left.join(equal, ["core", "content"], "left_anti").join(offsets, ["core", "content"]).select("h", "c", F.transform("offsets", place).alias("runs"))
     out = whole.union(found).union(single).groupBy("h", "c").agg(F.flatten(F.collect_list("runs")).alias("runs"))
     out = cut(out, "runs")
-    forget(kinds, held, slices, contents, windows)
+    forget(contexts, kinds, held, slices, contents, windows)
     return out
 
 
@@ -383,20 +383,23 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, view: type
     keyed = docs.withColumn("text_hash", F.xxhash64("text"))
     texts = keyed.where(F.octet_length("text") >= view.least * length - view.least + 1).select(F.col("doc_id").cast("long").alias("doc_id"), "text_hash", "text")
     small_batches(docs)
-    numbered = texts.mapInArrow(anchorer(length, gram, view), SUFFIXES).withColumn("batch", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(batches)).cast("int"))
-    suffixes = cut(numbered, "suffixes", ["batch"])
-    index = LogIndex(across)
+    batch = F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(batches))
+    index, tables = LogIndex(across), []
     for b in range(batches):
-        index.add(suffixes.where(F.col("batch") == b).drop("batch"))
+        tables.append(cut(texts.where(batch == b).mapInArrow(anchorer(length, gram, view), SUFFIXES), "suffixes"))
+        index.add(tables[-1])
     if not index.levels:
         return keyed.withColumn("spans", F.lit(None).cast("array<struct<a:bigint,b:bigint>>"))
-    found = extended(index, texts, length, gram, view)
+    suffixes = functools.reduce(DataFrame.union, tables)
+    matched = cut(index.matched(suffixes), "matched")
     index.close()
+    forget(*tables)
+    found = extended(index, matched, texts, length, gram, view)
     ranges = F.transform("runs", lambda r: F.struct((F.col("p") + r["a"]).alias("a"), (F.col("p") + r["b"] + length).alias("b")))
-    marked = suffixes.join(found, ["h", "c"]).select("doc_id", "text_hash", ranges.alias("spans"))
+    marked = matched.join(found, ["h", "c"]).select("doc_id", "text_hash", ranges.alias("spans"))
     marked = marked.groupBy(F.col("doc_id").alias("d"), F.col("text_hash").alias("t")).agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
     marked = cut(marked, "marked")
-    forget(suffixes, found)
+    forget(matched, found)
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t"))
     return keyed.join(marked, same, "left").drop("d", "t")
 
