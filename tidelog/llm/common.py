@@ -71,8 +71,13 @@ def forget(*tables: DataFrame) -> None:
     for df in tables:
         where = jvm.org.apache.hadoop.fs.Path(df.cut_path)
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    clean(spark)
+
+
+def clean(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffles and broadcasts that nothing refers to any more."""
     gc.collect()
-    jvm.System.gc()
+    spark.sparkContext._jvm.System.gc()
 
 
 def remainder(doc_id: Column, modulus: int) -> Column:

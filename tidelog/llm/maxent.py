@@ -43,7 +43,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, remainder, small_batches, table
+from .common import clean, cut, remainder, small_batches, table
 
 SINGLES, SPELLINGS, PARTS = 64, 32, 16
 CLASSES = SINGLES + SPELLINGS
@@ -283,20 +283,22 @@ def trainer(held, rate: float = RATE):
             seen += len(at)
         if seen:
             task = TaskContext.get().partitionId()
-            for i, part in enumerate(np.array_split(np.concatenate([w.ravel(), b, p.ravel()]), 64)):
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([task], pa.int32()), pa.array([seen], pa.int64()), pa.array([part.astype("<f4").tobytes()])], names=["part", "task", "seen", "weights"])
+            # what has changed, in half precision
+            change = np.concatenate([(x - m[k]).ravel() for x, k in ((w, "weights"), (b, "bias"), (p, "parts"))])
+            for i, part in enumerate(np.array_split(change, 64)):
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([task], pa.int32()), pa.array([seen], pa.int64()), pa.array([part.astype("<f2").tobytes()])], names=["part", "task", "seen", "change"])
 
     return run
 
 
 def average(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The mean of weights by the tokens that they have seen."""
+    """The mean of changes by the tokens that they come from."""
     seen = pdf.seen.to_numpy(np.float64)
-    total = sum(np.frombuffer(w, "<f4") * (n / seen.sum()) for w, n in zip(pdf.weights, seen))
-    return pd.DataFrame({"part": [pdf.part.iloc[0]], "task": [pdf.task.iloc[0] // FAN], "seen": [int(seen.sum())], "weights": [total.astype("<f4").tobytes()]})
+    total = sum(np.frombuffer(w, "<f2").astype(np.float32) * np.float32(n / seen.sum()) for w, n in zip(pdf.change, seen))
+    return pd.DataFrame({"part": [pdf.part.iloc[0]], "task": [pdf.task.iloc[0] // FAN], "seen": [int(seen.sum())], "change": [total.astype("<f2").tobytes()]})
 
 
-WEIGHTS = "part int, task int, seen long, weights binary"
+CHANGES = "part int, task int, seen long, change binary"
 
 
 class Model:
@@ -335,16 +337,19 @@ class Model:
         for part in range(ROUNDS if self.total else 0):
             held = spark.sparkContext.broadcast(self.arrays() | {"square": square})
             own = training.where(F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS)) == part).select("text").coalesce(tasks)
-            got, left = own.mapInArrow(trainer(held), WEIGHTS), tasks
+            got, left = own.mapInArrow(trainer(held), CHANGES), tasks
             while left > 1:
                 left = -(-left // FAN)
-                got = got.groupBy("part", F.floor(F.col("task") / FAN)).applyInPandas(average, WEIGHTS)
-            got = got.collect()  # the weights, in 64 parts
-            if got:
-                flat = np.concatenate([np.frombuffer(r.weights, "<f4") for r in sorted(got, key=lambda r: r.part)])
+                got = got.groupBy("part", F.floor(F.col("task") / FAN)).applyInPandas(average, CHANGES)
+            rows = got.collect()  # the changes, in 64 parts
+            if rows:
+                flat = np.concatenate([np.frombuffer(r.change, "<f2").astype(np.float32) for r in sorted(rows, key=lambda r: r.part)])
                 a, b = self.weights.size, self.weights.size + CLASSES
-                self.weights, self.bias, self.parts = flat[:a].reshape(-1, CLASSES), flat[a:b], flat[b:].reshape(-1, PARTS)
+                self.weights, self.bias, self.parts = self.weights + flat[:a].reshape(-1, CLASSES), self.bias + flat[a:b], self.parts + flat[b:].reshape(-1, PARTS)
             square = square * 4  # later parts refine
+            held.unpersist()
+            del own, got, rows
+            clean(spark)
 
     def arrays(self) -> dict[str, np.ndarray]:
         return {k: getattr(self, k) for k in ("frequent", "n", "singles", "weights", "bias", "parts")}
