@@ -54,7 +54,7 @@ PART_SLOTS = 2
 LEAST_ROWS, MOST_ROWS = 1 << 10, 1 << 16
 FREQUENT = 200_000
 ROUNDS = 3
-STEP = 4096
+STEP = 2048
 RATE = 0.2
 CACHED_WORDS = 150_000
 TASK_TOKENS, FAN = 100_000_000, 64
