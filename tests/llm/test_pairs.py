@@ -228,20 +228,30 @@ def test_suffixes_empty_repeated_and_long(spark):
 def test_log_index(spark):
     """Levels halve in size, and a scan finds what a batch shares with any level."""
     rng = np.random.default_rng(7)
-    index, seen, batches = suffixes.LogIndex(), [], []
+    index, seen, batches = suffixes.LogIndex([suffixes.Search(suffixes.Bytes, 40, 16)]), [], []
     for b in range(7):
-        h = rng.choice(4000, 60, replace=False)
+        h = rng.choice(1 << 22, 4000, replace=False)
+        h[:50] = rng.choice(300, 50, replace=False)
         seen.append(h)
-        batches.append(spark.createDataFrame([(b, 0, int(x), 100 * b + i, 0, 1, 0) for i, x in enumerate(h)], suffixes.SUFFIXES))
+        batches.append(spark.createDataFrame([(b, 0, 0, int(x), 100 * b + i, 0, 1, 0) for i, x in enumerate(h)], suffixes.SUFFIXES).coalesce(1))
         index.add(batches[-1])
     every, n = np.unique(np.concatenate(seen), return_counts=True)
     found = {r.h for s in index.seeds for r in s.collect()}
     assert found == set(every[n > 1].tolist())
-    assert [round(x.size / 60) for x in index.levels] == [4, 2, 1]
+    assert [round(x.rows.count() / 4000) for x in index.levels] == [4, 2, 1]
     matched = [r for b in batches for r in index.matched(b).collect()]
     assert len(matched) == sum(int(k) for k in n if k > 1) > 0
     index.close()
 
 
+def test_searches_share_an_index(spark):
+    """Two searches in one pass find what each finds alone."""
+    texts = odd_texts()
+    both = [suffixes.Search(suffixes.Bytes, 40, 16), suffixes.Search(suffixes.Words, 12, 4, across=True)]
+    got = suffixes.repeated(docs_of(spark, texts), both, 2).collect()
+    assert {r.doc_id: suffixes.merged(r.spans_0) for r in got} == dict(enumerate(brute_repeats(texts, 40)))
+    assert {r.doc_id: suffixes.merged(r.spans_1) for r in got} == dict(enumerate(brute_passages(texts, 12)))
+
+
 def test_kept_bytes():
     assert suffixes.without(b"abcdef", [(0, 2), (4, 5)]) == b"cdf" and hashlib.sha256(suffixes.without(b"", [])).hexdigest()[:4] == "e3b0"

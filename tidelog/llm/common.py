@@ -74,6 +74,13 @@ def forget(*tables: DataFrame) -> None:
     clean(spark)
 
 
+def size_of(df: DataFrame) -> int:
+    """Bytes of a table that cut() wrote, from its folder; no job."""
+    spark = df.sparkSession
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.cut_path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
+
+
 def clean(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffles and broadcasts that nothing refers to any more."""
     gc.collect()

@@ -2,6 +2,7 @@
 
 A symbol (a byte, or a word) of a text is repeated where a string of ``length``
 symbols that covers it also starts somewhere else; matches never cross documents.
+Several searches (of bytes and of words) share one index and its passes.
 
 The suffix arrays are sparse: of a text's suffixes those are kept that start at an
 anchor, the leftmost least-hashed string of ``gram`` symbols of some window of
@@ -36,6 +37,7 @@ from __future__ import annotations
 import functools
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -44,7 +46,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, forget, small_batches, table
+from .common import cut, forget, size_of, small_batches, table
 
 LENGTH = 400
 GRAM = 64
@@ -160,44 +162,76 @@ def anchors_of(data: np.ndarray, last: np.ndarray, length: int, gram: int) -> tu
     return start, count, anchor - start, hashes[anchor], context
 
 
-def anchorer(length: int, gram: int, view: type):
-    """(doc_id, text_hash, text) to the suffixes at anchors."""
+@dataclass(frozen=True)
+class Search:
+    """Which strings are repeats: of so many symbols of a view; across: only what two documents have, not what one repeats.
+
+    few_words: only in texts with a window of length bytes that may hold fewer whole words than that.
+    """
+
+    view: type
+    length: int
+    gram: int
+    across: bool = False
+    few_words: int = 0
+
+    def symbols(self, view, text: str) -> np.ndarray:
+        none = np.zeros(0, self.view.dtype)
+        if self.few_words and not wide(text.encode(), self.few_words, self.length):
+            return none
+        found = view.of(text)
+        return found if len(found) >= self.length else none
+
+
+def anchorer(searches: list[Search]):
+    """(doc_id, text_hash, text) to the suffixes at anchors; v is the number of the search."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        symbols = view()
+        views = [x.view() for x in searches]
         for batch in batches:
-            texts = [symbols.of(t.as_py()) for t in batch.column(2)]
-            able = [i for i, t in enumerate(texts) if len(t) >= length]
-            if not able:
-                continue
-            sizes = np.array([len(texts[i]) for i in able], np.int64)
-            flat = np.concatenate([texts[i] for i in able])
-            del texts
-            ends = np.cumsum(sizes)
-            for a in range(0, len(flat), CHUNK):
-                b = min(len(flat), a + CHUNK)
-                doc = np.searchsorted(ends, np.arange(a, b), "right")
-                whole = np.arange(a, b) + length <= ends[doc]
-                data = flat[a : min(len(flat), b + length - 1)]
-                if len(data) < length:
+            for v, (search, view) in enumerate(zip(searches, views)):
+                texts = [search.symbols(view, t.as_py()) for t in batch.column(2)]
+                able = [i for i, t in enumerate(texts) if len(t)]
+                if not able:
                     continue
-                start, count, lead, h, c = anchors_of(data, whole, length, gram)
-                # runs never cross documents: the last starts of a document are not whole
-                own = doc[start]
-                rows = pa.array(np.array(able, np.int64)[own])
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(h.astype(np.int64)), pa.array(c.astype(np.int64)), pa.array(a + start - (ends - sizes)[own]), pa.array(count.astype(np.int32)), pa.array(lead.astype(np.int32))],
-                    names=["doc_id", "text_hash", "h", "c", "p", "n", "lead"],
-                )
+                sizes = np.array([len(texts[i]) for i in able], np.int64)
+                flat = np.concatenate([texts[i] for i in able])
+                del texts
+                length, ends = search.length, np.cumsum(sizes)
+                for a in range(0, len(flat), CHUNK):
+                    b = min(len(flat), a + CHUNK)
+                    doc = np.searchsorted(ends, np.arange(a, b), "right")
+                    whole = np.arange(a, b) + length <= ends[doc]
+                    data = flat[a : min(len(flat), b + length - 1)]
+                    if len(data) < length:
+                        continue
+                    start, count, lead, h, c = anchors_of(data, whole, length, search.gram)
+                    # runs never cross documents: the last starts of a document are not whole
+                    own = doc[start]
+                    rows = pa.array(np.array(able, np.int64)[own])
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(np.full(len(own), v, np.int8)), pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), pa.array(a + start - (ends - sizes)[own]), pa.array(count.astype(np.int32)), pa.array(lead.astype(np.int32))],
+                        names=["doc_id", "text_hash", "v", "h", "c", "p", "n", "lead"],
+                    )
 
     return run
 
 
-SUFFIXES = "doc_id long, text_hash long, h long, c long, p long, n int, lead int"
-
-
+SUFFIXES = "doc_id long, text_hash long, v byte, h long, c long, p long, n int, lead int"
 #: Where a context is: its document, the first window's place, the count of windows and the anchor's place in the first.
 PLACE = ["doc_id", "text_hash", "p", "n", "lead"]
+#: How often something occurs, and the least and greatest document with it.
+SUMS = ["times", "lo", "hi"]
+
+
+def counted(rows: DataFrame) -> DataFrame:
+    """rows with the columns that together() sums."""
+    who = F.xxhash64("doc_id", "text_hash")
+    return rows.withColumns({"times": F.lit(1).cast("long"), "lo": who, "hi": who})
+
+
+def together() -> list[Column]:
+    return [F.sum("times").alias("times"), F.min("lo").alias("lo"), F.max("hi").alias("hi")]
 
 
 def any_of(columns: list[str]) -> list[Column]:
@@ -205,205 +239,218 @@ def any_of(columns: list[str]) -> list[Column]:
     return [F.first(c).alias(c) for c in columns]
 
 
+def company(searches: list[Search]) -> Column:
+    """Whether what the sums stand for is repeated, by what search v counts."""
+    across = [v for v, x in enumerate(searches) if x.across]
+    return F.when(F.col("v").isin(across), F.col("lo") != F.col("hi")).otherwise(F.col("times") > 1)
+
+
 class Level:
-    """A suffix array: a table in the shared folder, sorted within its parts, and its count of rows."""
+    """A suffix array: a table in the shared folder, sorted within its parts, and its size in bytes."""
 
     def __init__(self, rows: DataFrame):
         self.rows = cut(rows.sortWithinPartitions("h"), "level")
-        self.size = self.rows.count()
+        self.size = size_of(self.rows)
 
 
 class LogIndex:
-    """Family of suffix arrays in levels of doubling size, of the suffixes at anchors by their first symbols (h).
+    """Family of suffix arrays in levels of doubling size, of the suffixes at anchors by their first symbols (h)."""
 
-    across: only what is in two documents is repeated, not what one document repeats.
-    """
-
-    def __init__(self, across: bool = False):
+    def __init__(self, searches: list[Search]):
         self.levels: list[Level] = []
         self.seeds: list[DataFrame] = []
-        self.across = across
-
-    def counted(self, rows: DataFrame) -> DataFrame:
-        """rows with the columns that together() sums."""
-        who = F.xxhash64("doc_id", "text_hash")
-        return rows.withColumns({"times": F.lit(1).cast("long"), **({"lo": who, "hi": who} if self.across else {})})
-
-    def together(self) -> list[Column]:
-        """Sums over rows, by which company() tells whether what they stand for is repeated."""
-        return [F.sum("times").alias("times"), F.min("lo").alias("lo"), F.max("hi").alias("hi")] if self.across else [F.sum("times").alias("times")]
-
-    def company(self) -> Column:
-        return (F.col("lo") != F.col("hi")) if self.across else (F.col("times") > 1)
-
-    @property
-    def sums(self) -> list[str]:
-        return ["times", "lo", "hi"] if self.across else ["times"]
+        self.company = company(searches)
 
     def add(self, suffixes: DataFrame) -> None:
         """Add a batch of documents by the suffixes at their anchors."""
-        batch = Level(self.counted(suffixes).groupBy("h").agg(*self.together()))
-        if not batch.size:
-            return forget(batch.rows)
+        batch = Level(counted(suffixes).groupBy("h", "v").agg(*together()))
         # the merge-scan: one pass over the batch and all levels
         both = batch.rows.withColumn("new", F.lit(True))
         for level in self.levels:
             both = both.union(level.rows.withColumn("new", F.lit(False)))
-        shared = both.groupBy("h").agg(*self.together(), F.max("new").alias("new"))
-        self.seeds.append(cut(shared.where(F.col("new") & self.company()).select("h"), "seeds"))
+        shared = both.groupBy("h", "v").agg(*together(), F.max("new").alias("new"))
+        self.seeds.append(cut(shared.where(F.col("new") & self.company).select("h", "v"), "seeds"))
         while self.levels and 2 * self.levels[-1].size < 3 * batch.size:
             old = self.levels.pop()
-            merged = Level(old.rows.union(batch.rows).groupBy("h").agg(*self.together()))
+            merged = Level(old.rows.union(batch.rows).groupBy("h", "v").agg(*together()))
             forget(old.rows, batch.rows)
             batch = merged
         self.levels.append(batch)
 
     def matched(self, suffixes: DataFrame) -> DataFrame:
         """The suffixes (of all batches) that some scan found company of."""
-        seeds = self.seeds[0]
-        for more in self.seeds[1:]:
-            seeds = seeds.union(more)
-        return suffixes.join(seeds.distinct(), "h", "left_semi")
+        seeds = cut(functools.reduce(DataFrame.union, self.seeds).distinct(), "matches")
+        return suffixes.join(seeds, ["h", "v"], "left_semi")
 
     def close(self) -> None:
         forget(*[x.rows for x in self.levels], *self.seeds)
 
 
-def cutter(length: int, view: type):
-    """Contexts of a document's anchors: (text, wanted) to h, c, lead and the context's symbols."""
+def cutter(searches: list[Search]):
+    """Contexts of a document's anchors: (text, wanted) to the context's symbols with what is known of it."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        symbols = view()
+        views = [x.view() for x in searches]
         for pdf in batches:
-            h, c, lead, context = [], [], [], []
+            out: dict[str, list] = {k: [] for k in HELD}
             for text, wanted in zip(pdf.text, pdf.wanted):
-                data = symbols.of(text)
+                data: dict[int, np.ndarray] = {}
                 for w in wanted:
-                    h.append(w["h"]), c.append(w["c"]), lead.append(w["lead"])
-                    context.append(data[w["p"] : w["p"] + w["n"] - 1 + length].tobytes())
-            yield pd.DataFrame({"h": h, "c": c, "lead": lead, "context": context})
+                    v = w["v"]
+                    if v not in data:
+                        data[v] = views[v].of(text)
+                    for k in HELD[:-1]:
+                        out[k].append(w[k])
+                    out["context"].append(data[v][w["p"] : w["p"] + w["n"] - 1 + searches[v].length].tobytes())
+            yield pd.DataFrame(out)
 
     return run
 
 
-def joined(contexts: list[bytes], dtype: type, most: int = CHUNK) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Runs of contexts of about so many symbols: the first's number, the symbols and the sizes."""
+HELD = ["h", "c", "v", "lead", *SUMS, "whole", "context"]
+
+
+def joined(contexts: list[bytes], dtype: type, most: int = CHUNK) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    """Runs of contexts of about so many symbols: which, the symbols and the sizes."""
     a, width = 0, np.dtype(dtype).itemsize
     while a < len(contexts):
         b, size = a, 0
         while b < len(contexts) and (b == a or size + len(contexts[b]) <= most * width):
             size += len(contexts[b])
             b += 1
-        yield a, np.frombuffer(b"".join(contexts[a:b]), dtype), np.array([len(x) // width for x in contexts[a:b]], np.int64)
+        yield slice(a, b), np.frombuffer(b"".join(contexts[a:b]), dtype), np.array([len(x) // width for x in contexts[a:b]], np.int64)
         a = b
 
 
-def slicer(length: int, gram: int, view: type):
-    """Contexts to slices: h, c, first and last window (a, b), fingerprints of the core and of the whole content."""
-    wide = -(-(length - gram + 1) // SLICES)
+def of_search(batch: pa.RecordBatch, count: int) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """The rows of a batch by their search."""
+    v = batch.column("v").to_numpy(zero_copy_only=False)
+    for i in range(count):
+        at = np.flatnonzero(v == i)
+        if len(at):
+            yield i, batch.take(pa.array(at))
+
+
+def slicer(searches: list[Search]):
+    """Contexts to slices: first and last window (a, b), fingerprints of the core and of the whole content."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h, c, lead = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            for first, data, sizes in joined(batch.column(3).to_pylist(), view.dtype):
-                own = slice(first, first + len(sizes))
-                high = lead[own].astype(np.int64)
-                low = high - (sizes - length)
-                many = high // wide - low // wide + 1
-                row = np.repeat(np.arange(len(sizes)), many)
-                j = low[row] // wide + np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
-                o1, o2 = np.maximum(j * wide, low[row]), np.minimum(j * wide + wide - 1, high[row])
-                at = (np.cumsum(sizes) - sizes)[row] + high[row]  # the anchors
-                roll = Rolling(data)
-                core = mix(roll.of(at - j * wide, at - j * wide - wide + 1 + length) + mix(h[own][row].view(U) + j.astype(U)))
-                content = mix(roll.of(at - o2, at - o1 + length) + mix(core + (o1 * length + o2).astype(U)))
-                whole = slice(first, first + len(sizes))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h[whole][row]), pa.array(c[whole][row]), pa.array((high[row] - o2).astype(np.int32)), pa.array((high[row] - o1).astype(np.int32)), pa.array(core.view(np.int64)), pa.array(content.view(np.int64))],
-                    names=["h", "c", "a", "b", "core", "content"],
-                )
+            for v, rows in of_search(batch, len(searches)):
+                length, wide_of = searches[v].length, -(-(searches[v].length - searches[v].gram + 1) // SLICES)
+                h, lead = (rows.column(k).to_numpy(zero_copy_only=False) for k in ("h", "lead"))
+                for own, data, sizes in joined(rows.column("context").to_pylist(), searches[v].view.dtype):
+                    high = lead[own].astype(np.int64)
+                    low = high - (sizes - length)
+                    many = high // wide_of - low // wide_of + 1
+                    row = np.repeat(np.arange(len(sizes)), many)
+                    j = low[row] // wide_of + np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+                    o1, o2 = np.maximum(j * wide_of, low[row]), np.minimum(j * wide_of + wide_of - 1, high[row])
+                    at = (np.cumsum(sizes) - sizes)[row] + high[row]  # the anchors
+                    roll = Rolling(data)
+                    core = mix(roll.of(at - j * wide_of, at - j * wide_of - wide_of + 1 + length) + mix(h[own][row].view(U) + j.astype(U)))
+                    content = mix(roll.of(at - o2, at - o1 + length) + mix(core + (o1 * length + o2).astype(U)))
+                    from_row = pa.array(own.start + row)
+                    known = [rows.column(k).take(from_row) for k in HELD if k not in ("lead", "context")]
+                    yield pa.RecordBatch.from_arrays(
+                        [*known, pa.array((high[row] - o2).astype(np.int32)), pa.array((high[row] - o1).astype(np.int32)), pa.array(core.view(np.int64)), pa.array(content.view(np.int64))],
+                        names=[*[k for k in HELD if k not in ("lead", "context")], "a", "b", "core", "content"],
+                    )
 
     return run
 
 
-def splitter(length: int, view: type):
-    """Windows a to b of contexts (core, content, a, b, context) as two fingerprints, with the window's place after a."""
+def splitter(searches: list[Search]):
+    """Windows a to b of contexts as two fingerprints (f, s), with the window's place after a."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            core, content, a, b = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-            for first, data, sizes in joined(batch.column(4).to_pylist(), view.dtype):
-                own = slice(first, first + len(sizes))
-                many = (b[own] - a[own] + 1).astype(np.int64)
-                row = np.repeat(np.arange(len(sizes)), many)
-                offset = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
-                start = (np.cumsum(sizes) - sizes)[row] + a[own][row] + offset
-                f, s = (Rolling(data, i).of(start, start + length).view(np.int64) for i in (0, 1))
-                yield pa.RecordBatch.from_arrays([pa.array(f), pa.array(s), pa.array(core[own][row]), pa.array(content[own][row]), pa.array(offset.astype(np.int32))], names=["f", "s", "core", "content", "offset"])
+            for v, rows in of_search(batch, len(searches)):
+                a, b = (rows.column(k).to_numpy(zero_copy_only=False) for k in ("a", "b"))
+                for own, data, sizes in joined(rows.column("context").to_pylist(), searches[v].view.dtype):
+                    many = (b[own] - a[own] + 1).astype(np.int64)
+                    row = np.repeat(np.arange(len(sizes)), many)
+                    offset = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+                    start = (np.cumsum(sizes) - sizes)[row] + a[own][row] + offset
+                    f, s = (Rolling(data, i).of(start, start + searches[v].length).view(np.int64) for i in (0, 1))
+                    known = [rows.column(k).take(pa.array(own.start + row)) for k in WINDOW]
+                    yield pa.RecordBatch.from_arrays([*known, pa.array(f), pa.array(s), pa.array(offset.astype(np.int32))], names=[*WINDOW, "f", "s", "offset"])
 
     return run
 
 
-def extended(index: LogIndex, matched: DataFrame, texts: DataFrame, length: int, gram: int, view: type) -> DataFrame:
-    """(h, c, runs): the repeated windows of the contexts of matched suffixes, as runs [a, b] of window numbers."""
-    contexts = cut(index.counted(matched).groupBy("h", "c").agg(*index.together(), *any_of(PLACE)), "contexts")
-    several = contexts.groupBy("h").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("h", F.lit(True).alias("several"))
-    kinds = cut(contexts.join(several, "h", "left"), "kinds")
-    runs = lambda a, b: F.array(F.struct(a.cast("int").alias("a"), b.cast("int").alias("b"))).alias("runs")
-    whole = kinds.where(index.company()).select("h", "c", runs(F.lit(0), F.col("n") - 1))
+WINDOW = ["core", "content", "v", *SUMS, "equal"]
+_TYPES = {"h": "long", "c": "long", "v": "byte", "lead": "int", "times": "long", "lo": "long", "hi": "long", "whole": "boolean", "context": "binary", "core": "long", "content": "long", "equal": "boolean", "a": "int", "b": "int", "f": "long", "s": "long", "offset": "int"}
+
+
+def typed(names: list[str]) -> str:
+    return ", ".join(f"{k} {_TYPES[k]}" for k in names)
+
+
+def extended(searches: list[Search], matched: DataFrame, texts: DataFrame) -> DataFrame:
+    """(h, c, v, runs): the repeated windows of the contexts of matched suffixes, as runs [a, b] of window numbers."""
+    repeated = company(searches)
+    runs = lambda a, b: F.array(F.struct(a.cast("int").alias("a"), b.cast("int").alias("b")))
+    contexts = cut(counted(matched).groupBy("h", "c", "v").agg(*together(), *any_of(PLACE)), "contexts")
+    whole = contexts.where(repeated).select("h", "c", "v", runs(F.lit(0), F.col("n") - 1).alias("runs"))
     # one context of each kind, where an anchor has several
-    wanted = kinds.where("several").select("doc_id", "text_hash", F.struct("h", "c", "p", "n", "lead").alias("w"))
-    wanted = wanted.groupBy(F.col("doc_id").alias("d"), F.col("text_hash").alias("t")).agg(F.collect_list("w").alias("wanted"))
+    several = contexts.groupBy("h", "v").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("h", "v")
+    wanted = contexts.join(several, ["h", "v"], "left_semi").withColumn("whole", repeated)
+    wanted = wanted.groupBy(F.col("doc_id").alias("d"), F.col("text_hash").alias("t")).agg(F.collect_list(F.struct(*HELD[:-1], "p", "n")).alias("wanted"))
     same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t"))
-    held = cut(texts.join(wanted, same).select("text", "wanted").mapInPandas(cutter(length, view), "h long, c long, lead int, context binary"), "held")
-    slices = held.select("h", "c", "lead", "context").mapInArrow(slicer(length, gram, view), "h long, c long, a int, b int, core long, content long")
-    slices = cut(slices.join(kinds.select("h", "c", *index.sums, index.company().alias("whole")), ["h", "c"]), "slices")
-    contents = cut(slices.groupBy("core", "content").agg(*index.together(), *any_of(["h", "c", "a", "b"])), "contents")
-    equal = contents.where(index.company()).select("core", "content")
-    left = slices.where("not whole").select("core", "content", "h", "c", "a", "b")
-    found = left.join(equal, ["core", "content"], "left_semi").select("h", "c", runs(F.col("a"), F.col("b")))
-    # cores whose slices differ: one slice of each content, by single windows
-    differ = contents.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core")
-    reps = contents.join(differ, "core", "left_semi").select("core", "content", "h", "c", "a", "b")
-    windows = held.select("h", "c", "context").join(reps, ["h", "c"]).select("core", "content", "a", "b", "context")
-    windows = cut(windows.mapInArrow(splitter(length, view), "f long, s long, core long, content long, offset int").join(contents.select("core", "content", *index.sums), ["core", "content"]) if index.across else windows.mapInArrow(splitter(length, view), "f long, s long, core long, content long, offset int").withColumn("times", F.lit(1).cast("long")), "windows")
-    twice = windows.groupBy("f", "s").agg(*index.together()).where(index.company()).select("f", "s")
-    offsets = windows.join(twice, ["f", "s"], "left_semi").groupBy("core", "content").agg(F.collect_list("offset").alias("offsets"))  # a slice has so many windows at most
+    held = cut(texts.join(wanted, same).select("text", "wanted").mapInPandas(cutter(searches), typed(HELD)), "held")
+    slices = cut(held.mapInArrow(slicer(searches), typed([*[k for k in HELD if k not in ("lead", "context")], "a", "b", "core", "content"])), "slices")
+    # slices with equal symbols are repeated whole
+    contents = slices.groupBy("core", "content", "v").agg(*together(), *any_of(["h", "c", "a", "b"]))
+    contents = cut(contents.withColumn("equal", repeated), "contents")
+    # of cores whose slices differ one slice of each content, by single windows
+    differ = contents.groupBy("core").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("core")
+    reps = contents.join(differ, "core", "left_semi").select("h", "c", "a", "b", *WINDOW)
+    windows = held.select("h", "c", "context").join(reps, ["h", "c"]).select("context", "a", "b", *WINDOW)
+    windows = cut(windows.mapInArrow(splitter(searches), typed([*WINDOW, "f", "s", "offset"])), "windows")
+    twice = windows.groupBy("f", "s", "v").agg(*together()).where(repeated).select("f", "s", "v")
+    offsets = windows.where("not equal").join(twice, ["f", "s", "v"], "left_semi").groupBy("core", "content").agg(F.collect_list("offset").alias("offsets"))  # a slice has so many windows at most
+    marks = contents.where("equal").select("core", "content", F.lit(None).cast("array<int>").alias("offsets")).union(offsets)
     place = lambda o: F.struct((F.col("a") + o).alias("a"), (F.col("a") + o).alias("b"))
-    single = left.join(equal, ["core", "content"], "left_anti").join(offsets, ["core", "content"]).select("h", "c", F.transform("offsets", place).alias("runs"))
-    out = whole.union(found).union(single).groupBy("h", "c").agg(F.flatten(F.collect_list("runs")).alias("runs"))
-    out = cut(out, "runs")
-    forget(contexts, kinds, held, slices, contents, windows)
+    found = slices.where("not whole").select("core", "content", "h", "c", "v", "a", "b").join(marks, ["core", "content"])
+    found = found.select("h", "c", "v", F.coalesce(F.transform("offsets", place), runs(F.col("a"), F.col("b"))).alias("runs"))
+    out = cut(whole.union(found).groupBy("h", "c", "v").agg(F.flatten(F.collect_list("runs")).alias("runs")), "runs")
+    forget(contexts, held, slices, contents, windows)
     return out
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, view: type = Bytes, across: bool = False, batches: int = BATCHES) -> DataFrame:
-    """(doc_id, text, ...) with text_hash and spans, the repeated ranges [a, b) of symbols in order, which may overlap (see merged); null where none is."""
-    gram = min(gram, max(1, length // 2))
+def repeated(docs: DataFrame, searches: list[Search], batches: int = BATCHES) -> DataFrame:
+    """(doc_id, text, ...) with text_hash and spans_0, spans_1 ... of the searches: the repeated ranges [a, b) of symbols in order, which may overlap (see merged); null where none is."""
     keyed = docs.withColumn("text_hash", F.xxhash64("text"))
-    texts = keyed.where(F.octet_length("text") >= view.least * length - view.least + 1).select(F.col("doc_id").cast("long").alias("doc_id"), "text_hash", "text")
+    least = min(x.view.least * x.length - x.view.least + 1 for x in searches)
+    texts = keyed.where(F.octet_length("text") >= least).select(F.col("doc_id").cast("long").alias("doc_id"), "text_hash", "text")
     small_batches(docs)
-    batch = F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(batches))
-    index, tables = LogIndex(across), []
+    number = F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(batches))
+    index, tables = LogIndex(searches), []
     for b in range(batches):
-        tables.append(cut(texts.where(batch == b).mapInArrow(anchorer(length, gram, view), SUFFIXES), "suffixes"))
+        tables.append(cut(texts.where(number == b).mapInArrow(anchorer(searches), SUFFIXES), "suffixes"))
         index.add(tables[-1])
-    if not index.levels:
-        return keyed.withColumn("spans", F.lit(None).cast("array<struct<a:bigint,b:bigint>>"))
-    suffixes = functools.reduce(DataFrame.union, tables)
-    matched = cut(index.matched(suffixes), "matched")
+    matched = cut(index.matched(functools.reduce(DataFrame.union, tables)), "matched")
     index.close()
     forget(*tables)
-    found = extended(index, matched, texts, length, gram, view)
+    found = extended(searches, matched, texts)
+    length = F.element_at(F.array(*[F.lit(x.length) for x in searches]), F.col("v") + 1)
     ranges = F.transform("runs", lambda r: F.struct((F.col("p") + r["a"]).alias("a"), (F.col("p") + r["b"] + length).alias("b")))
-    marked = matched.join(found, ["h", "c"]).select("doc_id", "text_hash", ranges.alias("spans"))
-    marked = marked.groupBy(F.col("doc_id").alias("d"), F.col("text_hash").alias("t")).agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
+    marked = matched.join(found, ["h", "c", "v"]).select("doc_id", "text_hash", "v", ranges.alias("spans"))
+    spans = [F.array_sort(F.flatten(F.collect_list(F.when(F.col("v") == v, F.col("spans"))))) for v in range(len(searches))]
+    marked = marked.groupBy(F.col("doc_id").alias("d"), F.col("text_hash").alias("t")).agg(*[F.when(F.size(x) > 0, x).alias(f"spans_{v}") for v, x in enumerate(spans)])
     marked = cut(marked, "marked")
     forget(matched, found)
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t"))
     return keyed.join(marked, same, "left").drop("d", "t")
 
 
+def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, view: type = Bytes, across: bool = False, batches: int = BATCHES) -> DataFrame:
+    """(doc_id, text, ...) with text_hash and spans, of one search."""
+    search = Search(view, length, min(gram, max(1, length // 2)), across)
+    return repeated(docs, [search], batches).withColumnRenamed("spans_0", "spans")
+
+
 def word_bounds(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the words of data."""
     d = np.frombuffer(data, np.uint8)
@@ -426,21 +473,8 @@ def passages(docs: DataFrame, words: int = WORDS, length: int = LENGTH) -> DataF
     A string of length bytes with fewer words is only in texts that have such a
     window, so the texts' bytes are compared among these alone.
     """
-
-    def only_wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array([wide(t.as_py().encode(), words, length) for t in batch.column(1)], pa.bool_()))
-
-    none = F.lit(None).cast("array<struct<a:bigint,b:bigint>>")
-    able = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    small_batches(docs)
-    marked = repeats(able, words, WORD_GRAM, Words).where(F.col("spans").isNotNull()).select("doc_id", "text_hash", F.col("spans").alias("in_words"), none.alias("in_bytes"))
-    some = cut(able.where(F.octet_length("text") >= length).mapInArrow(only_wide, "doc_id long, text string"), "wide")
-    found = repeats(some, length).where(F.col("spans").isNotNull())
-    marked = marked.union(found.select("doc_id", "text_hash", none, "spans"))
-    marked = marked.groupBy(F.col("doc_id").alias("d"), F.col("text_hash").alias("t")).agg(*[F.first(c, True).alias(c) for c in ("in_words", "in_bytes")])
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("d")) & (F.xxhash64("text") == F.col("t"))
-    return docs.join(marked, same, "left").drop("d", "t")
+    found = repeated(docs, [Search(Words, words, WORD_GRAM), Search(Bytes, length, GRAM, few_words=words)])
+    return found.drop("text_hash").withColumnsRenamed({"spans_0": "in_words", "spans_1": "in_bytes"})
 
 
 def spans_of(data: bytes, in_words, in_bytes) -> list[tuple[int, int]]:
@@ -477,19 +511,17 @@ def op2_log_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     which also start in another text or another document, and their maximal runs.
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    shared = repeats(docs, WORDS, WORD_GRAM, Words, across=True).select(F.col("doc_id").alias("d"), F.col("text_hash").alias("t"), F.col("spans").alias("passages")).where(F.col("passages").isNotNull()).dropDuplicates(["d", "t"])
-    found = repeats(docs)
-    found = found.join(shared, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t")), "left")
+    found = repeated(docs, [Search(Bytes, LENGTH, GRAM), Search(Words, WORDS, WORD_GRAM, across=True)])
 
     def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for text, spans, passages in zip(pdf.text, pdf.spans, pdf.passages):
+            for text, spans, passages in zip(pdf.text, pdf.spans_0, pdf.spans_1):
                 data, gone, words = (text or "").encode(), merged(spans), merged(passages)
                 rows.append((len(data), sum(b - a for a, b in gone), len(gone), hashlib.sha256(without(data, gone)).hexdigest(), sum(b - a for a, b in words), len(words)))
             yield pd.DataFrame({"doc_id": pdf.doc_id, **{k: [r[i] for r in rows] for i, k in enumerate(("n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_words", "n_passages"))}})
 
-    return found.select("doc_id", "text", "spans", "passages").mapInPandas(digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage_words long, n_passages long")
+    return found.select("doc_id", "text", "spans_0", "spans_1").mapInPandas(digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage_words long, n_passages long")
 
 
 OP2_SQL = r"""
