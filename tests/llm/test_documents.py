@@ -230,6 +230,18 @@ def test_packing(spark):
     assert packing.pack(rows.union(rows)).count() == 2 * len(got)
 
 
+def test_encoder_is_dropped_when_idle(monkeypatch):
+    import time
+
+    monkeypatch.setattr(packing, "KEEP", 0.3)
+    first = packing.take_encoder(packing.default_vocabulary())
+    packing.leave_encoder(packing.default_vocabulary(), first)
+    assert packing.take_encoder(packing.default_vocabulary()) is first and not packing._LEFT
+    packing.leave_encoder(packing.default_vocabulary(), first)
+    time.sleep(1)
+    assert not packing._LEFT
+
+
 # licences
 
 

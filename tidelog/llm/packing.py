@@ -9,8 +9,9 @@ the base-two logarithm of the length.
 
 All work is one narrow stage over the scan: nothing is shuffled.  Words that
 white space separates are tokenized on their own (the tokenizer's pieces never
-cross white space), so each distinct word is encoded once per task; the table of
-encoded words is emptied when it reaches ``CACHED_WORDS`` and ends with the task.
+cross white space), so each distinct word is encoded once per task, or per tasks in a
+row; the table of encoded words is emptied when it reaches ``CACHED_WORDS``, and
+gone ``KEEP`` seconds after a worker's last task.
 
 Edge cases: null and empty texts are the end token alone, one piece of length 1;
 repeated rows are packed each on their own; extra columns are not read.
@@ -20,6 +21,8 @@ from __future__ import annotations
 
 import os
 import re
+import threading
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +36,8 @@ LONGEST = 4096
 END = 2
 VOCABULARY = "word_bpe_49k.json"
 CACHED_WORDS = 300_000
+#: Seconds for which a worker holds an encoder that no task uses.
+KEEP = 3.0
 #: Bytes of token ids in an output batch.
 BATCH_BYTES = 8_000_000
 #: What only special tokens hold, and punctuation at the end of ASCII letters and digits (without the apostrophe of contractions).
@@ -57,6 +62,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(vocabulary)
         known = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(known.values()) + 1, bool)
+        self.left = 0.0
         self.ends_word[[i for t, i in known.items() if t.endswith("</w>")]] = True
         self.clear()
 
@@ -115,6 +121,35 @@ class Encoder:
         return np.split(ids, upto[:-1])
 
 
+#: The encoder that the last task of this worker left, until KEEP seconds are over.
+_LEFT: list[tuple[str, Encoder]] = []
+_LOCK = threading.Lock()
+
+
+def take_encoder(vocabulary: str) -> Encoder:
+    """The encoder that a task has just left, with its table of words, or a new one."""
+    with _LOCK:
+        left = [e for v, e in _LEFT if v == vocabulary]
+        _LEFT.clear()
+    return left[0] if left else Encoder(vocabulary)
+
+
+def leave_encoder(vocabulary: str, encoder: Encoder) -> None:
+    """Leave the encoder to a task that follows soon; after KEEP seconds its memory is free for other stages."""
+    encoder.left = time.monotonic()
+    with _LOCK:
+        _LEFT[:] = [(vocabulary, encoder)]
+    held = threading.Timer(KEEP, drop_encoder, [encoder])
+    held.daemon = True
+    held.start()
+
+
+def drop_encoder(encoder: Encoder) -> None:
+    with _LOCK:
+        if _LEFT and _LEFT[0][1] is encoder and time.monotonic() - encoder.left >= KEEP * 0.9:
+            _LEFT.clear()
+
+
 def blocks(texts: list, size: int = 1 << 20) -> Iterator[list[int]]:
     """Places of texts in runs of about size characters."""
     some, held = [], 0
@@ -137,7 +172,7 @@ def cuts(n: int, longest: int = LONGEST) -> list[int]:
 
 def packer(vocabulary: str, end: int, longest: int):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary)
+        encoder = take_encoder(vocabulary)
         schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64())])
         out: list[list] = [[] for _ in schema]
         held = 0
@@ -155,6 +190,7 @@ def packer(vocabulary: str, end: int, longest: int):
                         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
                         out, held = [[] for _ in schema], 0
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
+        leave_encoder(vocabulary, encoder)
 
     return pack
 
