@@ -73,7 +73,8 @@ def undigits(s: Column) -> Column:
 
 def fingerprints(docs: DataFrame, k: int = K) -> DataFrame:
     """(doc_id, text) to doc_id, sketch, fingerprint, n_shingles: one narrow stage."""
-    out = docs.select("doc_id", sketch(words_of(F.col("text")), k).alias("sketch"))
+    words = docs.select("doc_id", words_of(F.col("text")).alias("words"))  # a column of its own: the sketch's lambda refers to it at every place
+    out = words.select("doc_id", sketch(F.col("words"), k).alias("sketch"))
     return out.select("doc_id", "sketch", digits(F.col("sketch")).alias("fingerprint"), distinct_shingles(F.col("sketch"), k).alias("n_shingles"))
 
 
