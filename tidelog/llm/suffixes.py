@@ -224,9 +224,10 @@ PLACE = ["doc_id", "text_hash", "p", "n", "lead"]
 SUMS = ["times", "lo", "hi"]
 
 
-def counted(rows: DataFrame) -> DataFrame:
-    """rows with the columns that together() sums."""
-    who = F.xxhash64("doc_id", "text_hash")
+def counted(rows: DataFrame, searches: list[Search]) -> DataFrame:
+    """rows with the columns that together() sums; documents only count where the search asks for two of them."""
+    across = [v for v, x in enumerate(searches) if x.across]
+    who = F.when(F.col("v").isin(across), F.xxhash64("doc_id", "text_hash")).otherwise(F.lit(0).cast("long"))
     return rows.withColumns({"times": F.lit(1).cast("long"), "lo": who, "hi": who})
 
 
@@ -259,11 +260,11 @@ class LogIndex:
     def __init__(self, searches: list[Search]):
         self.levels: list[Level] = []
         self.seeds: list[DataFrame] = []
-        self.company = company(searches)
+        self.searches, self.company = searches, company(searches)
 
     def add(self, suffixes: DataFrame) -> None:
         """Add a batch of documents by the suffixes at their anchors."""
-        batch = Level(counted(suffixes).groupBy("h", "v").agg(*together()))
+        batch = Level(counted(suffixes, self.searches).groupBy("h", "v").agg(*together()))
         # the merge-scan: one pass over the batch and all levels
         both = batch.rows.withColumn("new", F.lit(True))
         for level in self.levels:
@@ -391,7 +392,7 @@ def extended(searches: list[Search], matched: DataFrame, texts: DataFrame) -> Da
     """(h, c, v, runs): the repeated windows of the contexts of matched suffixes, as runs [a, b] of window numbers."""
     repeated = company(searches)
     runs = lambda a, b: F.array(F.struct(a.cast("int").alias("a"), b.cast("int").alias("b")))
-    contexts = cut(counted(matched).groupBy("h", "c", "v").agg(*together(), *any_of(PLACE)), "contexts")
+    contexts = cut(counted(matched, searches).groupBy("h", "c", "v").agg(*together(), *any_of(PLACE)), "contexts")
     whole = contexts.where(repeated).select("h", "c", "v", runs(F.lit(0), F.col("n") - 1).alias("runs"))
     # one context of each kind, where an anchor has several
     several = contexts.groupBy("h", "v").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("h", "v")
@@ -408,6 +409,7 @@ def extended(searches: list[Search], matched: DataFrame, texts: DataFrame) -> Da
     reps = contents.join(differ, "core", "left_semi").select("h", "c", "a", "b", *WINDOW)
     windows = held.select("h", "c", "context").join(reps, ["h", "c"]).select("context", "a", "b", *WINDOW)
     windows = cut(windows.mapInArrow(splitter(searches), typed([*WINDOW, "f", "s", "offset"])), "windows")
+    forget(held)
     twice = windows.groupBy("f", "s", "v").agg(*together()).where(repeated).select("f", "s", "v")
     offsets = windows.where("not equal").join(twice, ["f", "s", "v"], "left_semi").groupBy("core", "content").agg(F.collect_list("offset").alias("offsets"))  # a slice has so many windows at most
     marks = contents.where("equal").select("core", "content", F.lit(None).cast("array<int>").alias("offsets")).union(offsets)
@@ -415,7 +417,7 @@ def extended(searches: list[Search], matched: DataFrame, texts: DataFrame) -> Da
     found = slices.where("not whole").select("core", "content", "h", "c", "v", "a", "b").join(marks, ["core", "content"])
     found = found.select("h", "c", "v", F.coalesce(F.transform("offsets", place), runs(F.col("a"), F.col("b"))).alias("runs"))
     out = cut(whole.union(found).groupBy("h", "c", "v").agg(F.flatten(F.collect_list("runs")).alias("runs")), "runs")
-    forget(contexts, held, slices, contents, windows)
+    forget(contexts, slices, contents, windows)
     return out
 
 
@@ -425,7 +427,7 @@ def repeated(docs: DataFrame, searches: list[Search], batches: int = BATCHES) ->
     least = min(x.view.least * x.length - x.view.least + 1 for x in searches)
     texts = keyed.where(F.octet_length("text") >= least).select(F.col("doc_id").cast("long").alias("doc_id"), "text_hash", "text")
     small_batches(docs)
-    number = F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(batches))
+    number = F.pmod(F.xxhash64("doc_id"), F.lit(batches))
     index, tables = LogIndex(searches), []
     for b in range(batches):
         tables.append(cut(texts.where(number == b).mapInArrow(anchorer(searches), SUFFIXES), "suffixes"))
