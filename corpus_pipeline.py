@@ -62,7 +62,10 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in serving order, once for each epoch that serves them; the one that the cut splits ends at it."""
+    """Documents in serving order, once for each epoch that serves them; the one that the cut splits ends at it.
+
+    The stage's files, by name, are in that order; a reader that needs it reads them so.
+    """
     mixed = mixing.schedule(mixing.mix(docs, COLUMNS))
     # the words after the cut are the last part of a split with one part for each word before it
     lead = F.when(F.col("text").rlike("^" + SPACE), 1).otherwise(0)
