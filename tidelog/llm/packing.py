@@ -35,7 +35,7 @@ from .common import small_batches, table
 LONGEST = 4096
 END = 2
 VOCABULARY = "word_bpe_49k.json"
-CACHED_WORDS = 300_000
+CACHED_WORDS = 600_000
 #: Seconds for which a worker holds an encoder that no task uses.
 KEEP = 3.0
 #: Bytes of token ids in an output batch.
