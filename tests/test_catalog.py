@@ -69,3 +69,21 @@ def test_top_k_is_a_bounded_heap(spark):
 def test_searches_ask_with_every_fiftieth_row(spark, name):
     asked = {r.qid for r in catalog.QUERIES[name](spark, SF).select("qid").distinct().collect()}
     assert asked == set(range(0, 500, 50))
+
+
+@pytest.mark.parametrize("n", [0, 1, 60_000])
+def test_positions_of_many_rows(spark, monkeypatch, n):
+    """The wide rows' partitions are merged otherwise than those of the keys alone."""
+    monkeypatch.setattr(catalog, "RANGE_ROWS", 1_000, raising=False)
+    small = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k"}
+    before = {k: spark.conf.get(k) for k in small}
+    try:
+        for k, v in small.items():
+            spark.conf.set(k, v)
+        rows = spark.range(0, n, 1, 7).selectExpr("concat('k', id * 7919 % 60000) as key", "sha2(cast(id as string), 512) as value")
+        got = catalog.positions(rows).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert [r.key for r in sorted(got, key=lambda r: r.pos)] == sorted(f"k{i * 7919 % 60000}" for i in range(n))
+    assert sorted(r.pos for r in got) == list(range(1, n + 1))
