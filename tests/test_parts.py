@@ -165,3 +165,42 @@ def test_large_filters_are_joined(spark, monkeypatch):
     assert sorted(map(tuple, f.probe(asked).collect())) == want and sum(m for _, m in want) < 530
     with pytest.raises(InvalidArgument):
         f.encode()
+
+
+@pytest.mark.parametrize("metric", ["cosine", "euclidean_squared"])
+def test_copies_are_ranked_by_key(spark, monkeypatch, metric):
+    """Rounded distances that tie go by key, in blocks, in one pass and over an index."""
+    x = np.repeat(np.random.default_rng(9).normal(size=(40, 16)).astype("f4"), 25, axis=0)
+    x += (np.random.default_rng(10).normal(size=x.shape) * 1e-9).astype("f4")
+    rows = spark.createDataFrame([(f"v{i:04}", i, v.tolist()) for i, v in enumerate(x)], "key string, seq long, embedding array<float>")
+    asked = spark.createDataFrame([(i * 25, x[i * 25].tolist()) for i in range(40)], "qid int, query array<float>")
+    want = [(q, f"v{q + r:04}", r + 1, 0.0) for q in range(0, 1000, 25) for r in range(10)]
+    got = lambda found: [(r.qid, r.key, r["rank"], r.distance) for r in found.orderBy("qid", "rank").collect()]
+    assert got(knn.knn_join(rows, asked, 10, metric, 6)) == want
+    assert got(knn.knn_join_columns(rows, asked, 10, metric, 6)) == want
+    for name, value in {"QUERY_BYTES": 0, "BLOCK_BYTES": 16 * 8 * 70, "TILE": 300, "TASK_PAIRS": 1000}.items():
+        monkeypatch.setattr(knn, name, value)
+    assert got(knn.knn_join(rows, asked, 10, metric, 6)) == want
+
+
+def test_a_search_over_an_index_holds_tiles_alone(spark, tmp_path):
+    """Distances are matrices of at most TILE, not an expression for each pair of rows."""
+    x = np.random.default_rng(11).normal(size=(400, 8)).astype("f4")
+    rows = spark.createDataFrame([(f"v{i:03}", i, v.tolist()) for i, v in enumerate(x)], "key string, seq long, embedding array<float>")
+    asked = spark.createDataFrame([(i, x[i].tolist()) for i in range(0, 400, 20)], "qid int, query array<float>")
+    index = ivf.IvfIndex.build(rows, str(tmp_path / "index"), 400, cells=8)
+    found = ivf.ivf_join(index, asked, 10, 8, rows)
+    assert "FlatMapCoGroupsInPandas" in found._jdf.queryExecution().toString()
+    select = lambda d: d.orderBy("qid", "rank").select("qid", "key", "rank").collect()
+    assert select(found) == select(knn.knn_join(rows, asked, 10))
+    assert ivf.ivf_join(index, asked.where("qid < 0"), 10, 8, rows).count() == 0
+
+
+def test_tiles_stay_small(monkeypatch):
+    """As many queries as a table of a million asks, against one batch of rows."""
+    x = np.random.default_rng(12).normal(size=(10_000, 4))
+    seen, was = [], knn._distances
+    monkeypatch.setattr(knn, "_distances", lambda q, v, metric: seen.append(len(q) * len(v)) or was(q, v, metric))
+    keys = np.arange(10_000).astype(object)
+    out = knn._best(list(range(2_000)), knn._matrix(x[:2_000], "cosine"), iter([(keys, list(x))]), 10, "cosine", None)
+    assert len(out) == 20_000 and max(seen) <= knn.TILE

@@ -15,10 +15,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.distance import distance
 from ..schema import COSINE, INNER_PRODUCT, VECTOR
 from . import knn
 from .merge import latest
@@ -35,7 +34,7 @@ def train_centroids(vectors: DataFrame, cells: int, metric: str = COSINE, seed:
     rng = np.random.default_rng(seed)
     c = x[rng.choice(len(x), min(cells, len(x)), replace=False)]
     for _ in range(rounds):
-        at = ranked(x, c)[:, 0]
+        at = closest(x, c)
         sums = np.zeros_like(c)
         np.add.at(sums, at, x)
         n = np.bincount(at, minlength=len(c))
@@ -55,8 +54,17 @@ def default_probes(cells: int) -> int:
 
 def ranked(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     """Cells from nearest to farthest for each row."""
-    d = (centroids * centroids).sum(1)[None, :] - 2 * x @ centroids.T
-    return np.argsort(d, axis=1, kind="stable")
+    return np.argsort(_away(x, centroids), axis=1, kind="stable")
+
+
+def _away(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    return (centroids * centroids).sum(1)[None, :] - 2 * x @ centroids.T
+
+
+def closest(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    """The nearest cell of each row, by slices of rows that keep distances few."""
+    step = max(1, knn.TILE // len(centroids))
+    return np.concatenate([_away(x[i : i + step], centroids).argmin(axis=1) for i in range(0, len(x), step)])
 
 
 def assign(vectors: DataFrame, centroids: np.ndarray, metric: str = COSINE) -> DataFrame:
@@ -68,7 +76,7 @@ def assign(vectors: DataFrame, centroids: np.ndarray, metric: str = COSINE) -> D
                 x = np.stack([np.asarray(v, np.float64) for v in pdf.embedding])
                 if metric == COSINE:
                     x /= np.linalg.norm(x, axis=1, keepdims=True)
-                yield pdf.assign(cell=ranked(x, centroids)[:, 0].astype(np.int32))
+                yield pdf.assign(cell=closest(x, centroids).astype(np.int32))
 
     key_type = vectors.schema["key"].dataType.simpleString()
     return vectors.select("key", "seq", "embedding").mapInPandas(run, f"key {key_type}, seq long, embedding array<float>, cell int")
@@ -126,8 +134,9 @@ def probed(queries: DataFrame, centroids: np.ndarray, probes: int, metric: str)
     """(qid, query, cell): each query with the cells that it reads."""
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
+        step = max(1, knn.TILE // max(1, len(centroids)))
+        for pdf in (whole.iloc[i : i + step] for whole in batches for i in range(0, len(whole), step)):
+            if len(centroids):
                 x = np.stack([np.asarray(v, np.float64) for v in pdf["query"]])
                 if metric == COSINE:
                     x /= np.linalg.norm(x, axis=1, keepdims=True)
@@ -138,10 +147,12 @@ def probed(queries: DataFrame, centroids: np.ndarray, probes: int, metric: str)
     return queries.select("qid", "query").mapInPandas(probe, f"qid {qid_type}, query array<float>, cell int")
 
 
-def ivf_join(index: IvfIndex, queries: DataFrame, k: int, probes: int, like: DataFrame) -> DataFrame:
-    """(qid, key, distance, rank) of many queries over a built index: an equi-join on cell with its table, which only the cells asked for are read of."""
+def ivf_join(index: IvfIndex, queries: DataFrame, k: int, probes: int, like: DataFrame, digits: int | None = None) -> DataFrame:
+    """(qid, key, distance, rank) of many queries over a built index: blocks of each cell's vectors against blocks of the queries that read it, of the cells asked for alone; distances are rounded to digits before they are ranked."""
     spark = queries.sparkSession
-    pairs = index.rows(spark, like).join(probed(queries, index.centroids, probes, index.metric), "cell")
-    pairs = pairs.select("qid", "key", distance(F.col("embedding"), F.col("query"), index.metric, "double").alias("distance"))
-    rank = F.row_number().over(Window.partitionBy("qid").orderBy("distance", "key"))
-    return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
+    rows, asked = index.rows(spark, like), probed(queries, index.centroids, probes, index.metric)
+    readers = {r.cell: r.n for r in asked.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a cell
+    held = rows.where(F.col("cell").isin(list(readers)))
+    counts = {r.cell: (r.n, readers[r.cell]) for r in held.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
+    found = knn.blocked(held, asked, counts, index.centroids.shape[1] or 1, k, index.metric, digits)
+    return knn.numbered(found, k)
