@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -539,3 +540,33 @@ def test_edited_texts(spark, tmp_path):
         m = len(x) // 3
         edited = x[: len(x) - m] + y[:m]
         assert got[a].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest() and got[a].n_chars == len(x)
+
+
+@pytest.mark.parametrize("kind", [pa.string(), pa.large_string()])
+def test_language_model_takes_tokens_of_many_texts_at_once(kind):
+    rng = random.Random(5)
+    letters = [*map(chr, range(140)), *"éßİ中😀\x85 ", *" \nA" * 30]
+    texts = ["".join(rng.choices(letters, k=rng.randrange(120))) for _ in range(400)]
+    texts += [None, "", "  ", "a", " a", "a ", *("x" * n for n in (7, 8, 9, 63, 64, 65, 5000)), None]
+    for some in (pa.array(texts, kind), pa.array(texts, kind).slice(17, 90), pa.array(texts, kind).slice(400), pa.array([None], kind), pa.array([""], kind)):
+        h, spelled, sizes = maxent.tokens_in(some)
+        tokens = [(t or "").encode().lower().split() + [maxent.END] for t in some.to_pylist()]
+        words = [w for x in tokens for w in x]
+        assert sizes.tolist() == [len(x) for x in tokens]
+        assert h.tolist() == [maxent.token_hash(w) for w in words] and spelled.tolist() == [maxent.spelling(w) for w in words]
+        assert len(set(h.tolist())) == len(set(words))
+
+
+@pytest.mark.parametrize("table", [40, 3000])
+def test_language_model_sums_the_slopes_of_each_row(table):
+    rng = np.random.default_rng(3)
+    slope = rng.normal(size=(maxent.STEP, 96)).astype(np.float32)
+    room = maxent.Room(96)
+    for spread in (0.02, 0.3, 1.0):  # rows used hundreds of times, and once
+        own = (rng.random(maxent.STEP) ** (1 / spread) * table).astype(np.uint16)
+        for n in (maxent.STEP, 700, 1):
+            rows, sums = maxent.summed(slope[:n], own[:n], room, table)
+            want, got = np.zeros((2, table, 96))
+            np.add.at(want, own[:n], slope[:n])
+            got[rows] = sums
+            assert np.abs(got - want).max() < 1e-3 and len(set(rows.tolist())) == len(rows)

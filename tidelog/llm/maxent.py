@@ -29,15 +29,15 @@ columns are not read.
 
 from __future__ import annotations
 
+import functools
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -56,105 +56,153 @@ FREQUENT = 200_000
 ROUNDS = 3
 STEP = 2048
 RATE = 0.2
-CACHED_WORDS = 150_000
+#: Uses of a row in a step that are added for all rows at once; further ones, of few rows, are summed by a product of matrices.  Tables of so few rows are summed whole.
+USES, FEW_ROWS = 10, 64
+#: Distinct tokens that a task counts before it hands them on, in batches of a quarter of that.
+COUNTED = 150_000
 TASK_TOKENS, FAN = 100_000_000, 64
 #: A token that is no word: it holds a space.
 END = b" end"
 
 
-def token_hash(word: bytes) -> int:
-    v = xxhash.xxh3_64_intdigest(word)
-    return v - (1 << 64) if v >= 1 << 63 else v
+#: Lower-case bytes, and bytes that separate words.
+LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
+SPACES = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
+#: Longer words are hashed one by one.
+LONG = 64
+MIX, LAST_MIX = 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93
 
 
-class Spellings(dict):
-    """Last two bytes of a word -> its class among the spellings."""
-
-    def __missing__(self, tail: bytes) -> int:
-        v = self[tail] = zlib.crc32(tail) % SPELLINGS
-        return v
+def token_hash(word: bytes) -> int:
+    """A hash of 64 bits, eight bytes at a time, what hashes() has for many words; fewer are ended by a byte that no text has, so words of at most eight bytes never share one."""
+    if len(word) > LONG:
+        v = xxhash.xxh3_64_intdigest(word)
+    else:
+        v, mask = 0, (1 << 64) - 1
+        for i in range(0, len(word), 8):
+            v = (v ^ int.from_bytes((word[i:] + b"\xff")[:8], "little")) * MIX & mask
+            v ^= v >> 32
+        v = v * LAST_MIX & mask
+        v ^= v >> 29
+    return v - (1 << 64) if v >= 1 << 63 else v
 
 
-_SPELLING = Spellings()
+def hashes(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """token_hash() of the words of those places and sizes in data, which has eight bytes more after the last."""
+    eight = np.ndarray(max(0, len(data) - 7), "<u8", data, strides=(1,))
+    keep = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+    end = np.array([*(255 << 8 * i for i in range(8)), 0], np.uint64)
+    v = np.zeros(len(size), np.uint64)
+    some = np.flatnonzero(size <= LONG)
+    done = 0
+    while len(some):
+        every = len(some) == len(v)
+        at, left = (start, size) if every else (start[some], size[some])
+        x = eight[at + done]
+        held = np.minimum(left - done, 8)
+        x &= keep[held]
+        x |= end[held]
+        x ^= v if every else v[some]
+        x *= np.uint64(MIX)
+        x ^= x >> np.uint64(32)
+        if every:
+            v = x
+        else:
+            v[some] = x
+        done += 8
+        some = some[left > done]
+    v *= np.uint64(LAST_MIX)
+    v ^= v >> np.uint64(29)
+    for i in np.flatnonzero(size > LONG):
+        v[i] = xxhash.xxh3_64_intdigest(data[start[i] : start[i] + size[i]].tobytes())
+    return v.view(np.int64)
 
 
 def spelling(word: bytes) -> int:
-    return _SPELLING[word[-2:]]
-
-
-def hashes_of(words: list[bytes]) -> np.ndarray:
-    digest = xxhash.xxh3_64_intdigest
-    return np.array([digest(w) for w in words], np.uint64).view(np.int64)
+    return zlib.crc32(word[-2:]) % SPELLINGS
 
 
-def spellings_of(words: list[bytes]) -> np.ndarray:
-    return np.array([_SPELLING[w[-2:]] for w in words], np.int32)
+@functools.cache
+def spellings() -> np.ndarray:
+    """Classes of words by their last two bytes, then of words of one byte."""
+    return np.array([spelling(bytes((i >> 8, i & 255))) for i in range(1 << 16)] + [spelling(bytes((i,))) for i in range(256)], np.int32)
 
 
 def part_of(h: np.ndarray) -> np.ndarray:
     return (h & (PARTS - 1)).astype(np.int32)
 
 
-def tokens_of(text: str | None) -> list[bytes]:
-    out = (text or "").encode().lower().split()
-    out.append(END)
-    return out
+def tokens_in(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash and spelling of each token of the texts, in order, the end token last in each; and the count of tokens of each text."""
+    texts = pc.fill_null(texts, "")
+    _, offsets, held = texts.buffers()
+    offsets = np.frombuffer(offsets, np.int64 if pa.types.is_large_string(texts.type) else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    n = offsets[-1] - offsets[0]
+    data = np.zeros(n + 8, np.uint8)
+    if n:
+        np.take(LOWER, np.frombuffer(held, np.uint8)[offsets[0] : offsets[-1]], out=data[:n], mode="clip")
+    offsets -= offsets[0]
+    word = ~SPACES[data[:n]]
+    apart = np.ones(n + 1, bool)  # no word goes on from the byte before
+    apart[1:] = ~np.append(word, False)[:-1]
+    apart[offsets] = True
+    start = np.flatnonzero(word & apart[:-1])
+    apart[:-1] |= ~word
+    size = np.flatnonzero(word & apart[1:]) + 1 - start
+    tail = start + size
+    tail = np.where(size > 1, data[tail - 2].astype(np.int32) << 8, 1 << 16) | data[tail - 1]
+    sizes = np.diff(np.searchsorted(start, offsets)) + 1
+    h, spelled = np.full(len(start) + len(texts), token_hash(END)), np.full(len(start) + len(texts), spelling(END), np.int32)
+    inside = np.ones(len(h), bool)
+    inside[np.cumsum(sizes) - 1] = False
+    h[inside], spelled[inside] = hashes(data, start, size), spellings()[tail]
+    return h, spelled, sizes
 
 
 def count_tokens(docs: DataFrame) -> DataFrame:
     """(text) to token (hash), spelling, n."""
 
-    def flush(counts: Counter) -> pa.RecordBatch:
-        words = list(counts)
-        return pa.RecordBatch.from_arrays([pa.array(hashes_of(words)), pa.array(spellings_of(words)), pa.array(list(counts.values()), pa.int64())], names=["token", "spelling", "n"])
+    def counted(some: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+        whole = pa.Table.from_batches(some).group_by(["token", "spelling"], use_threads=False).aggregate([("n", "sum")])
+        return whole.rename_columns({"n_sum": "n"}).select(["token", "spelling", "n"]).combine_chunks().to_batches(max_chunksize=COUNTED // 4)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
-        for batch in batches:
-            for text in batch.column(0):
-                counts.update(tokens_of(text.as_py()))
-                if len(counts) > CACHED_WORDS:
-                    yield flush(counts)
-                    counts.clear()
-        yield flush(counts)
+        some: list[pa.RecordBatch] = []
+        for texts, _ in blocks(batches, 0):
+            h, spelled, _ = tokens_in(texts)
+            some += counted([pa.RecordBatch.from_arrays([pa.array(h), pa.array(spelled), pa.array(np.ones(len(h), np.int64))], names=["token", "spelling", "n"])])
+            if sum(b.num_rows for b in some) > 2 * COUNTED:
+                some = counted(some)
+                if sum(b.num_rows for b in some) > COUNTED:
+                    yield from some
+                    some = []
+        if some:
+            yield from counted(some)
 
     return docs.select("text").mapInArrow(run, "token long, spelling int, n long").groupBy("token", "spelling").agg(F.sum("n").alias("n"))
 
 
 class Vocabulary:
-    """Words to places in arrays of their class, feature hash and frequency, filled as words come."""
+    """Classes and training counts of tokens by their hashes."""
 
     def __init__(self, frequent: np.ndarray, counts: np.ndarray, singles: np.ndarray):
         self.frequent, self.counts = frequent, counts  # sorted hashes and their counts
         self.order = singles.argsort()
         self.singles = singles[self.order]
-        self.clear()
-
-    def clear(self) -> None:
-        self.index: dict[bytes, int] = {}
-        self.hash = np.zeros(0, np.int64)
-        self.cls = np.zeros(0, np.int32)
-        self.n = np.zeros(0, np.int64)
-
-    def learn(self, words: list[bytes]) -> None:
-        h = hashes_of(words)
-        at = np.minimum(np.searchsorted(self.frequent, h), max(0, len(self.frequent) - 1))
-        n = np.where(self.frequent[at] == h, self.counts[at], -1) if len(self.frequent) else np.full(len(h), -1)
+
+    def tokens(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct hashes, counts (-1: not frequent) and classes of these; the place in them of each token of the texts; and the count of tokens of each text."""
+        h, spelled, sizes = tokens_in(texts)
+        coded = pa.array(h).dictionary_encode()
+        h, at = coded.dictionary.to_numpy(), coded.indices.to_numpy()
+        where = np.minimum(np.searchsorted(self.frequent, h), max(0, len(self.frequent) - 1))
+        n = np.where(self.frequent[where] == h, self.counts[where], -1) if len(self.frequent) else np.full(len(h), -1)
+        cls = np.empty(len(h), np.int32)
+        cls[at] = spelled + SINGLES
         own = np.minimum(np.searchsorted(self.singles, h), len(self.singles) - 1)
-        cls = np.where(self.singles[own] == h, self.order[own], SINGLES + spellings_of(words)).astype(np.int32)
-        self.index.update(zip(words, range(len(self.hash), len(self.hash) + len(words))))
-        self.hash, self.cls, self.n = np.concatenate([self.hash, h]), np.concatenate([self.cls, cls]), np.concatenate([self.n, n])
-
-    def places(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
-        """Places of all tokens of the texts, and the count of tokens of each text."""
-        if len(self.index) > CACHED_WORDS:
-            self.clear()
-        tokens = [tokens_of(t) for t in texts]
-        sizes = np.array([len(t) for t in tokens], np.int64)
-        flat = list(chain.from_iterable(tokens))
-        if new := set(flat).difference(self.index):
-            self.learn(list(new))
-        return np.fromiter(map(self.index.__getitem__, flat), np.int64, len(flat)), sizes
+        single = self.singles[own] == h
+        cls[single] = self.order[own[single]]
+        return h, n, cls, at, sizes
 
 
 def history(h: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
@@ -196,69 +244,100 @@ def of_parts(weights: np.ndarray) -> list[np.ndarray]:
     return [weights[:SPELLINGS], *(weights[SPELLINGS + i * rows : SPELLINGS + (i + 1) * rows] for i in range(PART_SLOTS))]
 
 
-def energies(weights: list[np.ndarray], rows: list[np.ndarray], bias: np.ndarray | None = None) -> np.ndarray:
-    """Sums of the features' weights for each outcome, the largest 0 where any is large."""
-    z = np.take(weights[0], rows[0], axis=0)
+class Room:
+    """Arrays that steps write to, made once for a task: fresh ones of their size cost more than the sums in them."""
+
+    def __init__(self, outcomes: int, tokens: int = STEP):
+        self.slope, self.some, self.new = (np.empty((tokens, outcomes), np.float32) for _ in range(3))
+        self.ones = np.ones(max(tokens, outcomes), np.float32)
+
+
+def rows_of(table: np.ndarray, rows: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """Those rows of a table, in the first rows of out; rows are known to be in the table."""
+    return table.take(rows, 0, out[: len(rows)], "clip")
+
+
+def energies(weights: list[np.ndarray], rows: list[np.ndarray], bias: np.ndarray | None = None, room: Room | None = None) -> np.ndarray:
+    """Sums of the features' weights for each outcome, the largest 0 where any is large; in the room's slope."""
+    room = room or Room(weights[0].shape[1], len(rows[0]))
+    z = rows_of(weights[0], rows[0], room.slope)
     if bias is not None:
         z += bias
     for w, row in zip(weights[1:], rows[1:]):
-        z += np.take(w, row, axis=0)
+        z += rows_of(w, row, room.some)
     if z.size and z.max() > 30:
         z -= z.max(1, keepdims=True)
     return z
 
 
-def log_softmax_of(weights: list[np.ndarray], rows: list[np.ndarray], y: np.ndarray, bias: np.ndarray | None = None) -> np.ndarray:
+def log_softmax_of(weights: list[np.ndarray], rows: list[np.ndarray], y: np.ndarray, bias: np.ndarray | None = None, room: Room | None = None) -> np.ndarray:
     """Log probability of one outcome for each token."""
-    z = energies(weights, rows, bias)
+    room = room or Room(weights[0].shape[1], len(y))
+    z = energies(weights, rows, bias, room)
     own = z[np.arange(len(y)), y]
     np.exp(z, out=z)
-    return own - np.log(z.sum(1))
+    return own - np.log(z @ room.ones[: z.shape[1]])
 
 
-def step(weights: list[np.ndarray], square: list[np.ndarray], rows: list[np.ndarray], y: np.ndarray, rate: float, bias: np.ndarray | None = None) -> None:
+def step(weights: list[np.ndarray], square: list[np.ndarray], rows: list[np.ndarray], y: np.ndarray, rate: float, bias: np.ndarray | None = None, room: Room | None = None) -> None:
     """One AdaGrad step on the likelihood of outcomes y, in place; square has the summed squares of a row's gradients."""
-    slope = energies(weights, rows, bias)
+    room = room or Room(weights[0].shape[1], len(y))
+    slope = energies(weights, rows, bias, room)
     np.exp(slope, out=slope)
-    slope /= slope.sum(1, keepdims=True)
+    slope /= (slope @ room.ones[: slope.shape[1]])[:, None]
     slope[np.arange(len(y)), y] -= 1
     if bias is not None:
-        bias -= np.float32(rate * 0.1) * slope.mean(0)
+        bias -= np.float32(rate * 0.1 / len(y)) * (room.ones[: len(y)] @ slope)
     for w, w2, own in zip(weights, square, rows):
-        order = np.argsort(own, kind="stable")
-        in_order = own[order]
-        first = np.flatnonzero(np.append(True, in_order[1:] != in_order[:-1]))
-        size = np.diff(np.append(first, len(order)))
-        once, more = first[size == 1], first[size > 1]
-        if len(once):  # rows used once need no sum
-            descend(w, w2, in_order[once], np.take(slope, order[once], axis=0), rate)
-        if len(more):
-            most = size[size > 1]
-            upto = np.cumsum(most)
-            members = np.arange(upto[-1]) + np.repeat(more - upto + most, most)
-            descend(w, w2, in_order[more], np.add.reduceat(np.take(slope, order[members], axis=0), upto - most, axis=0), rate)
-
-
-def descend(w: np.ndarray, w2: np.ndarray, row: np.ndarray, grad: np.ndarray, rate: float) -> None:
+        descend(w, w2, *summed(slope, own, room, len(w)), rate, room)
+
+
+def summed(slope: np.ndarray, own: np.ndarray, room: Room, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """The rows that are used, of so many, and the sum of the slopes of each row's uses; of few rows all, and zeros for those without uses."""
+    if rows <= FEW_ROWS:
+        return np.arange(rows), (np.arange(rows)[:, None] == own).astype(np.float32) @ slope
+    order = own.argsort(kind="stable")
+    in_order = own[order]
+    new = np.ones(len(own), bool)
+    np.not_equal(in_order[1:], in_order[:-1], out=new[1:])
+    first = np.flatnonzero(new)
+    size = np.append(first[1:], len(own)) - first
+    most = (-size.astype(np.int16)).argsort(kind="stable")  # the rows with most uses come first; STEP fits
+    first, size = first[most], size[most]
+    grad = rows_of(slope, order[first], room.some)
+    more = (len(size) - np.bincount(np.minimum(size, USES + 1), minlength=USES + 2).cumsum()).tolist()  # rows with more uses than 0, 1, ...
+    for i in range(1, USES):
+        n = more[i]
+        if not n:
+            break
+        grad[:n] += rows_of(slope, order[first[:n] + i], room.new)
+    if n := more[USES]:
+        further = size[:n] - USES
+        which = np.arange(n).repeat(further)
+        at = np.arange(len(which)) + (first[:n] + USES - further.cumsum() + further)[which]
+        grad[:n] += (np.arange(n)[:, None] == which).astype(np.float32) @ rows_of(slope, order[at], room.new)
+    return in_order[first], grad
+
+
+def descend(w: np.ndarray, w2: np.ndarray, row: np.ndarray, grad: np.ndarray, rate: float, room: Room) -> None:
     total = w2[row] + np.einsum("ij,ij->i", grad, grad) / np.float32(grad.shape[1])
     w2[row] = total
     grad *= (np.float32(rate) / np.sqrt(total))[:, None]
-    w[row] -= grad
+    new = rows_of(w, row, room.new)
+    new -= grad
+    w[row] = new
 
 
-def blocks(batches: Iterator[pa.RecordBatch], column: int, size: int = 1 << 20) -> Iterator[tuple[list, list[int], pa.RecordBatch]]:
-    """Texts of a batch in runs of about size characters."""
+def blocks(batches: Iterator[pa.RecordBatch], column: int, size: int = 1 << 20) -> Iterator[tuple[pa.Array, pa.RecordBatch]]:
+    """Texts of a batch in runs of about size characters, and the rows that they are in."""
     for batch in batches:
-        some, rows, held = [], [], 0
-        for i, text in enumerate(batch.column(column)):
-            t = text.as_py()
-            some.append(t), rows.append(i)
-            held += len(t or "")
-            if held >= size:
-                yield some, rows, batch
-                some, rows, held = [], [], 0
-        if rows:
-            yield some, rows, batch
+        start, held = 0, 0
+        for i, n in enumerate(pc.fill_null(pc.utf8_length(batch.column(column)), 0).to_pylist()):
+            held += n
+            if held >= size or i == batch.num_rows - 1:
+                rows = batch.slice(start, i + 1 - start)
+                yield rows.column(column), rows
+                start, held = i + 1, 0
 
 
 def trainer(held, rate: float = RATE):
@@ -268,18 +347,19 @@ def trainer(held, rate: float = RATE):
         w, b, p = m["weights"].copy(), m["bias"].copy(), m["parts"].copy()
         w2, p2 = np.full(len(w), m["square"], np.float32), np.full(len(p), m["square"], np.float32)
         classes, parts = (of_classes(w), of_classes(w2)), (of_parts(p), of_parts(p2))
+        class_room, part_room = Room(CLASSES), Room(PARTS)
         seen = 0
-        for texts, _, _ in blocks(batches, 0):
-            at, sizes = words.places(texts)
-            h, cls = words.hash[at], words.cls[at]
+        for texts, _ in blocks(batches, 0):
+            kinds, _, classes_of, at, sizes = words.tokens(texts)
+            h, cls = kinds[at], classes_of[at]
             back = history(h, sizes)
             rows = class_rows(back)
             for a in range(0, len(at), STEP):
-                step(*classes, [x[a : a + STEP] for x in rows], cls[a : a + STEP], rate, b)
+                step(*classes, [x[a : a + STEP] for x in rows], cls[a : a + STEP], rate, b, class_room)
             spelled = np.flatnonzero(cls >= SINGLES)
             rows, y = part_rows([x[spelled] for x in back], cls[spelled], len(parts[0][1])), part_of(h[spelled])
             for a in range(0, len(y), STEP):
-                step(*parts, [x[a : a + STEP] for x in rows], y[a : a + STEP], rate)
+                step(*parts, [x[a : a + STEP] for x in rows], y[a : a + STEP], rate, room=part_room)
             seen += len(at)
         if seen:
             task = TaskContext.get().partitionId()
@@ -358,14 +438,14 @@ class Model:
 def log_probability(m: dict, h: np.ndarray, cls: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """log10 P(class, part | history) of tokens by their hashes and classes, in texts of those sizes."""
     back = history(h, sizes)
-    rows, weights = class_rows(back), of_classes(m["weights"])
+    rows, weights, room = class_rows(back), of_classes(m["weights"]), Room(CLASSES)
     out = np.empty(len(h))
     for a in range(0, len(h), STEP):
-        out[a : a + STEP] = log_softmax_of(weights, [x[a : a + STEP] for x in rows], cls[a : a + STEP], m["bias"])
-    spelled, weights = np.flatnonzero(cls >= SINGLES), of_parts(m["parts"])
+        out[a : a + STEP] = log_softmax_of(weights, [x[a : a + STEP] for x in rows], cls[a : a + STEP], m["bias"], room)
+    spelled, weights, room = np.flatnonzero(cls >= SINGLES), of_parts(m["parts"]), Room(PARTS)
     rows, y = part_rows([x[spelled] for x in back], cls[spelled], len(weights[1])), part_of(h[spelled])
     for a in range(0, len(y), STEP):
-        out[spelled[a : a + STEP]] += log_softmax_of(weights, [x[a : a + STEP] for x in rows], y[a : a + STEP])
+        out[spelled[a : a + STEP]] += log_softmax_of(weights, [x[a : a + STEP] for x in rows], y[a : a + STEP], room=room)
     return out / math.log(10)
 
 
@@ -375,9 +455,9 @@ def scorer(held):
         words = Vocabulary(m["frequent"], m["n"], m["singles"])
         floor = math.log10(total + 0.1 * (kinds + 1))
         of = pa.struct([("token", pa.int64()), ("cls", pa.int32()), ("times", pa.int32())])
-        for texts, rows, batch in blocks(batches, 1):
-            at, sizes = words.places(texts)
-            n, cls, h = words.n[at], words.cls[at], words.hash[at]
+        for texts, batch in blocks(batches, 1):
+            kinds_h, kinds_n, kinds_cls, at, sizes = words.tokens(texts)
+            n, cls, h = kinds_n[at], kinds_cls[at], kinds_h[at]
             score = log_probability(m, h, cls, sizes)
             known = n > 0
             cell = np.where(cls < SINGLES, 0, (cls - SINGLES) * PARTS + part_of(h))
@@ -388,12 +468,12 @@ def scorer(held):
             # the others, each once a text
             left = np.flatnonzero(~known)
             text = np.repeat(np.arange(len(sizes)), sizes)[left]
-            pair, times = np.unique(text * len(words.hash) + at[left], return_counts=True)
-            place = pair % max(1, len(words.hash))
-            offsets = np.searchsorted(pair, np.arange(len(sizes) + 1) * len(words.hash)).astype(np.int32)
-            rare = pa.StructArray.from_arrays([pa.array(words.hash[place]), pa.array(words.cls[place]), pa.array(times.astype(np.int32))], fields=list(of))
+            pair, times = np.unique(text * len(kinds_h) + at[left], return_counts=True)
+            place = pair % len(kinds_h)
+            offsets = np.searchsorted(pair, np.arange(len(sizes) + 1) * len(kinds_h)).astype(np.int32)
+            rare = pa.StructArray.from_arrays([pa.array(kinds_h[place]), pa.array(kinds_cls[place]), pa.array(times.astype(np.int32))], fields=list(of))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(rows)), pa.array(sizes), pa.array(np.add.reduceat(known, first, dtype=np.int64)), pa.array(np.add.reduceat(base, first)), pa.array(np.add.reduceat(score, first)), pa.ListArray.from_arrays(pa.array(offsets), rare)],
+                [batch.column(0), pa.array(sizes), pa.array(np.add.reduceat(known, first, dtype=np.int64)), pa.array(np.add.reduceat(base, first)), pa.array(np.add.reduceat(score, first)), pa.ListArray.from_arrays(pa.array(offsets), rare)],
                 names=["doc_id", "n_tokens", "n_known", "base", "score", "rare"],
             )
 
